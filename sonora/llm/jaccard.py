@@ -2,13 +2,17 @@
 
 Documents with equal shingle sets form one class. A class's shingles are put in one global order, rare ones first (by
 a count sketch of fixed size over all documents, then by hash). Two classes that link share at least l of the first
-|x| - ceil(t|x|) + l shingles of both, for any l; each class takes the l whose prefix is estimated to cost least:
-entries to scan, plus the candidates (at most scanned / l of them share l entries) times the cost of verifying one.
-A pair must share as many prefix shingles as the smaller l of the two before its whole sets are compared.
-
-Groups of near copies: each shingle's bucket first is compared with two pivots only, which is linear in the bucket.
-Classes that these links join need no further comparison among themselves: only pairs from different components are
-compared then, all of them. No link between components is lost, no bucket is capped, and no group emits its pairs.
+|x| - ceil(t|x|) + l shingles of both, for any l up to ceil(t|x|). Each class takes the l whose prefix costs least by
+the counts of its shingles: entries to scan, plus the candidates (at most scanned / l of them share l entries) times
+the cost of verifying one. A pair must share as many prefix shingles as the smaller l of the two before its whole
+sets are compared.
+
+Candidate pairs are not verified one by one, which would move a set as often as it has candidates: they are edges of
+clusters, as are the classes that share a shingle which prefixes of more than ``HOT`` classes hold (each with the
+least of them, not each with each, so groups of near copies make no pairs). A cluster's sets meet in one block; a
+large cluster is cut into blocks of like sizes, and blocks that the sizes allow are compared two by two. Either way
+all sets of two blocks are compared as wholes and leave a spanning forest of their links. No link between components
+is lost, no bucket is capped, and no group emits its pairs.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer than n words is
 one shingle, the whole sequence; A-Z are folded; repeated rows and repeated ids fall into one class; an empty table
@@ -32,7 +36,9 @@ NGRAM, PERCENT = 4, 85
 #: Cells of the count sketch, in each of two rows.
 CELLS = 1 << 16
 #: Matches a prefix may be lengthened to ask for, and shingles compared in the time that scanning one entry takes.
-MATCHES, COMPARED = (1, 2, 3, 4, 6, 8, 12), 16
+MATCHES, COMPARED = (1, 2, 3, 4, 6, 8, 12), 4
+#: Classes that may share a prefix shingle and still be paired one by one; classes in a block.
+HOT, BLOCK = 50, 256
 
 
 def shingle_sets(texts: pa.Array, n: int = NGRAM) -> Iterator[np.ndarray]:
@@ -95,38 +101,61 @@ def count_sketch(docs: DataFrame, n: int = NGRAM) -> np.ndarray:
     return out
 
 
-def prefix(s: np.ndarray, sketch: Sketch, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The shingles of a set's adaptive prefix, and how many of them a partner must share."""
+def prefix(s: np.ndarray, sketch: Sketch, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set's longest prefix in order, and the number of matches from which on each belongs to it."""
     counts = sketch.counts(s)
     order = np.lexsort((s, np.floor(np.log2(counts + 1)))) if counts.any() else np.arange(len(s))
     need = (percent * len(s) + 99) // 100
+    most = min(MATCHES[-1], need)
     short = len(s) - need
-    scan = np.cumsum(counts[order][: short + min(MATCHES[-1], need)])
-    best, cost = 1, np.inf
-    for l in MATCHES:
-        if l <= need:
-            c = scan[short + l - 1]
-            c += c / l * len(s) / COMPARED
-            if c < cost:
-                best, cost = l, c
-    return s[order[: short + best]], best
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold. Sets join the pairs by key, each side once."""
-    both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("body").alias("left")), "u").join(sets.select(F.col("cls").alias("v"), F.col("body").alias("right")), "v").select("u", "v", "left", "right")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                at = np.searchsorted(a, b)
-                same = int((a[np.minimum(at, len(a) - 1)] == b).sum()) if len(a) else 0
-                keep[i] = 100 * same >= percent * (len(a) + len(b) - same)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    return both.mapInArrow(run, "u long, v long")
+    return s[order[: short + most]], np.maximum(np.arange(short + most) - short + 1, 1)
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int = PERCENT, width: int = 4096) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two blocks of sets, as (left, right) places. Dense products over slices of the shingles."""
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side)), n) for side, n in zip((left, right), sizes)]
+    words, index = np.unique(np.concatenate(left + right), return_inverse=True)
+    split = int(sizes[0].sum())
+    same = np.zeros((len(left), len(right)), np.int64)
+    parts = [index[:split], index[split:]]
+    both = np.logical_and(*(np.bincount(p, minlength=len(words)) > 0 for p in parts))
+    if left is right:
+        both = np.bincount(parts[0], minlength=len(words)) > 1
+    number = np.cumsum(both) - 1
+    rows = [r[both[p]] for r, p in zip(rows, parts)]
+    parts = [number[p[both[p]]] for p in parts]
+    words = words[both]
+    orders = [np.argsort(p, kind="stable") for p in parts]
+    for lo in range(0, len(words), width):
+        dense = []
+        for side, (p, o) in enumerate(zip(parts, orders)):
+            a, b = np.searchsorted(p[o], [lo, lo + width])
+            m = np.zeros((len(sizes[side]), width), np.float32)
+            m[rows[side][o[a:b]], p[o[a:b]] - lo] = 1
+            dense.append(m)
+        same += np.rint(dense[0] @ dense[1].T).astype(np.int64)
+    if left is right:
+        np.fill_diagonal(same, sizes[0])
+    linked = 100 * same >= percent * (sizes[0][:, None] + sizes[1][None, :] - same)
+    out, new_l, new_r = [], np.ones(len(left), bool), np.ones(len(right), bool)
+    for i in range(len(left)):
+        if not new_l[i]:
+            continue
+        new_l[i], todo = False, [(0, i)]
+        while todo:
+            side, k = todo.pop()
+            if side == 0:
+                for j in np.flatnonzero(linked[k] & new_r).tolist():
+                    new_r[j] = False
+                    out.append((k, j))
+                    todo.append((1, j))
+            else:
+                for j in np.flatnonzero(linked[:, k] & new_l).tolist():
+                    new_l[j] = False
+                    out.append((j, k))
+                    todo.append((0, j))
+    return out
 
 
 def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -149,64 +178,98 @@ def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
                     if len(s) and (cls := set_id(s)) not in seen:
                         if len(seen) < 1_000_000:  # copies in one task are spared; the rest meets in the aggregates
                             seen.add(cls)
-                        p, least = prefix(s, held, percent)
+                        p, rank = prefix(s, held, percent)
                         if only is not None:
-                            p = p[passes(only.value, p)]
-                        out.append((p, cls, len(s), least))
+                            keep = passes(only.value, p)
+                            p, rank = p[keep], rank[keep]
+                        out.append((p, rank, cls, len(s)))
                 if out:
                     times = [len(x[0]) for x in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), *(pa.array(np.repeat(np.array([x[k] for x in out], kind), times)) for k, kind in ((1, np.int64), (2, np.int32), (3, np.int32)))], names=["token", "cls", "size", "least"])
-
-        return texts.select("text").mapInArrow(run, "token long, cls long, size int, least int")
-
-    # Shingles that prefixes of two classes share.
-    ends = entries(None).groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b")
-    shared = materialise(ends.select("token"))
-    only = spark.sparkContext.broadcast(key_filter(shared))
-    held = materialise(entries(only).join(shared, "token").distinct())
-
-    # The sets of their classes, from one document each.
+                    same = (pa.array(np.repeat(np.array([x[k] for x in out], kind), times)) for k, kind in ((2, np.int64), (3, np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)), *same], names=["token", "rank", "cls", "size"])
+
+        return texts.select("text").mapInArrow(run, "token long, rank int, cls long, size int")
+
+    # Shingles that prefixes of two classes share, how many others share them (copies count again), and the entries with them.
+    ends = entries(None).groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), (F.count("*") - 1).alias("others")).filter("a <> b")
+    shared = materialise(ends.select("token", "others"))
+    only = spark.sparkContext.broadcast(key_filter(shared.select("token")))
+    found = entries(only).join(shared, "token").distinct()
+
+    # Each class's number of matches, by the cost of its prefix; its entries, a bounded share of its set, meet for that.
+    scan = lambda l: F.aggregate("e", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["rank"] <= l, x["others"]).otherwise(0))
+    cost = lambda l: F.struct((scan(l) * (1 + F.col("size") / (COMPARED * l))).alias("cost"), F.lit(l).alias("least"))
+    best = F.least(F.lit(None).cast("struct<cost: double, least: int>"), *(F.when(F.ceil(F.col("size") * percent / 100) >= l, cost(l)) for l in MATCHES))
+    by_class = found.groupBy("cls", "size").agg(F.collect_list(F.struct("token", "rank", "others")).alias("e")).withColumn("least", best["least"])
+    held = materialise(by_class.select("cls", "size", "least", F.explode("e").alias("e")).filter("e.rank <= least").select("e.token", "e.others", "cls", "size", "least"))
+
+    # Few classes to a shingle: pairs.
+    rare = held.filter(F.col("others") < HOT).select("token", "cls", "size", "least")
+    other = rare.select("token", F.struct("cls", "size", "least").alias("other"))
+    fits = F.expr(f"100 * least(size, other.size) >= {percent} * greatest(size, other.size)")
+    met = rare.join(other, "token").filter(fits & (F.col("cls") < F.col("other.cls"))).groupBy(F.col("cls").alias("u"), F.col("other.cls").alias("v"), F.least("least", "other.least").alias("least")).agg(F.count("*").alias("n"))
+    pairs = met.filter("n >= least").select("u", "v")
+
+    # Many: each with the least of them. Clusters of both, and large ones cut into blocks of like sizes.
+    hot = held.filter(F.col("others") >= HOT).select("token", "cls")
+    heads = hot.groupBy("token").agg(F.min("cls").alias("v"))
+    cluster = components(pairs.unionByName(hot.join(heads, "token").select(F.col("cls").alias("u"), "v").distinct())).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
+    sizes = cluster.join(held.select("cls", "size").distinct(), "cls")
+    large = sizes.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > BLOCK).select("cluster", "large")
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    member = materialise(sizes.join(large, "cluster").select("cls", "cluster", "large", F.when(F.col("large"), band).otherwise(-1).alias("band")))
+    groups = member.groupBy("cluster", "band", "large").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = member.join(groups.drop("large"), ["cluster", "band"]).select("cls", "large", F.xxhash64("cluster", "band", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"))
+    listed = groups.filter("large").select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("cluster", "band", F.xxhash64("cluster", "band", F.col("i").cast("long")).alias("block"))
+    beside = listed.select("cluster", F.col("band").alias("other_band"), F.col("block").alias("other"))
+    tasks = listed.join(beside, "cluster").filter("other_band - band = 1 or (other_band = band and other >= block)").select("block", "other")
+
+    # The sets of the classes to compare, from one document each.
     named = materialise(texts.mapInArrow(name, "doc_id long, n_shingles long, cls long"))
     classes = named.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = held.select("cls").distinct().join(classes, "cls")
-    reps = spark.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("doc_id").alias("key"))))
+    reps = spark.sparkContext.broadcast(key_filter(member.select("cls").join(classes, "cls").select(F.xxhash64("doc_id").alias("key"))))
+    asked = spark.sparkContext.broadcast(key_filter(member.select("cls")))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            may = passes(reps.value, batch.column(1).to_numpy())
-            part = batch.filter(pa.array(may))
-            if len(part):
-                got = [(set_id(s), s.tobytes()) for s in shingle_sets(part.column(2), n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary())], names=["doc_id", "cls", "body"])
-
-    made = texts.select("doc_id", F.xxhash64("doc_id").alias("key"), "text").mapInArrow(bodies, "doc_id long, cls long, body binary")
-    sets = materialise(made.join(wanted, ["doc_id", "cls"]).select("cls", "body"))
-
-    fits = f"100 * least(size, other.size) >= {percent} * greatest(size, other.size)"
-    enough = F.col("n") >= F.least("least", "other_least")
-
-    # Every member of a bucket against two pivots of the bucket.
-    pivot = lambda seed: F.min(F.struct(F.xxhash64("cls", F.lit(seed)).alias("h"), "cls", "size", "least"))
-    pivots = held.groupBy("token").agg(pivot(1).alias("p"), pivot(2).alias("q"))
-    star = held.join(pivots, "token").select("cls", "size", "least", F.explode(F.array("p", "q")).alias("other")).filter(F.expr(fits) & (F.col("cls") != F.col("other.cls")))
-    star = star.groupBy(F.col("cls").alias("v"), F.col("other.cls").alias("u"), "least", F.col("other.least").alias("other_least")).agg(F.count("*").alias("n")).filter(enough)
-    first = materialise(verified(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, percent))
-    roots = materialise(components(first))
-
-    # Every pair of a bucket from different components.
-    placed = held.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = materialise(placed)
-    mixed = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
-    left = placed.join(mixed, "token")
-    right = left.select("token", F.struct("cls", "size", "least", "root").alias("other"))
-    rest = left.join(right, "token").filter(F.expr(fits) & (F.col("cls") < F.col("other.cls")) & (F.col("root") != F.col("other.root")))
-    rest = rest.groupBy(F.col("cls").alias("u"), F.col("other.cls").alias("v"), "least", F.col("other.least").alias("other_least")).agg(F.count("*").alias("n")).filter(enough)
-    second = verified(rest.select("u", "v"), sets, percent)
-    final = components(second.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-
+            part = batch.filter(pa.array(passes(reps.value, batch.column(0).to_numpy())))
+            got = [(set_id(s), s.tobytes()) for s in shingle_sets(part.column(1), n) if len(s)]
+            cls = np.array([x[0] for x in got], np.int64)
+            keep = np.flatnonzero(passes(asked.value, cls))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array([got[i][1] for i in keep], pa.binary())], names=["cls", "body"])
+
+    # What the filters let through besides finds no block; a class that comes twice is compared with itself, too.
+    sets = texts.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(bodies, "cls long, body binary")
+    placed = materialise(sets.join(blocks, "cls").select("block", "large", "cls", "body"))
+
+    def forest(ids: list[int], bodies: list[bytes], other_ids: list[int] | None = None, other_bodies: list[bytes] | None = None) -> list[tuple[int, int]]:
+        left = [np.frombuffer(v, np.uint64) for v in bodies]
+        right = left if other_ids is None else [np.frombuffer(v, np.uint64) for v in other_bodies]
+        return [(ids[j], (other_ids or ids)[k]) for j, k in block_links(left, right, percent)]
+
+    def within(key, table):
+        got = [x for x in forest(table["cls"].to_pylist(), table["body"].to_pylist()) if x[0] != x[1]]
+        return pa.table({"u": pa.array([x[0] for x in got], pa.int64()), "v": pa.array([x[1] for x in got], pa.int64())})
+
+    def gather(key, table):
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([table["cls"].to_pylist()], pa.list_(pa.int64())), "bodies": pa.array([table["body"].to_pylist()], pa.list_(pa.binary()))})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                got = forest(*(batch.column(c)[i].as_py() for c in range(4)))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names=["u", "v"])
+
+    small = placed.filter("not large").groupBy("block").applyInArrow(within, "u long, v long")
+    packed = placed.filter("large").groupBy("block").applyInArrow(gather, "block long, ids array<long>, bodies array<binary>")
+    facing = tasks.join(packed, "block").join(packed.select(F.col("block").alias("other"), F.col("ids").alias("other_ids"), F.col("bodies").alias("other_bodies")), "other").select("ids", "bodies", "other_ids", "other_bodies")
+    links = small.unionByName(facing.mapInArrow(compare, "u long, v long"))
+    final = components(links)
     joined = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    answer = materialise(joined.join(least, "root").select("cls", "component_id"))
+    answer = joined.join(least, "root").select("cls", "component_id")
     return named.join(answer, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
