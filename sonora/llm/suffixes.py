@@ -11,8 +11,9 @@ key); all of these lie in the 300 bytes about it (its region). By key, counted w
   leading bytes, each bucket is sorted by multikey quicksort (eight bytes at a time, to the right of the key and to
   the left), and neighbours' common lengths give the repeats. Splitters never part equal leading bytes, so no two
   suffixes to compare lie across a boundary;
-- of a key that occurs more often, no task could hold all suffixes whatever the splitters: its regions are cut into
-  ten, then into single windows, and these are counted as the keys were, without gathering them.
+- of a key that occurs more often, no task could hold all suffixes whatever the splitters: its regions are counted,
+  those that differ from all others are cut into parts of ten windows, then into single windows, and these are counted
+  as the keys were, without gathering them.
 
 Matches never cross documents: a region ends where its document does. Hashes of strings have 64 bits.
 
@@ -272,18 +273,37 @@ def _parts(batch: pa.RecordBatch, step: int) -> Iterator[tuple[np.ndarray, ...]]
 
 
 def hot_spans(hot: DataFrame) -> DataFrame:
-    """Spans of regions whose keys are too frequent to sort: by counting parts of ten windows, then single windows.
+    """Spans of regions whose keys are too frequent to sort: by counting regions, parts of ten windows, single windows.
 
-    A part whose whole bytes occur twice is a repeat; one whose core occurs once holds none; the windows of the
-    others are counted. Counts combine before they are shuffled, so nothing here gathers a frequent key.
+    A region or part whose whole bytes occur twice is a repeat, and is cut further only once a task, for others to be
+    compared with; a part whose core occurs once holds no repeat; the windows of the others are counted. Counts
+    combine before they are shuffled, so nothing here gathers a frequent key.
     """
     spark, step = hot.sparkSession, 10
-    place = lambda batch, item, first: (batch.column(batch.schema.names.index(c)).to_numpy()[item] for c in ("row", "start"))
+    equal = materialise(hot.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1").select("region"))
+    copies = hot.select("region", "row", "start", "width").join(equal, "region").select("row", "start", (F.col("start") + F.col("width")).alias("end"))
+    known = spark.sparkContext.broadcast(key_filter(equal))
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in small batches, without those of repeated regions that the task has had before."""
+        seen: set[int] = set()
+        for batch in batches:
+            region = batch.column(batch.schema.names.index("region")).to_numpy()
+            keep = np.ones(len(batch), bool)
+            for i in np.flatnonzero(passes(known.value, region)).tolist():
+                keep[i] = region[i] not in seen
+                if len(seen) < 1_000_000:
+                    seen.add(region[i])
+            part = batch.filter(pa.array(keep))
+            yield from (part.slice(lo, 2048) for lo in range(0, len(part), 2048))
+
+    def place(batch: pa.RecordBatch, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(batch.column(batch.schema.names.index(c)).to_numpy()[item] for c in ("row", "start"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, 2048) for b in batches for lo in range(0, len(b), 2048)):
+        for batch in fresh(batches):
             for item, first, last, core, whole, _ in _parts(batch, step):
-                row, start = place(batch, item, first)
+                row, start = place(batch, item)
                 yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(row), pa.array(start + first), pa.array(start + last + LENGTH)], names=["core", "whole", "row", "start", "end"])
 
     parts = hot.mapInArrow(cut, "core long, whole long, row long, start long, end long")
@@ -294,7 +314,7 @@ def hot_spans(hot: DataFrame) -> DataFrame:
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in (b.slice(lo, 2048) for b in batches for lo in range(0, len(b), 2048)):
+        for batch in fresh(batches):
             for item, first, last, core, whole, (at, sums, salt, base) in _parts(batch, step):
                 take = passes(open_.value, core)
                 for i in np.flatnonzero(take & passes(some.value, whole)).tolist():  # settled: once is enough to compare with
@@ -307,12 +327,12 @@ def hot_spans(hot: DataFrame) -> DataFrame:
                 s = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
                 with np.errstate(over="ignore"):
                     h = mix(range_hash(sums, at[item[i]] + s, at[item[i]] + s + LENGTH) ^ salt[i] + (s - base[i]).astype(np.uint64))
-                row, start = place(batch, item[i], s)
+                row, start = place(batch, item[i])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(row), pa.array(start + s)], names=["window", "row", "start"])
 
     windows = hot.mapInArrow(single, "window long, row long, start long")
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    return settled.unionByName(windows.join(twice, "window").select("row", "start", (F.col("start") + LENGTH).alias("end")))
+    return copies.unionByName(settled).unionByName(windows.join(twice, "window").select("row", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def spans(texts: DataFrame) -> DataFrame:
@@ -326,7 +346,7 @@ def spans(texts: DataFrame) -> DataFrame:
     sort = of("sort").select("key", "row", "start", "left", "lead", "body").repartitionByRange(F.col("lead"), F.col("key")).sortWithinPartitions("lead", "key").mapInArrow(_bucket, "row long, start long, end long")
     found = same.unionByName(sort)
     if not states.filter(kinds["hot"]).isEmpty():
-        found = found.unionByName(hot_spans(materialise(of("hot").select("key", "row", "start", "left", "body"))))
+        found = found.unionByName(hot_spans(materialise(of("hot").select("key", "region", "row", "start", "width", "left", "body"))))
     return found
 
 
