@@ -5,8 +5,9 @@ coordinate has a learning rate of its own (the more it was updated, the slower)
 weights at zero, so the model is a small sparse table whatever the corpus, and is broadcast.
 
 Training reads at most ``train_rows`` labelled documents (those first by a hash of doc_id, so the bound keeps no
-order of the table), dealt over ``shards`` tasks that train side by side; their weights are averaged, and the bias
-is set so that the mean log odds fit the share of toxic documents. Scoring reads every document.
+order of the table), dealt over ``shards`` tasks that train side by side. The penalty shrinks the log odds, so each
+shard then scales its weights and bias by a two-parameter logistic fit to its rows; the shards' models are averaged.
+Scoring reads every document.
 
 Defined cases: a null or blank text has no features and scores by the bias alone; without labelled rows every
 document scores 0.0; repeated rows score alike; rows with a null doc_id or a null label are not trained on; an
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .base import arrow_bytes, gram_hashes, mix, text_or_empty, word_hashes
 
-BITS, TRAIN_ROWS, SHARDS, EPOCHS = 20, 12_000, 4, 2
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 1.0
+BITS, TRAIN_ROWS, SHARDS, EPOCHS = 20, 12_000, 2, 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 REJECT = 0.7
 
 
@@ -66,7 +67,21 @@ def train_shard(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: in
             bias -= ALPHA * g / (BETA + np.sqrt(grad2))
     w = weight(z, n)
     at = np.flatnonzero(w)
-    return at, w[at], bias
+    if not len(at):
+        return at, w[at], bias
+    slope, shift = calibrated(np.array([w[f].sum() + bias for f, _ in rows]), np.array([y for _, y in rows], float))
+    return at, w[at] * slope, bias * slope + shift
+
+
+def calibrated(margin: np.ndarray, y: np.ndarray, steps: int = 20) -> tuple[float, float]:
+    """Slope (at least 1) and shift of the log odds that fit the labels, by Newton steps with a small ridge toward none."""
+    x, theta = np.column_stack([margin, np.ones(len(margin))]), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        grad = x.T @ (p - y) + (theta - [1.0, 0.0])
+        theta = theta - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2), grad)
+        theta[0] = min(max(theta[0], 1.0), 10.0)
+    return float(theta[0]), float(theta[1])
 
 
 def held_out(doc_id: Column) -> Column:
