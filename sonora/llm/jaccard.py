@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_bytes, gram_hashes, materialise, mix, text_or_empty, word_hashes
+from .base import arrow_bytes, gram_hashes, materialise, mix, small_batches, text_or_empty, word_hashes
 from .graph import components, key_filter, passes
 
 NGRAM, PERCENT = 4, 85
@@ -161,7 +161,7 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int =
 def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     sketch = spark.sparkContext.broadcast(count_sketch(docs, n))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_or_empty
+from .base import small_batches, text_or_empty
 
 SEQUENCE, END_ID = 2048, 1
 #: Words kept per Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
 
 
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE, end_id:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bucket"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

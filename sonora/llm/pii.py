@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise, text_or_empty
+from .base import materialise, small_batches, text_or_empty
 
 # Kinds in order and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -204,7 +204,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
             base, found = scan_batch(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[dict(zip(("kind", "start", "end"), s)) for s in b] for b in base], _SPAN), pa.array(found, _NODE)], names=["doc_id", "base", "nodes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     scanned = materialise(texts.mapInArrow(scan, SCANNED.removeprefix("row long, ")))
     added = _labeller(train(scanned))
 
@@ -232,7 +232,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Two reads of the text, no shuffle of it: the first trains the potentials, the second labels and rewrites.
     """
-    texts = docs.select(text_or_empty().alias("text"))
+    texts = small_batches(docs).select(text_or_empty().alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

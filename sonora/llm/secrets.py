@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise, text_or_empty
+from .base import materialise, small_batches, text_or_empty
 
 # The base patterns, their kinds in order, and the least lengths.
 KINDS = ["assign", "access", "hex", "random"]
@@ -146,7 +146,7 @@ def discovery_threshold(scanned: DataFrame, share: float = FALSE_SHARE) -> float
 
 def find_secrets(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
     """doc_id and ``spans``: an array of (start, kind, end, base) for each document, base patterns and discoveries."""
-    scanned = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_scan_batches, SCANNED))
+    scanned = materialise(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_scan_batches, SCANNED))
     limit = discovery_threshold(scanned, share)
     added = F.transform(F.filter("found", lambda t: t["score"] <= F.lit(limit)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     return scanned.select("doc_id", "base", F.sort_array(F.concat("base", added)).alias("spans"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_bytes, materialise, mix, prefix_sums, range_hash, text_or_empty
+from .base import arrow_bytes, materialise, mix, prefix_sums, range_hash, small_batches, text_or_empty
 from .graph import key_filter, passes
 
 LENGTH, KEY = 200, 100
@@ -383,7 +383,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Texts without a repeat, all but a few of which a filter of bounded size names, are not shuffled.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     found = materialise(spans(texts.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found")))
     some = texts.sparkSession.sparkContext.broadcast(key_filter(found.select("row")))
 

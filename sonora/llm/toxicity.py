@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_bytes, gram_hashes, mix, text_or_empty, word_hashes
+from .base import arrow_bytes, gram_hashes, mix, small_batches, text_or_empty, word_hashes
 
 BITS, TRAIN_ROWS, SHARDS, EPOCHS = 20, 12_000, 2, 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
@@ -45,7 +45,7 @@ def features(texts: pa.Array, bits: int = BITS, rows: int = 256) -> Iterator[tup
                 kinds.append((pair[inside], row[:-gap][inside]))
         key = np.concatenate([r.astype(np.int64) << bits | (h >> np.uint64(64 - bits)).astype(np.int64) for h, r in kinds])
         key = np.unique(key)
-        yield key & (1 << bits) - 1, np.searchsorted(key, np.arange(len(at)) << bits)
+        yield (key & (1 << bits) - 1).astype(np.int32), np.searchsorted(key, np.arange(len(at)) << bits)
 
 
 def train_shard(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -95,16 +95,20 @@ def sample_labels(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def mixed(ids: np.ndarray) -> int:
+    return int(mix(ids.view(np.uint64))[0])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, shards: int = SHARDS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets (sorted), weights and bias, averaged over the shards."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     sample = texts.join(F.broadcast(sample_labels(labels, rows)), "doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text", "toxic")
 
     def fit(key, table):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        order = np.random.RandomState(key[0].as_py()).permutation(len(table))
-        at = [f[a:b] for f, first in features(table["text"].combine_chunks(), bits) for a, b in zip(first, first[1:])]
-        y = table["toxic"].to_pylist()
+        ids, y = table["doc_id"].to_numpy(), table["toxic"].to_pylist()
+        at = [f[a:b] for chunk in table["text"].chunks for f, first in features(chunk, bits) for a, b in zip(first, first[1:])]
+        # An order of their own for the rows, whatever order they came in; features tell repeated ids apart.
+        order = sorted(range(len(y)), key=lambda i: (mixed(ids[i : i + 1]), at[i].tobytes()))
         where, w, bias = train_shard([(at[i], y[i]) for i in order], bits)
         return pa.table({"at": np.append(where, -1), "w": np.append(w, bias)})
 
@@ -142,7 +146,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(scored(batch.column(1)), 9))], names=["doc_id", "score"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return texts.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
 
