@@ -43,8 +43,8 @@ HOT, BLOCK = 50, 256
 
 def shingle_sets(texts: pa.Array, n: int = NGRAM) -> Iterator[np.ndarray]:
     """Each row's sorted distinct shingle hashes (unsigned 64-bit)."""
-    for lo in range(0, len(texts), 512):
-        buf, at = arrow_bytes(texts.slice(lo, 512))
+    for lo in range(0, len(texts), 64):
+        buf, at = arrow_bytes(texts.slice(lo, 64))
         words, first = word_hashes(buf, at)
         grams = gram_hashes(words, n)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .base import small_batches, text_or_empty
 
 SEQUENCE, END_ID = 2048, 1
-#: Words kept per Python worker; beyond it the cache starts anew.
+#: Words in each of the two generations of a Python worker's cache.
 CACHE_WORDS = 100_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -38,6 +38,23 @@ def piece_lengths(n: int, longest: int = SEQUENCE) -> list[int]:
     return [longest] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+class Recent:
+    """A cache of two generations: when the newer one is full it becomes the older, and what is asked for again moves over."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def fill(self, keys: set[str], make) -> None:
+        """Afterwards ``new`` holds all of ``keys``."""
+        missing = keys - self.new.keys()
+        if len(self.new) + len(missing) > self.limit:
+            self.old, self.new, missing = self.new, {}, keys
+        held = missing & self.old.keys()
+        self.new.update((k, self.old[k]) for k in held)
+        unknown = list(missing - held)
+        self.new.update(zip(unknown, make(unknown)))
+
+
 class WordTokenizer:
     """Ids of whole texts by a word-level BPE file, each different word encoded once.
 
@@ -58,29 +75,22 @@ class WordTokenizer:
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = lambda s: alphabet.pre_tokenize_str(s)[0][0]
-        self.pieces: dict[str, np.ndarray] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-            self.pieces.clear()
-        split = {w: self.PIECE.findall(w) for w in words}
-        new = list({p for ps in split.values() for p in ps if p not in self.pieces})
-        for p, e in zip(new, self.bare.encode_batch_fast([p if p.isascii() else self.shown(p) for p in new], add_special_tokens=False) if new else ()):
-            self.pieces[p] = tuple(e.ids)
-        for w, ps in split.items():
-            self.words[w] = self.pieces[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable(self.pieces[p] for p in ps))
+        self.pieces, self.words = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+
+    def _learn(self, words: list[str]) -> list[tuple[int, ...]]:
+        split = [self.PIECE.findall(w) for w in words]
+        self.pieces.fill(set(chain.from_iterable(split)), self._encode)
+        ids = self.pieces.new
+        return [ids[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable(ids[p] for p in ps)) for ps in split]
+
+    def _encode(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(e.ids) for e in self.bare.encode_batch_fast([p if p.isascii() else self.shown(p) for p in pieces], add_special_tokens=False)] if pieces else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         cut = {i: unicodedata.normalize("NFC", t).lower().split() for i, t in enumerate(texts) if not self.OTHER.search(t)}
-        seen = self.words
-        missing = set().union(*cut.values()) - seen.keys() if cut else set()
-        if missing:
-            if len(seen) + len(missing) > CACHE_WORDS:
-                missing = set().union(*cut.values())
-            self._learn(missing)
+        self.words.fill(set().union(*cut.values()), self._learn)
+        seen = self.words.new
         for i, words in cut.items():
             out[i] = np.fromiter(chain.from_iterable(map(seen.__getitem__, words)), np.uint32)
         rest = [i for i in range(len(texts)) if out[i] is None]
@@ -103,9 +113,9 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE, end_id:
         count = [0] * 64
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
+            for lo in range(0, len(texts), 256):
                 rows = []
-                for doc_id, ids in zip(ids_of[lo : lo + 512], coder.encode(texts[lo : lo + 512])):
+                for doc_id, ids in zip(ids_of[lo : lo + 256], coder.encode(texts[lo : lo + 256])):
                     ids, start = np.append(ids, np.uint32(end_id)).astype("<u4"), 0
                     for n in piece_lengths(len(ids), longest):
                         b = n.bit_length() - 1

@@ -36,7 +36,7 @@ from .graph import key_filter, passes
 
 LENGTH, KEY = 200, 100
 #: Suffixes of one key that a bucket sorts at most, and bytes of text worked on at once.
-HOT, CHUNK = 1500, 1 << 20
+HOT, CHUNK = 1500, 1 << 18
 WIDTH = LENGTH - KEY + 1
 _TOP = np.uint64((1 << 64) - 1)
 

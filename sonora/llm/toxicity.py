@@ -31,7 +31,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 REJECT = 0.7
 
 
-def features(texts: pa.Array, bits: int = BITS, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(texts: pa.Array, bits: int = BITS, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For a few rows at a time: hashed features of all of them, and where each row's begin (one more at the end)."""
     for lo in range(0, len(texts), rows):
         buf, at = arrow_bytes(texts.slice(lo, rows))
