@@ -43,9 +43,9 @@ def key_filter(keys: DataFrame, bits_per_key: int = 16) -> np.ndarray:
     words = 1 << max(10, min(int(np.log2(MOST_WORDS)), int(n * bits_per_key // 64).bit_length()))
     name = keys.columns[0]
     bits = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned({name}, {at}) & 63 AS INT))" for at in (40, 46, 52)))
-    rows = keys.select(col.bitwiseAND(words - 1).cast("int").alias("w"), bits.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    rows = keys.select(col.bitwiseAND(words - 1).cast("int").alias("w"), bits.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(words, np.uint64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
     return out
 
 

@@ -95,9 +95,9 @@ def count_sketch(docs: DataFrame, n: int = NGRAM) -> np.ndarray:
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cells[at], pa.int64())], names=["cell", "n"])
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * CELLS)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 

@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, shards: in
         where, w, bias = train_shard([(at[i], y[i]) for i in order], bits)
         return pa.table({"at": np.append(where, -1), "w": np.append(w, bias)})
 
-    got = sample.groupBy("shard").applyInArrow(fit, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas().sort_values("at")
+    got = sample.groupBy("shard").applyInArrow(fit, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow().sort_by("at")
     if not len(got):
         return np.zeros(0, np.int64), np.zeros(0), -np.inf
     used = sample.select("shard").distinct().count()
