@@ -12,14 +12,17 @@ Columns beside doc_id and text are not read, whatever their names. Very long tex
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +30,6 @@ from pyspark.sql import functions as F
 from .base import small_batches, text_or_empty
 
 SEQUENCE, END_ID = 2048, 1
-#: Words in each of the two generations of a Python worker's cache.
-CACHE_WORDS = 100_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
 
 
@@ -38,65 +39,84 @@ def piece_lengths(n: int, longest: int = SEQUENCE) -> list[int]:
     return [longest] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-class Recent:
-    """A cache of two generations: when the newer one is full it becomes the older, and what is asked for again moves over."""
-
-    def __init__(self, limit: int) -> None:
-        self.limit, self.new, self.old = limit, {}, {}
-
-    def fill(self, keys: set[str], make) -> None:
-        """Afterwards ``new`` holds all of ``keys``."""
-        missing = keys - self.new.keys()
-        if len(self.new) + len(missing) > self.limit:
-            self.old, self.new, missing = self.new, {}, keys
-        held = missing & self.old.keys()
-        self.new.update((k, self.old[k]) for k in held)
-        unknown = list(missing - held)
-        self.new.update(zip(unknown, make(unknown)))
-
-
 class WordTokenizer:
-    """Ids of whole texts by a word-level BPE file, each different word encoded once.
+    """Ids of whole texts by a word-level BPE file: byte symbols, and a mark on each word's last symbol.
 
-    The file's own tokenizer gives every id. Texts of Latin letters are cut at white space first, where its
-    patterns never match across, and the cut words are looked up; any other text goes to it whole.
+    Texts of Latin letters are cut into words here and encoded by byte pairs with the file's own vocabulary and order
+    of merges, the mark being a control character after each word. What joins first is decided by the joined bytes
+    alone, which gives the file's ids where ``joins_by_bytes`` holds. Any other text, and one with a very long word,
+    goes to the file's own tokenizer whole.
     """
 
-    # Fixed value: what the tokenizer file cuts words by, restricted to characters below U+0250.
-    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    # Fixed value: what the tokenizer file cuts words by beside white space; runs of letters are what is between.
+    CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
     # Fixed value: characters for which Python's idea of letter, digit or case could differ from the tokenizer's.
     OTHER = re.compile("[^\x09-\x0D\x20-\x7e\xa1\xbf\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|")
+    # Fixed value: how the file marks a word's last symbol.
+    LAST = "</w>"
+    MARK, LONGEST_WORD = "\x01", 400
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.shown = lambda s: alphabet.pre_tokenize_str(s)[0][0]
-        self.pieces, self.words = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
-
-    def _learn(self, words: list[str]) -> list[tuple[int, ...]]:
-        split = [self.PIECE.findall(w) for w in words]
-        self.pieces.fill(set(chain.from_iterable(split)), self._encode)
-        ids = self.pieces.new
-        return [ids[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable(ids[p] for p in ps)) for ps in split]
-
-    def _encode(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.bare.encode_batch_fast([p if p.isascii() else self.shown(p) for p in pieces], add_special_tokens=False)] if pieces else []
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        cut = {i: unicodedata.normalize("NFC", t).lower().split() for i, t in enumerate(texts) if not self.OTHER.search(t)}
-        self.words.fill(set().union(*cut.values()), self._learn)
-        seen = self.words.new
-        for i, words in cut.items():
-            out[i] = np.fromiter(chain.from_iterable(map(seen.__getitem__, words)), np.uint32)
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        for i in rest:  # one at a time: a batch of long encodings would be held at once
-            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        return out
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.model = json.load(f)["model"]
+        self.fast = tiktoken.Encoding("words", pat_str=f"[^{self.MARK}]+{self.MARK}", mergeable_ranks=self._ranks(), special_tokens={}) if self.joins_by_bytes() else None
+        self.model = None
+
+    def _ranks(self) -> dict[bytes, int]:
+        """Each symbol's bytes, the mark as one more, and its id."""
+        own = {c: bytes([b]) for b, c in bytes_shown().items()}
+        marked = ((t.removesuffix(self.LAST), t.endswith(self.LAST) and t != self.LAST, i) for t, i in self.model["vocab"].items())
+        return {b"".join(own[c] for c in t) + (self.MARK.encode() if last else b""): i for t, last, i in marked}
+
+    def joins_by_bytes(self) -> bool:
+        """Whether joining whatever neighbours have the bytes of the lowest id gives the file's own result.
+
+        So it is when ids follow the order of the merges, marked single bytes come before these, and every merge's
+        symbol, encoded alone, ends in that merge: two neighbours with the bytes of a symbol then are those of its merge.
+        """
+        vocab, merges = self.model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in self.model["merges"]]
+        first = len(vocab) - len(merges)
+        place = {m: i for i, m in enumerate(merges)}
+        singles = set(bytes_shown().values())
+        if {t for t, i in vocab.items() if i < first} != singles | {c + self.LAST for c in singles} or len({a + b for a, b in merges}) < len(merges):
+            return False
+        for i, (a, b) in enumerate(merges):
+            if vocab.get(a + b) != first + i:
+                return False
+            parts = list((a + b).removesuffix(self.LAST))
+            if (a + b).endswith(self.LAST):
+                parts[-1] += self.LAST
+            while len(parts) > 2:
+                rank, at = min((place.get(p, len(merges)), k) for k, p in enumerate(pairwise(parts)))
+                if rank == len(merges):
+                    return False
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if parts != [a, b]:
+                return False
+        return True
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast and not self.OTHER.search(text):
+            words = self.CUT.sub(f"{self.MARK}\\g<0>{self.MARK}", unicodedata.normalize("NFC", text).lower()).split()
+            if len(max(words, key=len, default="")) <= self.LONGEST_WORD:
+                return np.array(self.fast.encode_ordinary(self.MARK.join(words) + self.MARK), np.uint32)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def bytes_shown() -> dict[int, str]:
+    """The character that byte-level files write for each byte: printable ones themselves, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker: tasks that follow find it ready."""
+    return WordTokenizer(path)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -109,14 +129,14 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE, end_id:
         raise ValueError("the sequence length must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = WordTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        coder, part = word_tokenizer(tokenizer_path), TaskContext.get().partitionId()
         count = [0] * 64
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 256):
                 rows = []
-                for doc_id, ids in zip(ids_of[lo : lo + 256], coder.encode(texts[lo : lo + 256])):
-                    ids, start = np.append(ids, np.uint32(end_id)).astype("<u4"), 0
+                for doc_id, text in zip(ids_of[lo : lo + 256], texts[lo : lo + 256]):
+                    ids, start = np.append(coder.encode(text), np.uint32(end_id)).astype("<u4"), 0
                     for n in piece_lengths(len(ids), longest):
                         b = n.bit_length() - 1
                         rows.append((doc_id, start, n, ids[start : start + n].tobytes(), len(ids), b << 58 | part << 36 | count[b], 0, b))
