@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,7 +225,7 @@ def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     beside = listed.select("cluster", F.col("band").alias("other_band"), F.col("block").alias("other"))
     tasks = listed.join(beside, "cluster").filter("other_band - band = 1 or (other_band = band and other >= block)").select("block", "other")
 
-    # The sets of the classes to compare, from one document each.
+    # The texts of the classes to compare, from one document each: packed, a text is a third of the hashes of its set.
     named = materialise(texts.mapInArrow(name, "doc_id long, n_shingles long, cls long"))
     classes = named.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     reps = spark.sparkContext.broadcast(key_filter(member.select("cls").join(classes, "cls").select(F.xxhash64("doc_id").alias("key"))))
@@ -233,19 +234,21 @@ def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = batch.filter(pa.array(passes(reps.value, batch.column(0).to_numpy())))
-            got = [(set_id(s), s.tobytes()) for s in shingle_sets(part.column(1), n) if len(s)]
+            got = [(set_id(s), i) for i, s in enumerate(shingle_sets(part.column(1), n)) if len(s)]
             cls = np.array([x[0] for x in got], np.int64)
             keep = np.flatnonzero(passes(asked.value, cls))
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array([got[i][1] for i in keep], pa.binary())], names=["cls", "body"])
+                pack = zstandard.ZstdCompressor().compress
+                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array([pack(part.column(1)[got[i][1]].as_buffer()) for i in keep], pa.binary())], names=["cls", "body"])
 
     # What the filters let through besides finds no block; a class that comes twice is compared with itself, too.
     sets = texts.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(bodies, "cls long, body binary")
     placed = materialise(sets.join(blocks, "cls").select("block", "large", "cls", "body"))
 
     def forest(ids: list[int], bodies: list[bytes], other_ids: list[int] | None = None, other_bodies: list[bytes] | None = None) -> list[tuple[int, int]]:
-        left = [np.frombuffer(v, np.uint64) for v in bodies]
-        right = left if other_ids is None else [np.frombuffer(v, np.uint64) for v in other_bodies]
+        unpack = zstandard.ZstdDecompressor().decompress
+        left, *rest = (list(shingle_sets(pa.array(map(unpack, side), pa.large_binary()), n)) for side in (bodies, other_bodies) if side is not None)
+        right = rest[0] if rest else left
         return [(ids[j], (other_ids or ids)[k]) for j, k in block_links(left, right, percent)]
 
     def within(key, table):
