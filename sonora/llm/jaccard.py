@@ -38,8 +38,12 @@ NGRAM, PERCENT = 4, 85
 CELLS = 1 << 16
 #: Matches a prefix may be lengthened to ask for, and shingles compared in the time that scanning one entry takes.
 MATCHES, COMPARED = (1, 2, 3, 4, 6, 8, 12), 4
-#: Classes that may share a prefix shingle and still be paired one by one; classes in a block.
+#: Classes that may share a prefix shingle and still be paired one by one; classes in a block that is a whole cluster.
 HOT, BLOCK = 50, 256
+#: Classes and shingles in a block of a large cluster, about: each block meets the cluster's others, so few and large ones move less.
+CUT_CLASSES, CUT_SHINGLES = 1024, 300_000
+#: A shingle counts as one of few sets up to this part of a block's pairs; pairs of such shingles counted at a time.
+SPARSE, PAIRS = 128, 1 << 21
 
 
 def shingle_sets(texts: pa.Array, n: int = NGRAM) -> Iterator[np.ndarray]:
@@ -113,7 +117,10 @@ def prefix(s: np.ndarray, sketch: Sketch, percent: int = PERCENT) -> tuple[np.nd
 
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int = PERCENT, width: int = 4096) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks of sets, as (left, right) places. Dense products over slices of the shingles."""
+    """A spanning forest of the links between two blocks of sets, as (left, right) places.
+
+    A shingle of few sets is counted for each two of them, one of many by dense products over slices of such shingles.
+    """
     sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
     rows = [np.repeat(np.arange(len(side)), n) for side, n in zip((left, right), sizes)]
     words, index = np.unique(np.concatenate(left + right), return_inverse=True)
@@ -123,17 +130,39 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int =
     both = np.logical_and(*(np.bincount(p, minlength=len(words)) > 0 for p in parts))
     if left is right:
         both = np.bincount(parts[0], minlength=len(words)) > 1
-    number = np.cumsum(both) - 1
-    rows = [r[both[p]] for r, p in zip(rows, parts)]
-    parts = [number[p[both[p]]] for p in parts]
-    words = words[both]
-    orders = [np.argsort(p, kind="stable") for p in parts]
-    for lo in range(0, len(words), width):
+    held = [np.bincount(p, minlength=len(words)) for p in parts]
+    often = both & (held[0] * held[1] * SPARSE > len(left) * len(right))
+    few = both & ~often
+
+    def ordered(chosen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each side's (shingle's number, set's place) of the chosen shingles, by shingle."""
+        number, out = np.cumsum(chosen) - 1, []
+        for p, r in zip(parts, rows):
+            at = np.flatnonzero(chosen[p])
+            at = at[np.argsort(p[at], kind="stable")]
+            out.append((number[p[at]], r[at]))
+        return out
+
+    (lw, lr), (rw, rr) = ordered(few)
+    met = held[1][few]
+    begin = np.cumsum(met) - met
+    times = met[lw]
+    done = np.cumsum(times)
+    lo = 0
+    while lo < len(lw):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, "right")))
+        t = times[lo:hi]
+        inner = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+        at = np.repeat(lr[lo:hi], t) * len(right) + rr[np.repeat(begin[lw[lo:hi]], t) + inner]
+        same += np.bincount(at, minlength=same.size).reshape(same.shape)
+        lo = hi
+    sides = ordered(often)
+    for lo in range(0, int(often.sum()), width):
         dense = []
-        for side, (p, o) in enumerate(zip(parts, orders)):
-            a, b = np.searchsorted(p[o], [lo, lo + width])
+        for side, (w, r) in enumerate(sides):
+            a, b = np.searchsorted(w, [lo, lo + width])
             m = np.zeros((len(sizes[side]), width), np.float32)
-            m[rows[side][o[a:b]], p[o[a:b]] - lo] = 1
+            m[r[a:b], w[a:b] - lo] = 1
             dense.append(m)
         same += np.rint(dense[0] @ dense[1].T).astype(np.int64)
     if left is right:
@@ -218,8 +247,8 @@ def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     sizes = cluster.join(held.select("cls", "size").distinct(), "cls")
     large = sizes.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > BLOCK).select("cluster", "large")
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    member = materialise(sizes.join(large, "cluster").select("cls", "cluster", "large", F.when(F.col("large"), band).otherwise(-1).alias("band")))
-    groups = member.groupBy("cluster", "band", "large").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = materialise(sizes.join(large, "cluster").select("cls", "size", "cluster", "large", F.when(F.col("large"), band).otherwise(-1).alias("band")))
+    groups = member.groupBy("cluster", "band", "large").agg(F.greatest(F.ceil(F.count("*") / CUT_CLASSES), F.ceil(F.sum("size") / CUT_SHINGLES)).cast("int").alias("n")).withColumn("blocks", F.when(F.col("large"), F.col("n")).otherwise(1)).drop("n")
     blocks = member.join(groups.drop("large"), ["cluster", "band"]).select("cls", "large", F.xxhash64("cluster", "band", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"))
     listed = groups.filter("large").select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("cluster", "band", F.xxhash64("cluster", "band", F.col("i").cast("long")).alias("block"))
     beside = listed.select("cluster", F.col("band").alias("other_band"), F.col("block").alias("other"))
