@@ -254,7 +254,7 @@ def link(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     beside = listed.select("cluster", F.col("band").alias("other_band"), F.col("block").alias("other"))
     tasks = listed.join(beside, "cluster").filter("other_band - band = 1 or (other_band = band and other >= block)").select("block", "other")
 
-    # The texts of the classes to compare, from one document each: packed, a text is a third of the hashes of its set.
+    # The texts of the classes to compare, from one document each: a packed text is much smaller than the hashes of its set.
     named = materialise(texts.mapInArrow(name, "doc_id long, n_shingles long, cls long"))
     classes = named.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     reps = spark.sparkContext.broadcast(key_filter(member.select("cls").join(classes, "cls").select(F.xxhash64("doc_id").alias("key"))))

@@ -272,3 +272,23 @@ def test_empty_tables(spark, docs):
     none, labels = docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (secrets.find_secrets(none), jaccard.link(none), pii.find_personal(none), suffixes.remove_repeats(none), quality.judge(none, labels), toxicity.score(none, labels), mixing.replicate(none)):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("pairs", [3, 1 << 21])
+def test_block_links_keep_the_groups_of_all_pairs(monkeypatch, pairs):
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    rng = np.random.default_rng(3)
+    base = [rng.choice(500, 40, replace=False) for _ in range(4)]
+    sets = [np.unique(np.append(base[k % 4][: 40 - k % 5], rng.integers(500, 520, k % 3))).astype(np.uint64) for k in range(40)]
+
+    def groups(links, n):
+        root = list(range(n))
+        for a, b in links:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+    linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    for left, right, shift in ((sets, sets, 0), (sets[:25], sets[25:], 25)):
+        want = [(i, j + shift) for i, a in enumerate(left) for j, b in enumerate(right) if linked(a, b)]
+        got = [(i, j + shift) for i, j in jaccard.block_links(left, right)]
+        assert set(got) <= set(want) and groups(got, 40) == groups(want, 40)
