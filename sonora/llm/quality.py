@@ -6,8 +6,9 @@ threshold is fixed by the trusted documents: their mean score less a number of t
 to six places; every document at or above it is kept unless a base rule failed. All of it is SQL functions; no
 Python runs on the executors.
 
-Bounds: trusted documents are at most ``trusted_rows`` (by a hash of doc_id), so their ids can be broadcast; the
-two multinomials have ``buckets`` cells. The raw corpus is counted whole.
+Bounds: both multinomials count all their documents and have ``buckets`` cells. Trusted ids meet the documents in a
+join whose kind Spark chooses, so nothing of them is capped; counts and scores are stored once without texts, and the
+threshold is taken from all stored scores of trusted documents.
 
 Defined cases: a null or blank text has no words, fails the base rules and scores 0; without trusted documents all
 scores are 0 and the base rules decide; an empty table gives no rows; repeated rows count as often as they come;
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_or_empty
+from .base import materialise, text_or_empty
 
 # Fixed values of the contract: what separates words, what counts as a symbol.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -29,7 +30,7 @@ NOT_BLANK = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-BUCKETS, TRUSTED_ROWS, SMOOTH = 1 << 15, 20_000, 1.0
+BUCKETS, SMOOTH = 1 << 15, 1.0
 #: Standard deviations below the trusted mean at which a document still is kept.
 BELOW = 4.0
 
@@ -72,15 +73,15 @@ def grams(ws: Column, buckets: int) -> Column:
     return F.when(F.size(ws) > 1, F.concat(one, two)).otherwise(one)
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of at most ``rows`` documents labelled of quality, by a hash of the id: what is broadcast is bounded."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled of quality, each once."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    return good.groupBy("doc_id").agg(F.lit(True).alias("trusted")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return good.groupBy("doc_id").agg(F.lit(True).alias("trusted"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(trusted probability / raw probability) of each bucket; zeros where nothing is trusted."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trusted_ids(labels, trusted_rows)), "doc_id", "left")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted_ids(labels), "doc_id", "left")
     counted = texts.select("trusted", words().alias("ws")).select("trusted", F.explode(let_words("ws", lambda ws: grams(ws, buckets))).alias("b"))
     rows = counted.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("good")).collect()
     raw, good = [SMOOTH] * buckets, [SMOOTH] * buckets
@@ -106,13 +107,16 @@ def score(ws: Column, ratios: list[float]) -> Column:
     return F.when(F.size(ws) > 0, total / F.greatest(F.lit(1), 2 * F.size(ws) - 1)).otherwise(0.0)
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, below: float = BELOW) -> DataFrame:
+def keep_limit(counted: DataFrame, labels: DataFrame, below: float = BELOW) -> float:
+    """The least score kept: the mean over all trusted documents of enough words, less ``below`` standard deviations."""
+    trusted = counted.filter(F.col("n_words") >= MIN_WORDS).select("doc_id", "score").join(trusted_ids(labels), "doc_id")
+    stats = trusted.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()
+    return -math.inf if stats["m"] is None else round(stats["m"] - below * stats["s"], 6)
+
+
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, below: float = BELOW) -> DataFrame:
     """One row per document: counts of the base rules, ``score``, ``base_failed`` and ``kept``."""
-    ratios = log_ratios(docs, labels, buckets, trusted_rows)
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trusted_ids(labels, trusted_rows)), "doc_id")
-    scored = trusted.select(words().alias("ws")).select(let_words("ws", lambda ws: score(ws, ratios)).alias("score"), F.size("ws").alias("n")).filter(F.col("n") >= MIN_WORDS)
-    stats = scored.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()
-    limit = -math.inf if stats["m"] is None else round(stats["m"] - below * stats["s"], 6)
+    ratios = log_ratios(docs, labels, buckets)
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_BLANK))
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words().alias("ws"), (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
@@ -125,5 +129,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_ro
         let_words("ws", repeat_words).alias("n_repeat_words"),
         let_words("ws", lambda ws: score(ws, ratios)).alias("score"),
     )
+    counted = materialise(counted)
+    limit = keep_limit(counted, labels, below)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.round("score", 6) >= F.lit(limit)))

@@ -225,6 +225,23 @@ def test_quality_runs_no_python(spark, docs):
     assert not re.search("Python|Pandas|InArrow", plan)
 
 
+def test_quality_counts_all_trusted(spark):
+    from pyspark.sql import functions as F
+
+    n, cells = 20_300, 64
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") % 7).cast("string")).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 70 != 0, 1).otherwise(0).alias("quality"), F.lit(0).alias("toxic"))
+    labels = labels.unionByName(labels.filter("doc_id < 9"))  # a label that comes twice counts once
+    cell = {r["i"]: r["b"] for r in spark.range(7).select(F.col("id").alias("i"), F.pmod(F.xxhash64(F.concat(F.lit("w"), F.col("id").cast("string"))), F.lit(cells)).cast("int").alias("b")).collect()}
+    raw, good = Counter(cell[i % 7] for i in range(n)), Counter(cell[i % 7] for i in range(n) if i % 70)
+    m, mass, r = sum(good.values()), 0.01 * (sum(good.values()) + cells), lambda b: (raw[b] + 1) / (n + cells)
+    want = [round(float(np.log((good[b] + mass * r(b)) / (m + mass) / r(b))), 6) for b in range(cells)]
+    assert m > 20_000 and quality.log_ratios(docs, labels, cells) == pytest.approx(want, abs=2e-6)
+    scored = docs.select("doc_id", F.lit(60).alias("n_words"), F.col("doc_id").cast("double").alias("score"))
+    trusted = [i for i in range(n) if i % 70]
+    assert quality.keep_limit(scored, labels, 4.0) == pytest.approx(np.mean(trusted) - 4 * np.std(trusted), abs=1e-3)
+
+
 def test_chats(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     said = "<|im_end|><|im_start|>assistant ok"
