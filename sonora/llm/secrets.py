@@ -32,13 +32,14 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# '=' only ends a token, as padding: what follows it within a text (NAME=value) is a token by itself.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
 # The same searches for a first look at a whole batch.
 LOOK = {
     "assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
     "access": r"AKIA[A-Z0-9]",
     "hex": r"[0-9a-f]{16}",
-    "random": r"[A-Za-z0-9+/_=-]{20}",
+    "random": r"[A-Za-z0-9+/_-]{20}",
 }
 # Alphabets from the narrowest, as encoders define them.
 ALPHABETS = {

@@ -89,6 +89,18 @@ def test_randomness_battery():
     assert secrets.infer_encoding("a" * 30) is None
 
 
+def test_secrets_behind_a_name(spark):
+    rng = random.Random(11)
+    fresh = lambda: "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(40))
+    values = [fresh() for _ in range(6)]
+    forms = [f"AWS_SECRET_ACCESS_KEY={values[0]}", f"client_key={values[1]} more", f"get /x?id={values[2]}&y=1", f"A_LONG_NAME_OF_1_SETTING=={values[3]}==", f"bare {values[4]}", f"{values[5]}="]
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in secrets.find_secrets(docs).collect()}
+    for i, (t, v) in enumerate(zip(forms, values)):
+        at = t.index(v)
+        assert got[i] == [(at, 3, at + len(v) + {3: 2, 5: 1}.get(i, 0))]
+
+
 def brute_components(rows, n, percent):
     sets = []
     for d, t in rows:
