@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sonora.functions.signal import at_least, interval_iou, precision_recall_f1
 
+from .windows import numbered, settled
+
 KEY = "recording_id"
 
 
@@ -28,19 +30,19 @@ def iou_pairs(gt: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataFra
 def iou_match(pairs: DataFrame) -> DataFrame:
     """One-to-one greedy matches (key, match_rank, gi, pi, iou): best IoU first, ties by gi, then pi.
 
-    A recording's candidate pairs are one array: they are few, as only pairs above the threshold come here.
+    By rounds: pairs that are the best of both their intervals are matched, all pairs of these intervals go, and the
+    rest is settled before the next round. That gives the greedy walk's matches, and no task needs a whole recording.
+    Rounds are as many as the longest chain of pairs each of which waits for a better neighbour.
     """
-    queue = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("worse"), F.col("gi"), F.col("pi"))))
-    start = F.expr("struct(cast(array() as array<long>) as g, cast(array() as array<long>) as p, cast(array() as array<struct<gi: long, pi: long, iou: double>>) as m)")
-
-    def step(acc, x):
-        used = F.array_contains(acc["g"], x["gi"]) | F.array_contains(acc["p"], x["pi"])
-        more = F.struct(F.concat(acc["g"], F.array(x["gi"])).alias("g"), F.concat(acc["p"], F.array(x["pi"])).alias("p"), F.concat(acc["m"], F.array(F.struct(x["gi"].alias("gi"), x["pi"].alias("pi"), (-x["worse"]).alias("iou")))).alias("m"))
-        return F.when(used, acc).otherwise(more)
-
-    cast = pairs.select(KEY, F.col("gi").cast("long").alias("gi"), F.col("pi").cast("long").alias("pi"), "iou")
-    matched = cast.groupBy(KEY).agg(queue.alias("q")).select(KEY, F.posexplode(F.aggregate("q", start, step, lambda a: a["m"])).alias("match_rank", "m"))
-    return matched.select(KEY, "match_rank", "m.gi", "m.pi", "m.iou")
+    left = settled(pairs.select(KEY, F.col("gi").cast("long").alias("gi"), F.col("pi").cast("long").alias("pi"), (-F.col("iou")).alias("worse")))
+    matched = left.limit(0)
+    while not left.isEmpty():
+        best = lambda index: left.groupBy(KEY, index).agg(F.min(F.struct("worse", "gi", "pi")).alias("b")).select(KEY, "b.*")  # noqa: E731, B023
+        now = settled(best("gi").intersect(best("pi")).select(KEY, "gi", "pi", "worse"))
+        matched = matched.unionByName(now)
+        left = settled(left.join(now.select(KEY, "gi"), [KEY, "gi"], "left_anti").join(now.select(KEY, "pi"), [KEY, "pi"], "left_anti").select(KEY, "gi", "pi", "worse"))
+    ranked = numbered(matched, [KEY], ["worse", "gi", "pi"], "match_rank")
+    return ranked.select(KEY, F.col("match_rank").cast("int").alias("match_rank"), "gi", "pi", (-F.col("worse")).alias("iou"))
 
 
 def unmatched(intervals: DataFrame, matches: DataFrame, index: str) -> DataFrame:

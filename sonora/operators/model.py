@@ -11,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 #: Kernel sizes of the layers, zero padded to keep the length.
 KERNELS = (9, 9, 5, 1)
+#: Frames between the begins of two runs of windows; a task scores one run at a time.
+CHUNK = 1024
 Weights = list[tuple[np.ndarray, np.ndarray]]
 
 
@@ -109,28 +113,32 @@ def sliding_predict(frames: DataFrame, weights: Weights, width: int, hop: int |
     """(key, frame_idx, prob): each frame's mean probability over the windows that hold it, 0 where none does.
 
     Recordings shorter than a window are padded with their last frame. Windows are scored one by one, as the network
-    pads each with zeros at its own ends.
+    pads each with zeros at its own ends. A task holds one run of windows, about CHUNK frames, never a recording.
     """
     hop = hop or max(1, width // 4)
     if not 0 < hop <= width:
         raise ValueError("the hop must lie between one frame and the window's width")
     model = frames.sparkSession.sparkContext.broadcast(weights)
-    whole = frames.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, features))).alias("f"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rec, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.array([r[features] for r in rows], float).T
-                n = x.shape[1]
-                padded = np.pad(x, ((0, 0), (0, max(0, width - n))), mode="edge")
-                total, seen = np.zeros(padded.shape[1]), np.zeros(padded.shape[1])
-                for s in range(0, padded.shape[1] - width + 1, hop):
-                    total[s : s + width] += 1 / (1 + np.exp(-np.clip(forward(model.value, padded[None, :, s : s + width])[0][0], -500, 500)))
-                    seen[s : s + width] += 1
-                prob = (total / np.maximum(seen, 1e-12))[:n]
-                yield pa.RecordBatch.from_arrays([pa.array([rec] * n, pa.int64()), pa.array([r[order] for r in rows], pa.int32()), pa.array(prob)], names=[key, order, "prob"])
-
-    return whole.select(F.col(key).cast("long").alias(key), "f").mapInArrow(run, f"{key} long, {order} int, prob double")
+    stride = max(1, CHUNK // hop) * hop
+    placed = numbered(frames.select(F.col(key).cast("long").alias("_key"), F.col(order).cast("int").alias("_order"), F.col(features).alias("_x")), ["_key"], ["_order", "_x"], "_pos")
+    # A run's last window begins at stride - hop, so frames behind the next run's begin belong to both.
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_pos") - (stride - hop + width - 1)) / F.lit(stride)))
+    runs = placed.withColumn("_run", F.explode(F.sequence(first, F.floor(F.col("_pos") / F.lit(stride)))))
+
+    def score(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_pos")
+        x = np.array(table["_x"].to_pylist(), float).T
+        n, run = x.shape[1], table["_run"][0].as_py()
+        padded = np.pad(x, ((0, 0), (0, max(0, width - n))), mode="edge") if run == 0 else x
+        total, seen = np.zeros(padded.shape[1]), np.zeros(padded.shape[1])
+        for s in range(0, min(stride, padded.shape[1] - width + 1), hop):
+            total[s : s + width] += 1 / (1 + np.exp(-np.clip(forward(model.value, padded[None, :, s : s + width])[0][0], -500, 500)))
+            seen[s : s + width] += 1
+        return table.select(["_key", "_order", "_pos"]).append_column("total", pa.array(total[:n])).append_column("seen", pa.array(seen[:n]))
+
+    scored = runs.groupBy("_key", "_run").applyInArrow(score, "_key long, _order int, _pos long, total double, seen double")
+    summed = scored.groupBy("_key", "_order", "_pos").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"))
+    return summed.select(F.col("_key").alias(key), F.col("_order").alias(order), (F.col("total") / F.greatest(F.col("seen"), F.lit(1e-12))).alias("prob"))
 
 
 def save_model(path: str, weights: Weights, settings: dict, overwrite: bool = False) -> None:

@@ -22,6 +22,32 @@ def frame_labels(frames: DataFrame, intervals: DataFrame, time: str = "time_s")
     return hit.unionByName(rest)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the checkpoint folder where there is one, or on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def before(df: DataFrame, keys: list[str], order: list[str], name: str, value: Column, fold=F.sum) -> DataFrame:
+    """Adds ``name``: the sum (or maximum) of ``value`` over the rows before each row within its keys; null before the first.
+
+    Rows are dealt by ranges of keys and order and folded within each range; ranges of the same keys are folded with
+    those before them, a row per range. No task needs all rows of a key.
+    """
+    cut = settled(df.withColumn("_value", value).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    at = [*keys, "_part"]
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*at).agg(fold("_value").alias("_value"))
+    earlier = parts.select(F.struct(*at).alias("_at"), fold("_value").over(so_far(Window.partitionBy(*keys).orderBy("_part"))).alias("_earlier"))
+    inside = cut.withColumn("_own", fold("_value").over(so_far(Window.partitionBy(*at).orderBy(*order)))).withColumn("_at", F.struct(*at))
+    both = F.greatest("_earlier", "_own") if fold is F.max else F.coalesce(F.col("_earlier") + F.col("_own"), "_earlier", "_own")
+    return inside.join(earlier, "_at").withColumn(name, both).drop("_at", "_earlier", "_own", "_part", "_value")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: each row's place from 0 within its keys."""
+    return before(df, keys, order, name, F.lit(1)).withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
+
+
 def window_starts(n: Column, width: int, hop: int) -> Column:
     """Starts of all whole windows; an empty array where the recording is shorter than one."""
     if width <= 0 or hop <= 0:
@@ -50,17 +76,17 @@ def overlap_average(frames: DataFrame, scores: DataFrame) -> DataFrame:
 def split_by_windows(recordings: DataFrame, train_frac: float, val_frac: float, position: str) -> DataFrame:
     """Adds ``split``: in the order of ``position``, training while its windows are below target, then validation, then test.
 
-    Recordings without windows are left out. The running sums are over the recordings table, a row per file.
+    Recordings without windows are left out. Those for training come first, so what the others' sums leave out is one total.
     """
     if train_frac <= 0 or val_frac < 0 or train_frac + val_frac > 1.01:
         raise ValueError("fractions must be positive and sum to one at most")
     usable = recordings.filter("n_windows > 0")
-    everything, so_far = Window.partitionBy(), Window.orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n_windows").over(everything)
-    before = F.coalesce(F.sum("n_windows").over(so_far), F.lit(0))
-    trained = usable.withColumn("_total", total).withColumn("_train", before < F.col("_total") * train_frac)
-    rest = F.coalesce(F.sum(F.when(~F.col("_train"), F.col("n_windows")).otherwise(0)).over(so_far), F.lit(0))
-    return trained.withColumn("split", F.when(F.col("_train"), "train").when(rest < F.col("_total") * val_frac, "val").otherwise("test")).drop("_total", "_train")
+    summed = before(usable, [], [position], "_before", F.col("n_windows")).withColumn("_before", F.coalesce("_before", F.lit(0)))
+    total = usable.agg(F.sum("n_windows")).first()[0] or 0
+    train = F.col("_before") < F.lit(total) * train_frac
+    trained = summed.filter(train).agg(F.sum("n_windows")).first()[0] or 0
+    rest = F.col("_before") - F.lit(trained)
+    return summed.withColumn("split", F.when(train, "train").when(rest < F.lit(total) * val_frac, "val").otherwise("test")).drop("_before")
 
 
 def pos_weight(frames: DataFrame, label: str = "label") -> DataFrame:
@@ -75,8 +101,8 @@ def best_epochs(epochs: DataFrame, metric: str, order: str, mode: str = "max") -
         raise ValueError("mode must be min or max")
     sign = 1 if mode == "max" else -1
     usable = epochs.filter(F.col(metric).isNotNull() & ~F.isnan(metric))
-    before = F.max(F.col(metric) * sign).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return usable.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col(metric) * sign > F.col("_b"))).drop("_b")
+    seen = before(usable, [], [order], "_b", F.col(metric) * sign, F.max)
+    return seen.filter(F.col("_b").isNull() | (F.col(metric) * sign > F.col("_b"))).drop("_b")
 
 
 def _bce(x: Column, y: Column, weight: float = 1.0) -> Column:
