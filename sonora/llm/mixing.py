@@ -7,7 +7,8 @@ partitioned and sorted by a hash of (seed, doc_id, copy), which is even whatever
 
 Defined cases: a source without a target weight gets its real share to the power ``temperature``, in proportion to
 the others; a null source is a source of its own; a null doc_id hashes as an empty string; repeated rows get equal
-counts each; an empty table gives no rows; columns beside doc_id and source are carried along.
+counts each; an empty table gives no rows; columns beside doc_id and source are carried along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -46,14 +47,27 @@ def poisson_count(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(8 * MOST_RATE)), start, step, lambda a: a["k"]) + sure.cast("int")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as set it apart from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``copy`` and ``shuffle_key``, each row as often as its count says, in a global random order."""
+    """``docs`` with ``copy`` and ``shuffle_key``, each row as often as its count says, in a global random order.
+
+    Where ``docs`` has columns of these names, its own stay and the added ones get underscores before their names.
+    """
+    name_of, rate, count, copy, shuffle_key = (free_name(docs, x) for x in ("_source", "rate", "_n", "copy", "shuffle_key"))
     # One row per source: the join's size is Spark's to check, and it splits a hot source where it can't broadcast.
-    with_rate = docs.join(rates(docs, weights, temperature).withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    n = poisson_count(uniform(F.lit(seed), F.col("doc_id")), F.col("rate"))
-    copies = with_rate.withColumn("_n", n).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("rate", "_n")
-    keyed = copies.withColumn("shuffle_key", uniform(F.lit(seed), F.col("doc_id"), F.col("copy")))
-    return keyed.repartitionByRange(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    mixed = rates(docs, weights, temperature).select(F.col("source").alias(name_of), F.col("rate").alias(rate))
+    with_rate = docs.join(mixed, F.col("source").eqNullSafe(F.col(name_of))).drop(name_of)
+    n = poisson_count(uniform(F.lit(seed), F.col("doc_id")), F.col(rate))
+    copies = with_rate.withColumn(count, n).filter(F.col(count) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(rate, count)
+    keyed = copies.withColumn(shuffle_key, uniform(F.lit(seed), F.col("doc_id"), F.col(copy)))
+    return keyed.repartitionByRange(F.col(shuffle_key)).sortWithinPartitions(shuffle_key)
 
 
 def replication_oracle(temperature: float = TEMPERATURE, seed: int = SEED) -> str:

@@ -297,6 +297,16 @@ def test_poisson_counts(docs):
         assert got[r["doc_id"]] == k * (2 if r["doc_id"] == 6 else 1)
 
 
+def test_poisson_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "source", "rate", "copy", "_n", "Shuffle_Key", "_source"]
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", f"r{i}", f"c{i}", f"n{i}", f"k{i}", f"s{i}") for i in range(60)], names)
+    out, plain = mixing.replicate(docs), mixing.replicate(docs.select("doc_id", "source"))
+    assert out.columns == [*names, "_copy", "_shuffle_key"]
+    got = out.collect()
+    assert all(tuple(r)[2:7] == tuple(f"{x}{r['doc_id']}" for x in "rcnks") for r in got)
+    assert Counter((r["doc_id"], r["_copy"], r["_shuffle_key"]) for r in got) == Counter((r["doc_id"], r["copy"], r["shuffle_key"]) for r in plain.collect())
+
+
 def test_empty_tables(spark, docs):
     none, labels = docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (secrets.find_secrets(none), jaccard.link(none), pii.find_personal(none), suffixes.remove_repeats(none), quality.judge(none, labels), toxicity.score(none, labels), mixing.replicate(none)):
