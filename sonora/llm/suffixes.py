@@ -384,7 +384,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Texts without a repeat, all but a few of which a filter of bounded size names, are not shuffled.
     """
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    found = materialise(spans(texts.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found")))
+    found = materialise(spans(texts.select("row", "text")).select("row", "start", "end").distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found")))
     some = texts.sparkSession.sparkContext.broadcast(key_filter(found.select("row")))
 
     def named(yes: bool) -> Callable:

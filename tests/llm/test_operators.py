@@ -208,6 +208,17 @@ def test_repeats_go(docs, rows, monkeypatch, hot):
     assert got == brute_repeats(rows)
 
 
+def test_repeated_rows_gather_spans_once(spark, monkeypatch):
+    stored, keep = [], suffixes.materialise
+    monkeypatch.setattr(suffixes, "materialise", lambda df: stored.append(keep(df)) or stored[-1])
+    text = " ".join(f"word{i * i}" for i in range(60))
+    rows = [(1, text)] * 12 + [(None, text)] * 5
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["n_removed"] for r in got.collect()] == [len(text)] * 17
+    lists = [[tuple(x) for x in r["found"]] for df in stored if "found" in df.columns for r in df.collect()]
+    assert len(lists) == 2 and all(len(x) == len(set(x)) for x in lists)
+
+
 def test_multikey_sort():
     rng = np.random.RandomState(2)
     words, group = rng.randint(0, 3, (300, 4)).astype(np.uint64), rng.randint(0, 5, 300)
