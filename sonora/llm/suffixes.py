@@ -1,19 +1,19 @@
 """Operator 6, suffix-array dedup: every byte covered by a string of ``length`` bytes that also starts elsewhere goes.
 
-Sorting the suffixes of all positions would move the corpus many times over, so only some are sorted. Of each
-window of 200 bytes one suffix is sampled, the one whose first bytes hash lowest among those with 100 bytes of it
-left; equal windows sample equal suffixes. A sampled suffix stands for the windows that hold its first 100 bytes (its
-key); all of these lie in the 300 bytes about it (its region). By key, counted with partial aggregation:
-
-- a key that occurs once settles its windows as unique;
-- a key whose regions are all equal settles them as repeats;
-- otherwise the suffixes with that key, at most ``HOT``, are sorted: sampled splitters range-partition them by
-  leading bytes, each bucket is sorted by multikey quicksort (eight bytes at a time, to the right of the key and to
-  the left), and neighbours' common lengths give the repeats. Splitters never part equal leading bytes, so no two
-  suffixes to compare lie across a boundary;
-- of a key that occurs more often, no task could hold all suffixes whatever the splitters: its regions are counted,
-  those that differ from all others are cut into parts of ten windows, then into single windows, and these are counted
-  as the keys were, without gathering them.
+Sorting the suffixes of all positions would move the corpus many times over, so only some are sorted. Each window of
+200 bytes names one suffix, the one whose first bytes hash lowest among those with 100 bytes of it left; equal windows
+name suffixes that begin with equal 100 bytes (the key), as far from their own beginnings. A suffix owns the windows
+that name it, a run of them; the bytes that these cover are its region, of 300 bytes at most. Then, for all keys alike:
+
+- a key that occurs once settles its windows as unique (counted with partial aggregation);
+- a region that occurs twice or more, as bytes about a key, settles its windows as repeats (counted likewise);
+- one suffix of each different region of a key is sorted: sampled splitters range-partition them by leading bytes,
+  each bucket is sorted by multikey quicksort (eight bytes at a time, to the right of the key and to the left), and
+  neighbours' common lengths give the repeats. Splitters never part equal keys, so no two suffixes to compare lie
+  across a boundary; a group that an Arrow batch cuts is carried on to the next.
+
+A key with more than ``GROUP`` different regions would need more memory than a task has, whatever the splitters: its
+regions are cut into parts of ten windows, then into single windows, and these are counted as the keys were.
 
 Matches never cross documents: a region ends where its document does. Hashes of strings have 64 bits.
 
@@ -35,8 +35,10 @@ from .base import arrow_bytes, materialise, mix, prefix_sums, range_hash, small_
 from .graph import key_filter, passes
 
 LENGTH, KEY = 200, 100
-#: Suffixes of one key that a bucket sorts at most, and bytes of text worked on at once.
-HOT, CHUNK = 1500, 1 << 18
+#: Different regions of one key that a bucket sorts at most (some 30 MB), and bytes of text worked on at once.
+GROUP, CHUNK = 100_000, 1 << 18
+#: Sorted suffixes that are compared at a time, at least.
+ROWS = 8192
 WIDTH = LENGTH - KEY + 1
 _TOP = np.uint64((1 << 64) - 1)
 
@@ -52,11 +54,14 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def sampled(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the buffer of the sampled suffixes, and the rows they lie in. ``at``: where each row begins, and the end."""
+def sampled(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places in the buffer of the sampled suffixes, the rows they lie in, and where their regions begin and end.
+
+    ``at``: where each row begins, and the end.
+    """
     n = len(buf)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     eight = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(buf), 0, (1,))
     with np.errstate(over="ignore"):
         h = (eight * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) << np.uint64(32) | np.arange(n - 7, dtype=np.uint64)
@@ -66,9 +71,13 @@ def sampled(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= LENGTH:
             inside[a : b - LENGTH + 1] = True
-    # The low half of each minimum is its place.
-    places = np.unique((least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    return places, np.searchsorted(at, places, "right") - 1
+    # The low half of each window's minimum is the place that it names; windows that name the same come in runs.
+    window = np.flatnonzero(inside)
+    named = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.diff(named, prepend=-1))
+    last = np.append(first[1:], len(named)) - 1
+    places = named[first]
+    return places, np.searchsorted(at, places, "right") - 1, window[first], window[last] + LENGTH
 
 
 def regions(batch_ids: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
@@ -78,17 +87,19 @@ def regions(batch_ids: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
         part, ends = np.ascontiguousarray(buf[at[lo] : at[hi]]), at[lo : hi + 1] - at[lo]
-        p, row = sampled(part, ends)
+        p, row, start, end = sampled(part, ends)
         if len(p):
             sums = prefix_sums(part)
-            start, end = np.maximum(p - (WIDTH - 1), ends[row]), np.minimum(p + LENGTH, ends[row + 1])
             with np.errstate(over="ignore"):
                 whole = mix(range_hash(sums, start, end) + (p - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             yield part, batch_ids[lo:hi][row], p, start, end, ends[row], range_hash(sums, p, p + KEY), whole
         lo = hi
 
 
+#: Regions that a task remembers; beyond it, equal ones are sorted once more, to the same end.
+SEEN = 1_000_000
 _STATS = "key long, region long"
+_SHARED = "key long, region long, row long, start long, width int"
 _ROWS = "key long, region long, row long, start long, width int, left int, lead long, body binary"
 _FIELDS = [("key", pa.int64()), ("region", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("width", pa.int32()), ("left", pa.int32()), ("lead", pa.int64()), ("body", pa.binary())]
 
@@ -100,28 +111,43 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _states(stats: DataFrame) -> DataFrame:
-    """Keys that occur twice or more: how often, and whether their regions are all equal."""
-    return stats.groupBy("key").agg(F.count("*").alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).filter("n > 1").select("key", "n", F.expr("a = b").alias("same"))
+    """Keys that occur twice or more, and whether their regions are all equal."""
+    return stats.groupBy("key").agg(F.count("*").alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).filter("n > 1").select("key", F.expr("a = b").alias("same"))
 
 
-def _emit(filters: list, kind: str) -> Callable:
-    """The rows of one kind: "same" (no bodies), "sort" or "hot" (with bodies). Filters may let others through; joins follow."""
+def _shared(known: object) -> Callable:
+    """Suffixes whose key may occur twice or more, without their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        same, sort, hot = (f.value for f in filters)
+        for batch in batches:
+            for _, ids, p, start, end, first, key, whole in regions(batch.column(0).to_numpy(), batch.column(1)):
+                i = np.flatnonzero(passes(known.value, key))
+                if len(i):
+                    columns = [key[i].view(np.int64), whole[i].view(np.int64), ids[i], start[i] - first[i], (end - start)[i].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "region", "row", "start", "width"])
+
+    return run
+
+
+def _bodies(differing: object) -> Callable:
+    """Suffixes whose key may have different regions, with their bytes: each region once a task, as equal ones are settled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for buf, ids, p, start, end, first, key, whole in regions(batch.column(0).to_numpy(), batch.column(1)):
-                is_hot = passes(hot, key)
-                take = {"same": lambda: passes(same, key), "hot": lambda: is_hot, "sort": lambda: ~is_hot & passes(sort, key)}[kind]()
-                i = np.flatnonzero(take)
+                i = np.flatnonzero(passes(differing.value, key))
+                i = i[np.sort(np.unique(whole[i], return_index=True)[1])]
+                names = whole[i].tolist()
+                i = i[[x not in seen for x in names]]
+                if len(seen) < SEEN:
+                    seen.update(names)
                 if len(i):
-                    body = None
-                    if kind != "same":
-                        raw = buf.tobytes()
-                        body = pa.array([raw[a:b] for a, b in zip(start[i].tolist(), end[i].tolist())], pa.binary())
+                    raw = buf.tobytes()
+                    body = pa.array([raw[a:b] for a, b in zip(start[i].tolist(), end[i].tolist())], pa.binary())
                     lead = np.ndarray((len(buf) - 7,), ">u8", buf, 0, (1,))[p[i]].astype(np.uint64).view(np.int64)
                     columns = [key[i].view(np.int64), whole[i].view(np.int64), ids[i], start[i] - first[i], (end - start)[i].astype(np.int32), (p - start)[i].astype(np.int32), lead]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), body if body is not None else pa.nulls(len(i), pa.binary())], schema=pa.schema(_FIELDS))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), body], schema=pa.schema(_FIELDS))
 
     return run
 
@@ -234,15 +260,16 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["row", "start", "end"])
 
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        key = table["key"].to_numpy()
+        rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
+        if len(rest) < ROWS:
+            continue
+        key = rest["key"].to_numpy()
         cut = len(key) - 1
         while cut > 0 and key[cut - 1] == key[cut]:
             cut -= 1
-        rest = table.slice(cut)
         if cut:
-            yield from solve(table.slice(0, cut))
+            yield from solve(rest.slice(0, cut))
+            rest = rest.slice(cut)
     if rest is not None and len(rest):
         yield from solve(rest)
 
@@ -273,29 +300,18 @@ def _parts(batch: pa.RecordBatch, step: int) -> Iterator[tuple[np.ndarray, ...]]
 
 
 def hot_spans(hot: DataFrame) -> DataFrame:
-    """Spans of regions whose keys are too frequent to sort: by counting regions, parts of ten windows, single windows.
+    """Spans of regions whose keys have too many different ones to sort: by counting parts of ten windows, then single windows.
 
-    A region or part whose whole bytes occur twice is a repeat, and is cut further only once a task, for others to be
-    compared with; a part whose core occurs once holds no repeat; the windows of the others are counted. Counts
-    combine before they are shuffled, so nothing here gathers a frequent key.
+    A part whose whole bytes occur twice is a repeat, and is cut further only once a task, for others to be compared
+    with; a part whose core occurs once holds no repeat; the windows of the others are counted. Counts combine before
+    they are shuffled, so nothing here gathers a frequent key. Equal regions are settled before.
     """
     spark, step = hot.sparkSession, 10
-    equal = materialise(hot.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1").select("region"))
-    copies = hot.select("region", "row", "start", "width").join(equal, "region").select("row", "start", (F.col("start") + F.col("width")).alias("end"))
-    known = spark.sparkContext.broadcast(key_filter(equal))
 
     def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in small batches, without those of repeated regions that the task has had before."""
-        seen: set[int] = set()
+        """Rows in small batches."""
         for batch in batches:
-            region = batch.column(batch.schema.names.index("region")).to_numpy()
-            keep = np.ones(len(batch), bool)
-            for i in np.flatnonzero(passes(known.value, region)).tolist():
-                keep[i] = region[i] not in seen
-                if len(seen) < 1_000_000:
-                    seen.add(region[i])
-            part = batch.filter(pa.array(keep))
-            yield from (part.slice(lo, 2048) for lo in range(0, len(part), 2048))
+            yield from (batch.slice(lo, 2048) for lo in range(0, len(batch), 2048))
 
     def place(batch: pa.RecordBatch, item: np.ndarray) -> tuple[np.ndarray, ...]:
         return tuple(batch.column(batch.schema.names.index(c)).to_numpy()[item] for c in ("row", "start"))
@@ -332,22 +348,25 @@ def hot_spans(hot: DataFrame) -> DataFrame:
 
     windows = hot.mapInArrow(single, "window long, row long, start long")
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    return copies.unionByName(settled).unionByName(windows.join(twice, "window").select("row", "start", (F.col("start") + LENGTH).alias("end")))
+    return settled.unionByName(windows.join(twice, "window").select("row", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def spans(texts: DataFrame) -> DataFrame:
     """(row, start, end): byte ranges that repeat, for texts in columns row (a hash) and text."""
     spark = texts.sparkSession
     states = materialise(_states(texts.mapInArrow(_stats, _STATS)))
-    kinds = {"same": "same", "sort": f"not same and n <= {HOT}", "hot": f"not same and n > {HOT}"}
-    filters = [spark.sparkContext.broadcast(key_filter(states.filter(k).select("key"))) for k in kinds.values()]
-    of = lambda kind: texts.mapInArrow(_emit(filters, kind), _ROWS)
-    same = of("same").select("key", "row", "start", "width").join(states.filter(kinds["same"]).select("key"), "key").select("row", "start", (F.col("start") + F.col("width")).alias("end"))
-    sort = of("sort").select("key", "row", "start", "left", "lead", "body").repartitionByRange(F.col("lead"), F.col("key")).sortWithinPartitions("lead", "key").mapInArrow(_bucket, "row long, start long, end long")
-    found = same.unionByName(sort)
-    if not states.filter(kinds["hot"]).isEmpty():
-        found = found.unionByName(hot_spans(materialise(of("hot").select("key", "region", "row", "start", "width", "left", "body"))))
-    return found
+    known, differing = (spark.sparkContext.broadcast(key_filter(k.select("key"))) for k in (states, states.filter("not same")))
+    # What the filter lets through besides occurs once and is no region that comes twice.
+    shared = materialise(texts.mapInArrow(_shared(known), _SHARED))
+    pairs = materialise(shared.groupBy("key", "region").agg(F.count("*").alias("n")))
+    found = shared.join(pairs.filter("n > 1").select("region"), "region").select("row", "start", (F.col("start") + F.col("width")).alias("end"))
+    bodies = texts.mapInArrow(_bodies(differing), _ROWS)
+    large = pairs.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {GROUP}").select("key")
+    if not (large := materialise(large)).isEmpty():
+        found = found.unionByName(hot_spans(materialise(bodies.join(large, "key").select("key", "region", "row", "start", "width", "left", "body"))))
+        bodies = bodies.join(large, "key", "left_anti")
+    sort = bodies.select("key", "row", "start", "left", "lead", "body").repartitionByRange(F.col("lead"), F.col("key")).sortWithinPartitions("lead", "key").mapInArrow(_bucket, "row long, start long, end long")
+    return found.unionByName(sort)
 
 
 def union_spans(found: np.ndarray) -> np.ndarray:

@@ -201,9 +201,9 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [1500, 2])
-def test_repeats_go(docs, rows, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("group", [100_000, 2])
+def test_repeats_go(docs, rows, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
     got = Counter(tuple(r) for r in suffixes.removal_digest(suffixes.remove_repeats(docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == brute_repeats(rows)
 
