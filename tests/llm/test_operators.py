@@ -125,19 +125,39 @@ def brute_components(rows, n, percent):
     return Counter((d, len(sets[i]), best[root(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("hot, block", [(50, 256), (2, 3)])
-def test_jaccard_components(docs, rows, monkeypatch, hot, block):
-    monkeypatch.setattr(jaccard, "HOT", hot)
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize("classes, chunk", [(1024, 1 << 20), (3, 500)])
+def test_jaccard_components(docs, rows, monkeypatch, classes, chunk):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", classes)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(docs).collect())
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("classes", [1024, 7])
+def test_chained_copies(spark, monkeypatch, classes):
+    """Families whose texts drift, so that many link with others but not with their leader."""
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", classes)
+    rng = random.Random(17)
+    word, rows = lambda: "".join(rng.choice("abcdefghij") for _ in range(5)), []
+    for family in range(3):
+        base = [word() for _ in range(120 + 40 * family)]
+        shared = [word() for _ in range(60)]
+        for k in range(70):
+            words = list(rows[rng.randrange(len(rows))][1].split()) if rng.random() < 0.3 and len(rows) > 70 * family else list(base)
+            for _ in range(rng.randint(0, 6)):
+                words[rng.randrange(len(words))] = word()
+            rows.append((len(rows), " ".join(words)))
+        rows += [(len(rows) + k, " ".join([word() for _ in range(20)] + shared + [word() for _ in range(rng.randint(1, 30))])) for k in range(20)]
+    rng.shuffle(rows)
+    got = Counter(tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect())
+    assert got == brute_components(rows, 4, 85) and len({c for _, _, c in got}) > 20
+
+
 def test_keep_one_keeps_columns(docs, rows):
     kept = jaccard.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
     want = {d for d, _, c in brute_components(rows, 5, 80) if d == c}
-    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == Counter(want | {None})
+    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == Counter(want)
 
 
 def test_packing_round_trip(docs, rows):
@@ -325,7 +345,7 @@ def test_empty_tables(spark, docs):
 
 
 @pytest.mark.parametrize("pairs", [3, 1 << 21])
-def test_block_links_keep_the_groups_of_all_pairs(monkeypatch, pairs):
+def test_forests_keep_the_groups_of_all_pairs(monkeypatch, pairs):
     monkeypatch.setattr(jaccard, "PAIRS", pairs)
     rng = np.random.default_rng(3)
     base = [rng.choice(500, 40, replace=False) for _ in range(4)]
@@ -337,8 +357,20 @@ def test_block_links_keep_the_groups_of_all_pairs(monkeypatch, pairs):
             root = [root[a] if r == root[b] else r for r in root]
         return {frozenset(i for i in range(n) if root[i] == r) for r in root}
 
-    linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
     for left, right, shift in ((sets, sets, 0), (sets[:25], sets[25:], 25)):
-        want = [(i, j + shift) for i, a in enumerate(left) for j, b in enumerate(right) if linked(a, b)]
-        got = [(i, j + shift) for i, j in jaccard.block_links(left, right)]
+        same = np.array([[len(np.intersect1d(a, b)) for b in right] for a in left])
+        assert (jaccard.overlaps(left, right) == same).all()
+        linked = 100 * same >= 85 * np.array([[len(np.union1d(a, b)) for b in right] for a in left])
+        want = [(i, j + shift) for i, j in np.argwhere(linked).tolist()]
+        got = [(i, j + shift) for i, j in jaccard.forest(linked)]
         assert set(got) <= set(want) and groups(got, 40) == groups(want, 40)
+
+
+def test_keep_one_with_odd_rows(spark):
+    """Repeated and null ids, and columns of the names that the operator would choose."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(0)), (1, text(1)), (None, text(0)), (None, text(2)), (None, text(2)), (5, text(1)), (6, text(3)), (6, text(3)), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(*r, i, "c", 2.0) for i, r in enumerate(rows)], "doc_id long, text string, key int, place string, _key double")
+    kept = jaccard.keep_one(docs, 5, 80)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, text(0)), (1, text(1)), (None, text(2)), (6, text(3)), (7, ""), (7, ""), (8, None)])
