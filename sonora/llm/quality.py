@@ -6,9 +6,9 @@ threshold is fixed by the trusted documents: their mean score less a number of t
 to six places; every document at or above it is kept unless a base rule failed. All of it is SQL functions; no
 Python runs on the executors.
 
-Bounds: both multinomials count all their documents and have ``buckets`` cells. Trusted ids meet the documents in a
-join whose kind Spark chooses, so nothing of them is capped; counts and scores are stored once without texts, and the
-threshold is taken from all stored scores of trusted documents.
+Bounds: both multinomials count all their documents and have ``buckets`` cells. Trusted ids meet the documents as
+broadcast bitmaps of a checked size, or else in a join whose kind Spark chooses, so nothing of them is capped; counts and
+scores are stored once without texts, and the threshold is taken from all stored scores of trusted documents.
 
 Defined cases: a null or blank text has no words, fails the base rules and scores 0; without trusted documents all
 scores are 0 and the base rules decide; an empty table gives no rows; repeated rows count as often as they come;
@@ -31,6 +31,8 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 BUCKETS, SMOOTH = 1 << 15, 1.0
+#: Bitmaps of 4 kB that are broadcast at most: 64 MB.
+MOST_MAPS = 1 << 14
 #: Standard deviations below the trusted mean at which a document still is kept.
 BELOW = 4.0
 
@@ -79,9 +81,25 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.groupBy("doc_id").agg(F.lit(True).alias("trusted"))
 
 
+def mark_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``trusted``, true or null.
+
+    The ids are packed into bitmaps of 32,768 neighbours each. As long as these are few, which is counted first, they
+    are broadcast and no text is shuffled; otherwise ids and texts meet in a join whose kind Spark chooses.
+    """
+    ids = trusted_ids(labels)
+    maps = materialise(ids.groupBy(F.bitmap_bucket_number("doc_id").alias("map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits")))
+    if maps.count() > MOST_MAPS:
+        return docs.join(ids, "doc_id", "left")
+    at = F.bitmap_bit_position("doc_id")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("bit_get", byte, (at % 8).cast("int"))
+    return docs.join(F.broadcast(maps), F.bitmap_bucket_number("doc_id") == F.col("map"), "left").select("doc_id", "text", F.when(bit == 1, True).alias("trusted"))
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(trusted probability / raw probability) of each bucket; zeros where nothing is trusted."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted_ids(labels), "doc_id", "left")
+    texts = mark_trusted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
     counted = texts.select("trusted", words().alias("ws")).select("trusted", F.explode(let_words("ws", lambda ws: grams(ws, buckets))).alias("b"))
     rows = counted.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("good")).collect()
     raw, good = [SMOOTH] * buckets, [SMOOTH] * buckets
