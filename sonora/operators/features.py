@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonora.functions.signal import EPS, band_edge_rows, next_power_of_two, odd_kernel, snr_db
+from sonora.sources.storage import materialise
+
+#: Rows that a dense median filter handles at a time.
+RUN = 4096
 
 
 @dataclass(frozen=True)
@@ -90,31 +94,56 @@ def band_energy(spectrum: DataFrame, low: float, high: float, n_bands: int, hz_p
     return wide.select(key, "frame_idx", F.posexplode(F.array(*(f"b{i}" for i in range(n_bands)))).alias("band", "energy"))
 
 
-def median_filter(df: DataFrame, value: str, kernel: int, keys: list[str], order: str, out: str = "baseline") -> DataFrame:
-    """A centred moving median with zeros beyond both ends; ``kernel`` must be odd."""
+def median_filter(df: DataFrame, value: str, kernel: int, keys: list[str], order: str, out: str = "baseline", dense: bool = False) -> DataFrame:
+    """A centred moving median with zeros beyond both ends; ``kernel`` must be odd.
+
+    ``dense`` says that ``order`` counts a key's rows from 0 without gaps. Then runs of ``RUN`` rows, with half a kernel
+    more at both ends, are filtered as arrays, which a wide kernel wants; otherwise each row gathers its neighbours.
+    """
     if kernel % 2 == 0:
         raise ValueError("the kernel must be odd")
     half = kernel // 2
-    near = F.collect_list(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half))
-    padded = F.concat(near, F.array_repeat(F.lit(0.0), F.lit(kernel) - F.size(near)))
-    return df.withColumn(out, F.element_at(F.sort_array(padded), half + 1))
+    if not dense:
+        near = F.collect_list(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half))
+        padded = F.concat(near, F.array_repeat(F.lit(0.0), F.lit(kernel) - F.size(near)))
+        return df.withColumn(out, F.element_at(F.sort_array(padded), half + 1))
+    run = lambda shift: F.floor((F.col(order) + shift) / F.lit(RUN))
+    runs = df.withColumn("_run", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), run(-half)), run(half))))
+
+    def filtered(table: pa.Table) -> pa.Table:
+        first = table["_run"][0].as_py() * RUN
+        at, x = table[order].to_numpy() - first, table[value].to_numpy().astype(float)
+        line = np.zeros(RUN + 2 * half)
+        line[at + half] = x
+        own = (at >= 0) & (at < RUN)
+        medians = np.empty(RUN)
+        for lo in range(0, min(RUN, int(at[own].max(initial=-1)) + 1), 128):
+            view = np.lib.stride_tricks.sliding_window_view(line[lo : lo + 128 + 2 * half], kernel)
+            medians[lo : lo + 128] = np.partition(view, half, axis=1)[: RUN - lo, half]
+        return table.filter(pa.array(own)).drop_columns(["_run"]).append_column(out, pa.array(medians[at[own]]))
+
+    return runs.groupBy(*keys, "_run").applyInArrow(filtered, df.withColumn(out, F.lit(0.0)).schema)
 
 
 def robust_normalize(df: DataFrame, value: str, keys: list[str], eps: float = EPS, out: str = "z") -> DataFrame:
-    """(x - median) / (1.4826 (MAD + eps)) per key, with the lower of two middle values as the median."""
-    lower = lambda x: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x})")
-    centre = df.groupBy(*keys).agg(lower(value).alias("_m"))
-    placed = df.join(centre, keys)
-    spread = placed.withColumn("_d", F.abs(F.col(value) - F.col("_m"))).groupBy(*keys).agg(lower("_d").alias("_s"))
-    return placed.join(spread, keys).withColumn(out, (F.col(value) - F.col("_m")) / (1.4826 * (F.col("_s") + eps))).drop("_m", "_s")
+    """(x - median) / (1.4826 (MAD + eps)) per key, with the lower of two middle values as the median.
+
+    Both medians are of one grouping: the deviations' is taken from the values that the first has in order.
+    """
+    x = F.sort_array(F.collect_list(value))
+    middle = lambda a: F.get(a, F.ceil(F.size(a) / 2).cast("int") - 1)
+    stats = df.groupBy(*keys).agg(x.alias("_x")).withColumn("_m", middle(F.col("_x")))
+    stats = stats.select(*keys, "_m", middle(F.sort_array(F.transform("_x", lambda v: F.abs(v - F.col("_m"))))).alias("_s"))
+    return df.join(stats, keys).withColumn(out, (F.col(value) - F.col("_m")) / (1.4826 * (F.col("_s") + eps))).drop("_m", "_s")
 
 
 def snr_features(waves: DataFrame, settings: SnrSettings, key: str = "recording_id", samples: str = "samples") -> DataFrame:
     """(key, frame_idx, time_s, band, feature): the chain from waveforms to normalised signal-to-noise features."""
     spectrum = stft_power(waves, settings.n_fft, settings.hop, settings.window, key, samples)
     energy = band_energy(spectrum, settings.band_low, settings.band_high, settings.n_bands, settings.sample_rate / settings.n_fft, key)
-    based = median_filter(energy, "energy", settings.kernel, [key, "band"], "frame_idx")
-    snr = based.withColumn("snr", snr_db("energy", "baseline", settings.eps))
+    based = median_filter(energy, "energy", settings.kernel, [key, "band"], "frame_idx", dense=True)
+    # Stored, as normalising reads it twice.
+    snr = materialise(based.withColumn("snr", snr_db("energy", "baseline", settings.eps)))
     named = robust_normalize(snr, "snr", [key, "band"], settings.eps, "feature") if settings.normalize else snr.withColumn("feature", F.col("snr"))
     time = (F.col("frame_idx") * settings.hop).cast("float") / F.lit(settings.sample_rate)
     return named.select(key, "frame_idx", time.cast("float").alias("time_s"), "band", "feature")

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonora.functions.signal import at_least, interval_iou, precision_recall_f1
+from sonora.sources.storage import materialise
 
-from .windows import numbered, settled
+from .windows import numbered
 
 KEY = "recording_id"
+FRAME_COUNTS = ["tp", "fp", "fn", "tn"]
+STATS = [f"{side}_{name}_ms" for side in ("onset", "offset") for name in ("median", "mae", "p95")]
 
 
 def iou_pairs(gt: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataFrame:
@@ -34,13 +37,13 @@ def iou_match(pairs: DataFrame) -> DataFrame:
     rest is settled before the next round. That gives the greedy walk's matches, and no task needs a whole recording.
     Rounds are as many as the longest chain of pairs each of which waits for a better neighbour.
     """
-    left = settled(pairs.select(KEY, F.col("gi").cast("long").alias("gi"), F.col("pi").cast("long").alias("pi"), (-F.col("iou")).alias("worse")))
+    left = materialise(pairs.select(KEY, F.col("gi").cast("long").alias("gi"), F.col("pi").cast("long").alias("pi"), (-F.col("iou")).alias("worse")))
     matched = left.limit(0)
     while not left.isEmpty():
         best = lambda index: left.groupBy(KEY, index).agg(F.min(F.struct("worse", "gi", "pi")).alias("b")).select(KEY, "b.*")  # noqa: E731, B023
-        now = settled(best("gi").intersect(best("pi")).select(KEY, "gi", "pi", "worse"))
+        now = materialise(best("gi").intersect(best("pi")).select(KEY, "gi", "pi", "worse"))
         matched = matched.unionByName(now)
-        left = settled(left.join(now.select(KEY, "gi"), [KEY, "gi"], "left_anti").join(now.select(KEY, "pi"), [KEY, "pi"], "left_anti").select(KEY, "gi", "pi", "worse"))
+        left = materialise(left.join(now.select(KEY, "gi"), [KEY, "gi"], "left_anti").join(now.select(KEY, "pi"), [KEY, "pi"], "left_anti").select(KEY, "gi", "pi", "worse"))
     ranked = numbered(matched, [KEY], ["worse", "gi", "pi"], "match_rank")
     return ranked.select(KEY, F.col("match_rank").cast("int").alias("match_rank"), "gi", "pi", (-F.col("worse")).alias("iou"))
 
@@ -93,10 +96,23 @@ def frame_metrics(frames: DataFrame, keys: list[str], threshold: float = 0.5, pr
     return counts.select("*", *precision_recall_f1("tp", "fp", "fn"))
 
 
-def evaluation_report(counts: DataFrame, errors: DataFrame, durations: DataFrame) -> DataFrame:
-    """One row over all recordings: summed counts, statistics of the pooled errors, and false positives a minute."""
-    total = counts.agg(*(F.sum(c).alias(c) for c in ("n_gt", "n_pred", "tp", "fp", "fn")))
-    minutes = durations.agg((F.coalesce(F.sum("duration_s"), F.lit(0.0)) / 60).alias("minutes"))
+def evaluation_rows(recordings: DataFrame, counts: DataFrame, errors: DataFrame, frames: DataFrame) -> DataFrame:
+    """One row for each of ``recordings`` (key, duration_s): event counts and ratios, frame counts and ratios (their names
+    begin with frame_), and statistics of boundary errors, NaN without matches. ``frames`` has prob and label."""
+    event = ["n_gt", "n_pred", "tp", "fp", "fn"]
+    flagged = frame_metrics(frames, [KEY]).select(KEY, *(F.col(c).alias(f"frame_{c}") for c in FRAME_COUNTS))
+    joined = recordings.select(KEY, "duration_s").join(counts.select(KEY, *event), KEY, "left").join(flagged, KEY, "left").join(error_stats(errors, [KEY]), KEY, "left")
+    filled = joined.fillna(0, [*event, *(f"frame_{c}" for c in FRAME_COUNTS), "n_matches"]).fillna(float("nan"), STATS)
+    framed = [c.alias(f"frame_{n}") for c, n in zip(precision_recall_f1("frame_tp", "frame_fp", "frame_fn"), ("precision", "recall", "f1"))]
+    return filled.select(KEY, "duration_s", *event, *precision_recall_f1("tp", "fp", "fn"), *(f"frame_{c}" for c in FRAME_COUNTS), *framed, "n_matches", *STATS)
+
+
+def evaluation_report(rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row over all recordings of ``evaluation_rows``: ratios of summed counts, of events and of frames, statistics of
+    the pooled errors, and false positives a minute."""
+    sums = ["n_gt", "n_pred", "tp", "fp", "fn", *(f"frame_{c}" for c in FRAME_COUNTS)]
+    total = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums), (F.coalesce(F.sum("duration_s"), F.lit(0.0)) / 60).alias("minutes"))
+    framed = [c.alias(f"frame_{n}") for c, n in zip(precision_recall_f1("frame_tp", "frame_fp", "frame_fn"), ("precision", "recall", "f1"))]
+    rated = total.select("*", *precision_recall_f1("tp", "fp", "fn"), *framed, F.when(F.col("minutes") > 0, F.col("fp") / F.nullif(F.col("minutes"), F.lit(0.0))).otherwise(0.0).alias("fp_per_minute"))
     one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  each side is one row
-    joined = one(event_metrics(total)).join(one(error_stats(errors, [])), "_one").join(one(minutes), "_one").drop("_one")
-    return joined.withColumn("fp_per_minute", F.when(F.col("minutes") > 0, F.col("fp") / F.nullif(F.col("minutes"), F.lit(0.0))).otherwise(0.0))
+    return one(rated).join(one(error_stats(errors, [])), "_one").drop("_one")

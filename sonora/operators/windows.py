@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonora.functions.signal import seconds_to_frames, sigmoid
+from sonora.sources.storage import materialise
 
 KEY = "recording_id"
 
@@ -16,15 +17,13 @@ def frame_labels(frames: DataFrame, intervals: DataFrame, time: str = "time_s")
     Intervals are rounded to the frames' precision. The join is on the recording, the range a residual of it.
     """
     i = intervals.select(F.col(KEY).alias("_key"), F.col("onset").cast(frames.schema[time].dataType).alias("_on"), F.col("offset").cast(frames.schema[time].dataType).alias("_off"))
+    # Intervals that meet become one, so no frame has two of them and one join tells.
+    before_ = Window.partitionBy("_key").orderBy("_on", "_off").rowsBetween(Window.unboundedPreceding, -1)
+    apart = i.filter("_on <= _off").withColumn("_new", (~F.coalesce(F.col("_on") <= F.max("_off").over(before_), F.lit(False))).cast("int"))
+    runs = apart.withColumn("_run", F.sum("_new").over(Window.partitionBy("_key").orderBy("_on", "_off")))
+    one = runs.groupBy("_key", "_run").agg(F.min("_on").alias("_on"), F.max("_off").alias("_off"))
     inside = (F.col(KEY) == F.col("_key")) & (F.col("_on") <= F.col(time)) & (F.col(time) <= F.col("_off"))
-    hit = frames.join(i, inside, "left_semi").withColumn("label", F.lit(1.0))
-    rest = frames.join(i, inside, "left_anti").withColumn("label", F.lit(0.0))
-    return hit.unionByName(rest)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the checkpoint folder where there is one, or on the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    return frames.join(one, inside, "left").withColumn("label", F.col("_key").isNotNull().cast("double")).drop("_key", "_run", "_on", "_off")
 
 
 def before(df: DataFrame, keys: list[str], order: list[str], name: str, value: Column, fold=F.sum) -> DataFrame:
@@ -33,7 +32,7 @@ def before(df: DataFrame, keys: list[str], order: list[str], name: str, value: C
     Rows are dealt by ranges of keys and order and folded within each range; ranges of the same keys are folded with
     those before them, a row per range. No task needs all rows of a key.
     """
-    cut = settled(df.withColumn("_value", value).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    cut = materialise(df.withColumn("_value", value).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     at = [*keys, "_part"]
     so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     parts = cut.groupBy(*at).agg(fold("_value").alias("_value"))

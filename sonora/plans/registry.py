@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sonora.functions import signal as S
 from sonora.operators import decode, features, matching, windows
 from sonora.operators.model import random_weights, sliding_predict
+from sonora.sources import annotations
 from sonora.sources import tables as T
-from sonora.sources.annotations import clean_annotations
+from sonora.sources.storage import materialise
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,8 +48,8 @@ POWER = f"""waves AS (SELECT vec_id AS recording_id, list_transform(embedding, l
   grid AS (SELECT t, k, n, abs(t * {FFT_HOP} + n - {N_FFT // 2}) AS raw, 0.5 - 0.5 * cos(2 * pi() * n / {N_FFT}) AS w FROM range(17) a(t), range({N_FFT // 2 + 1}) b(k), range({N_FFT}) c(n)),
   terms AS (SELECT recording_id, t, k, n, w * x[(CASE WHEN raw > 63 THEN 126 - raw ELSE raw END + 1)::INT] AS v FROM waves, grid),
   power AS (SELECT recording_id, t::INT AS frame_idx, k::INT AS bin, pow(sum(v * cos(2 * pi() * k * n / {N_FFT})), 2) + pow(sum(v * sin(2 * pi() * k * n / {N_FFT})), 2) AS power FROM terms GROUP BY recording_id, t, k)"""
-_EDGES = ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, a, b in S.band_edge_rows(LOW, HIGH, BANDS))
-ENERGY = f"""{POWER}, bands(band, lo, hi) AS (VALUES {_EDGES}), energy AS (SELECT recording_id, frame_idx, band::INT AS band, sum(CASE WHEN bin >= lo AND bin < hi THEN power ELSE 0 END) AS energy FROM power, bands GROUP BY recording_id, frame_idx, band)"""
+_EDGES = f"SELECT i::INT AS band, {LOW}::DOUBLE * pow({HIGH}::DOUBLE / {LOW}, i / {BANDS}::DOUBLE) AS lo, CASE WHEN i = {BANDS - 1} THEN {HIGH}::DOUBLE ELSE {LOW}::DOUBLE * pow({HIGH}::DOUBLE / {LOW}, (i + 1) / {BANDS}::DOUBLE) END AS hi FROM range({BANDS}) r(i)"
+ENERGY = f"""{POWER}, bands AS ({_EDGES}), energy AS (SELECT recording_id, frame_idx, band::INT AS band, sum(CASE WHEN bin >= lo AND bin < hi THEN power ELSE 0 END) AS energy FROM power, bands GROUP BY recording_id, frame_idx, band)"""
 
 
 def _median(table: str, value: str, part: str, kernel: int, out: str) -> str:
@@ -188,11 +189,19 @@ def robust_normalize(spark, sf_dir):
     return rounded(features.robust_normalize(T.frames(spark, sf_dir), "value", [KEY]).select(KEY, "frame_idx", "z"), "z")
 
 
-@query(f"WITH {ENERGY}, {_median('energy', 'energy', 'recording_id, band', KERNEL, 'based')}, snrs AS (SELECT recording_id, frame_idx, band, 10 * log10((energy + 1e-12) / (baseline + 1e-12)) AS snr FROM based), {_normalised('snrs', 'snr', 'recording_id, band', 'nz', '0.01::DOUBLE')} SELECT recording_id, frame_idx, band, round(z, 4) + 0.0 AS feature FROM nz")
+#: The small transforms' bins are 1 kHz wide at this rate, so windows, hops and bands are those of the other queries.
+SNR = features.SnrSettings(16_000, hop_ms=0.25, n_bands=BANDS, win_ms=1.0, band_low=LOW * 1000, band_high=HIGH * 1000, baseline_s=0.00075, eps=0.01)
+
+
+@query(f"WITH {ENERGY}, {_median('energy', 'energy', 'recording_id, band', KERNEL, 'based')}, snrs AS (SELECT recording_id, frame_idx, band, 10 * log10((energy + 0.01::DOUBLE) / (baseline + 0.01::DOUBLE)) AS snr FROM based), {_normalised('snrs', 'snr', 'recording_id, band', 'nz', '0.01::DOUBLE')} SELECT recording_id, frame_idx, round(frame_idx * 0.25::DOUBLE, 3) AS time_ms, band, round(z, 4) + 0.0 AS feature FROM nz")
 def snr_features(spark, sf_dir):
-    based = features.median_filter(_energy(spark, sf_dir), "energy", KERNEL, [KEY, "band"], "frame_idx")
-    z = features.robust_normalize(based.withColumn("snr", S.snr_db("energy", "baseline")), "snr", [KEY, "band"], 0.01, "feature")
-    return z.select(KEY, "frame_idx", "band", (F.round("feature", 4) + 0.0).alias("feature"))
+    found = features.snr_features(T.waveforms(spark, sf_dir), SNR)
+    return found.select(KEY, "frame_idx", F.round(F.col("time_s").cast("double") * 1000, 3).alias("time_ms"), "band", (F.round("feature", 4) + 0.0).alias("feature"))
+
+
+@query(f"WITH {FRAMES}, {_median('frames', 'value', 'recording_id', 51, 'based')} SELECT recording_id, frame_idx, round(baseline, 6) + 0.0 AS baseline FROM based")
+def median_filter_wide(spark, sf_dir):
+    return rounded(features.median_filter(T.frames(spark, sf_dir).select(KEY, "frame_idx", "value"), "value", 51, [KEY], "frame_idx", dense=True).select(KEY, "frame_idx", "baseline"), "baseline")
 
 
 def _sizes(spark, sf_dir):
@@ -237,12 +246,16 @@ def _pairs(spark, sf_dir):
     return matching.iou_pairs(T.annotated(spark, sf_dir), T.predicted(spark, sf_dir), 0.2)
 
 
+def _matched(spark, sf_dir):
+    return T.annotated(spark, sf_dir), T.predicted(spark, sf_dir), matching.iou_match(_pairs(spark, sf_dir))
+
+
 def _counts(spark, sf_dir):
-    return matching.event_counts(T.annotated(spark, sf_dir), T.predicted(spark, sf_dir), matching.iou_match(_pairs(spark, sf_dir)))
+    return matching.event_counts(*_matched(spark, sf_dir))
 
 
 def _errors(spark, sf_dir, tolerance=None):
-    return matching.boundary_errors(T.annotated(spark, sf_dir), T.predicted(spark, sf_dir), matching.iou_match(_pairs(spark, sf_dir)), tolerance)
+    return matching.boundary_errors(*_matched(spark, sf_dir), tolerance)
 
 
 @query(f"WITH {PAIRS} SELECT recording_id, gi, pi, round(iou, 6) + 0.0 AS iou FROM pairs")
@@ -299,10 +312,33 @@ def error_stats(spark, sf_dir):
     return rounded(matching.error_stats(_errors(spark, sf_dir), []), *_STAT_COLS)
 
 
-@query(f"WITH RECURSIVE {COUNTS}, t AS (SELECT sum(n_gt)::BIGINT AS n_gt, sum(n_pred)::BIGINT AS n_pred, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM counts), {ERRORS.removeprefix(MATCHES)[2:]}, e AS (SELECT count(*) AS n_matches, {_STATS} FROM errors), d AS (SELECT sum(o_totalprice / 10000) / 60 AS minutes FROM orders) SELECT t.*, {_ratios('tp', 'fp', 'fn')}, e.*, round(minutes, 3) AS minutes, round(fp / minutes, 4) AS fp_per_minute FROM t, e, d")
+_FLAGGED = f"""{FRAMES}, flagged AS (SELECT recording_id, count(*) FILTER (prob >= 0.5 AND label >= 0.5) AS frame_tp, count(*) FILTER (prob >= 0.5 AND label < 0.5) AS frame_fp, count(*) FILTER (prob < 0.5 AND label >= 0.5) AS frame_fn, count(*) FILTER (prob < 0.5 AND label < 0.5) AS frame_tn FROM frames GROUP BY ALL)"""
+_ROWS = f"""{COUNTS}, {ERRORS.removeprefix(MATCHES)[2:]}, {_FLAGGED}, stats AS (SELECT recording_id, count(*) AS n_matches, {_STATS} FROM errors GROUP BY recording_id),
+  rows_ AS (SELECT o_orderkey AS recording_id, o_totalprice / 10000 AS duration_s, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_gt", "n_pred", "tp", "fp", "fn", "frame_tp", "frame_fp", "frame_fn", "frame_tn", "n_matches"))}, {", ".join(_STAT_COLS)}
+    FROM orders LEFT JOIN counts ON counts.recording_id = o_orderkey LEFT JOIN flagged ON flagged.recording_id = o_orderkey LEFT JOIN stats ON stats.recording_id = o_orderkey)"""
+_FRAME_RATIOS = _ratios("frame_tp", "frame_fp", "frame_fn").replace("AS precision", "AS frame_precision").replace("AS recall", "AS frame_recall").replace("AS f1", "AS frame_f1")
+_RATES = ["precision", "recall", "f1", "frame_precision", "frame_recall", "frame_f1"]
+
+
+def _evaluated(spark, sf_dir):
+    """Rows by recording and pooled errors, of matches that are computed once."""
+    gt, pred, matches = _matched(spark, sf_dir)
+    matches = materialise(matches)
+    errors = matching.boundary_errors(gt, pred, matches)
+    return matching.evaluation_rows(T.recordings(spark, sf_dir), matching.event_counts(gt, pred, matches), errors, T.frames(spark, sf_dir)), errors
+
+
+@query(f"WITH RECURSIVE {_ROWS} SELECT recording_id, round(duration_s, 6) + 0.0 AS duration_s, n_gt, n_pred, tp, fp, fn, {_ratios('tp', 'fp', 'fn')}, frame_tp, frame_fp, frame_fn, frame_tn, {_FRAME_RATIOS}, n_matches, {', '.join(_STAT_COLS)} FROM rows_")
+def evaluation_rows(spark, sf_dir):
+    """Statistics are null where a recording has no match."""
+    rows, _ = _evaluated(spark, sf_dir)
+    return rounded(rows.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in _STAT_COLS}), "duration_s", *_RATES, *_STAT_COLS)
+
+
+@query(f"WITH RECURSIVE {_ROWS}, t AS (SELECT {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('n_gt', 'n_pred', 'tp', 'fp', 'fn', 'frame_tp', 'frame_fp', 'frame_fn', 'frame_tn'))}, sum(duration_s) / 60 AS m FROM rows_), e AS (SELECT count(*) AS n_matches, {_STATS} FROM errors) SELECT t.* EXCLUDE (m), {_ratios('tp', 'fp', 'fn')}, {_FRAME_RATIOS}, e.*, round(m, 3) AS minutes, round(fp / m, 4) AS fp_per_minute FROM t, e")
 def evaluation_report(spark, sf_dir):
-    report = matching.evaluation_report(_counts(spark, sf_dir), _errors(spark, sf_dir), T.recordings(spark, sf_dir))
-    return rounded(report, "precision", "recall", "f1", *_STAT_COLS).withColumn("minutes", F.round("minutes", 3)).withColumn("fp_per_minute", F.round("fp_per_minute", 4))
+    report = matching.evaluation_report(*_evaluated(spark, sf_dir))
+    return rounded(report, *_RATES, *_STAT_COLS).withColumn("minutes", F.round("minutes", 3)).withColumn("fp_per_minute", F.round("fp_per_minute", 4))
 
 
 @query(f"WITH {FRAMES} SELECT round((count(*) - sum(label)) / sum(label), 6) AS pos_weight FROM frames")
@@ -368,25 +404,27 @@ def _raw(spark, sf_dir):
 
 @query(f"WITH r AS ({_RAW}) SELECT recording_id, start_seconds, stop_seconds FROM r WHERE stop_seconds > start_seconds")
 def annotations_clean(spark, sf_dir):
-    return clean_annotations(_raw(spark, sf_dir))
+    return annotations.clean_annotations(_raw(spark, sf_dir))
 
 
 @query(f"WITH r AS ({_RAW}) SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_seconds, stop_seconds) - 1 AS gi, round(start_seconds / 1000, 6) + 0.0 AS onset, round(stop_seconds / 1000, 6) + 0.0 AS offset FROM r WHERE stop_seconds > start_seconds")
 def annotations_load(spark, sf_dir):
-    from sonora.sources.annotations import order_annotations
-
-    return rounded(order_annotations(clean_annotations(_raw(spark, sf_dir)), KEY), "onset", "offset")
+    return rounded(annotations.order_annotations(annotations.clean_annotations(_raw(spark, sf_dir)), KEY), "onset", "offset")
 
 
-_SCAN = f"r AS ({_RAW}), v AS (SELECT recording_id, count(*) AS n_annotations FROM r WHERE stop_seconds > start_seconds GROUP BY 1), s AS (SELECT o_orderkey AS recording_id, o_totalprice / 10000 AS duration_s, n_annotations FROM orders JOIN v ON v.recording_id = o_orderkey)"
+_SCAN = f"""r AS ({_RAW}), v AS (SELECT recording_id, count(*)::INT AS n_annotations FROM r WHERE stop_seconds > start_seconds GROUP BY 1),
+  s AS (SELECT '/calls/' || o_orderkey AS recording_id, '/calls/' || o_orderkey || '.wav' AS audio_path, '/calls/' || o_orderkey || '_annotations.csv' AS annotation_path, o_totalprice / 10000 AS duration_s, n_annotations FROM orders JOIN v ON v.recording_id = o_orderkey)"""
 
 
 def _scan(spark, sf_dir):
-    counts = clean_annotations(_raw(spark, sf_dir)).groupBy(KEY).agg(F.count("*").alias("n_annotations"))
-    return T.recordings(spark, sf_dir).join(counts, KEY)
+    """Orders as audio files, their lines as annotation files beside them."""
+    name = lambda c, suffix: F.concat(F.lit("/calls/"), F.col(c).cast("string"), F.lit(suffix))
+    audio = T.recordings(spark, sf_dir).select(name(KEY, ".wav").alias("audio_path"), "duration_s")
+    rows = _raw(spark, sf_dir).select(name(KEY, "").alias(KEY), name(KEY, "_annotations.csv").alias("annotation_path"), "start_seconds", "stop_seconds")
+    return annotations.scan_recordings(audio, rows)
 
 
-@query(f"WITH {_SCAN} SELECT recording_id, round(duration_s, 6) AS duration_s, n_annotations FROM s")
+@query(f"WITH {_SCAN} SELECT recording_id, audio_path, annotation_path, round(duration_s, 6) AS duration_s, n_annotations FROM s")
 def scan_recordings(spark, sf_dir):
     return rounded(_scan(spark, sf_dir), "duration_s")
 

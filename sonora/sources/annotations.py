@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUIRED = ("start_seconds", "stop_seconds")
+SUFFIX = "_annotations.csv"
+_ROWS = pa.schema([("annotation_path", pa.string()), ("start_seconds", pa.string()), ("stop_seconds", pa.string()), ("name", pa.string())])
 
 
 def clean_annotations(raw: DataFrame) -> DataFrame:
@@ -23,22 +30,50 @@ def order_annotations(clean: DataFrame, key: str = "recording_id") -> DataFrame:
     return clean.select(key, gi.cast("long").alias("gi"), (F.col("start_seconds") / 1000.0).alias("onset"), (F.col("stop_seconds") / 1000.0).alias("offset"))
 
 
-def stem(path):
+def stem(path: Column) -> Column:
     """A path without its last suffix; names may hold other dots."""
     return F.regexp_replace(path, r"\.[^./]*$", "")
 
 
-def read_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All rows of annotation CSVs, with the recording they belong to."""
-    raw = spark.read.option("header", True).csv(paths)
-    return raw.withColumn("recording_id", F.regexp_replace(F.input_file_name(), r"_annotations\.csv$", ""))
+def plain_path(uri: Column) -> Column:
+    """A file's URI as one readable path, so that all readers' paths compare: percent signs decoded, slashes behind the scheme set right."""
+    decoded = F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
+    return F.regexp_replace(F.regexp_replace(decoded, "^file:/+", "/"), "(?<!:)//+", "/")
+
+
+def read_annotations(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
+    """(recording_id, annotation_path, start_seconds, stop_seconds, name) of all rows of annotation CSVs.
+
+    Each file's columns go by its own header. A file without one of the required columns fails, or has no rows unless
+    ``strict``. A recording's id is its path without the last suffix.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = csv.DictReader(io.StringIO(text.lstrip("﻿"), newline=""))
+                missing = [c for c in REQUIRED if c not in (lines.fieldnames or ())]
+                if missing and strict:
+                    raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
+                rows = [] if missing else [{c: r.get(c) for c in ("start_seconds", "stop_seconds", "name")} | {"annotation_path": path} for r in lines]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
+
+    files = spark.read.option("wholetext", True).text(paths).select(plain_path(F.col("_metadata.file_path")), "value")
+    rows = files.mapInArrow(run, "annotation_path string, start_seconds string, stop_seconds string, name string")
+    return rows.select(F.regexp_replace("annotation_path", SUFFIX.replace(".", r"\.") + "$", "").alias("recording_id"), "*")
+
+
+def load_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(recording_id, gi, onset, offset) in seconds of all valid rows of annotation CSVs."""
+    return order_annotations(clean_annotations(read_annotations(spark, paths)))
 
 
 def scan_recordings(audio: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(audio_path, duration_s, n_annotations) of recordings that have audio and a valid annotation, by path parts.
+    """(recording_id, audio_path, annotation_path, duration_s, n_annotations) of recordings that have audio and a valid annotation, by path parts.
 
-    ``audio``: audio_path and duration_s, null where a file can't be read; ``annotations``: as read_annotations gives.
+    ``audio``: audio_path and duration_s, null where a file can't be read; a path that comes twice stays twice.
+    ``annotations``: recording_id, annotation_path and the required columns, as ``read_annotations`` gives them.
     """
-    counts = clean_annotations(annotations).groupBy("recording_id").agg(F.count("*").alias("n_annotations"))
+    counts = clean_annotations(annotations).groupBy("recording_id").agg(F.first("annotation_path").alias("annotation_path"), F.count("*").cast("int").alias("n_annotations"))
     named = audio.filter("duration_s is not null").withColumn("recording_id", stem(F.col("audio_path")))
-    return named.join(counts, "recording_id").select("audio_path", "duration_s", "n_annotations").orderBy(F.split("audio_path", "/"))
+    return named.join(counts, "recording_id").select("recording_id", "audio_path", "annotation_path", "duration_s", "n_annotations").orderBy(F.split("audio_path", "/"))

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import io
+import math
+import struct
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SCHEMA = "audio_path string, sample_rate int, duration_s double, samples array<float>"
+from .annotations import plain_path
+
+#: Bytes at a file's beginning in which its headers must lie.
+HEADER = 1 << 16
 
 
 def parse_wav(content: bytes) -> tuple[np.ndarray, int]:
@@ -28,38 +34,81 @@ def parse_wav(content: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels).T, rate
 
 
+def wav_duration(head: bytes, length: int) -> float | None:
+    """Seconds of PCM that a WAV file of ``length`` bytes states, read from its first bytes; null if these are no such header."""
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return None
+    at, rate, block = 12, 0, 0
+    while at + 8 <= len(head):
+        name, size = struct.unpack("<4sI", head[at : at + 8])
+        if name == b"fmt " and at + 24 <= len(head):
+            kind, _, rate, _, block = struct.unpack("<HHIIH", head[at + 8 : at + 22])
+            if kind not in (1, 0xFFFE):
+                return None
+        if name == b"data":
+            return min(size, length - at - 8) // block / rate if rate and block else None
+        at += 8 + size + size % 2
+    return None
+
+
 def resample(x: np.ndarray, rate: int, to: int, zeros: int = 6, rolloff: float = 0.99) -> np.ndarray:
-    """Windowed-sinc resampling along the last axis; the length is ceil(n * to / rate)."""
+    """Windowed-sinc resampling along the last axis; the length is ceil(n * to / rate).
+
+    Polyphase: outputs as many apart as the reduced ratio's numerator share a kernel, which runs over strided views of
+    the signal, so memory is a few times the signal's.
+    """
     if rate == to:
         return x
-    n = -(-x.shape[-1] * to // rate)
+    shared = math.gcd(rate, to)
+    up, down, n = to // shared, rate // shared, -(-x.shape[-1] * to // rate)
     cut = min(rate, to) * rolloff / 2
-    reach = int(np.ceil(zeros * rate / (2 * cut)))
-    at = np.arange(n) * rate / to
-    near = np.floor(at).astype(int)[:, None] + np.arange(-reach, reach + 1)
-    t = np.clip((near - at[:, None]) * 2 * cut / rate, -zeros, zeros)
-    kernel = np.sinc(t) * np.cos(np.pi * t / zeros / 2) ** 2 * (2 * cut / rate)
-    inside = (near >= 0) & (near < x.shape[-1])
-    return np.einsum("...nk,nk->...n", x[..., np.clip(near, 0, x.shape[-1] - 1)] * inside, kernel).astype(np.float32)
+    reach = math.ceil(zeros * rate / (2 * cut))
+    padded = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(reach, reach + down + 1)])
+    views = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1, axis=-1)
+    out = np.empty((*x.shape[:-1], n), np.float32)
+    for phase in range(min(up, n)):
+        whole, part = divmod(phase * down, up)
+        t = np.clip((np.arange(-reach, reach + 1) - part / up) * 2 * cut / rate, -zeros, zeros)
+        kernel = np.sinc(t) * np.cos(np.pi * t / zeros / 2) ** 2 * (2 * cut / rate)
+        out[..., phase::up] = views[..., whole::down, :][..., : -(-(n - phase) // up), :] @ kernel
+    return out
+
+
+def audio_durations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(audio_path, duration_s) of WAV files from their headers alone; null where a file can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wav_duration(head, length) for head, length in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["audio_path", "duration_s"])
+
+    files = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("_metadata.file_path")), F.substring("content", 1, HEADER), "length")
+    return files.mapInArrow(run, "audio_path string, duration_s double")
+
 
+def load_audio(spark: SparkSession, paths: str | list[str], sample_rate: int | None = None, mono: bool = True, strict: bool = True) -> DataFrame:
+    """(audio_path, sample_rate, duration_s, samples) of each file: samples in [-1, 1], one array, or one per channel unless ``mono``.
 
-def load_audio(spark: SparkSession, paths: str | list[str], sample_rate: int | None = None, strict: bool = True) -> DataFrame:
-    """One mono row per file. Resampling comes before mixing. Files that can't be read fail, or have nulls unless ``strict``."""
+    Resampling comes before mixing. Files that can't be read fail, or have nulls unless ``strict``.
+    """
     if sample_rate is not None and sample_rate <= 0:
         raise ValueError("sample_rate must be positive")
+    kind = pa.list_(pa.float32()) if mono else pa.list_(pa.list_(pa.float32()))
+    schema = pa.schema([("audio_path", pa.string()), ("sample_rate", pa.int32()), ("duration_s", pa.float64()), ("samples", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    x, rate = parse_wav(content)
+                    x, rate = parse_wav(content.as_py())
                 except (wave.Error, EOFError, ValueError):
                     if strict:
                         raise ValueError(f"{path} is no PCM WAV file") from None
-                    yield pa.RecordBatch.from_pylist([{"audio_path": path, "sample_rate": None, "duration_s": None, "samples": None}], pa.schema([("audio_path", pa.string()), ("sample_rate", pa.int32()), ("duration_s", pa.float64()), ("samples", pa.list_(pa.float32()))]))
+                    yield pa.RecordBatch.from_pylist([{"audio_path": path}], schema)
                     continue
                 duration, to = x.shape[1] / rate, sample_rate or rate
-                mono = resample(x, rate, to).mean(0)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([to], pa.int32()), pa.array([duration]), pa.array([mono.astype(np.float32)], pa.list_(pa.float32()))], names=["audio_path", "sample_rate", "duration_s", "samples"])
+                x = resample(x, rate, to)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([to], pa.int32()), pa.array([duration]), pa.array([x.mean(0).astype(np.float32) if mono else list(x.astype(np.float32))], kind)], schema=schema)
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, SCHEMA)
+    files = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("_metadata.file_path")), "content")
+    return files.mapInArrow(run, f"audio_path string, sample_rate int, duration_s double, samples array<{'float' if mono else 'array<float>'}>")
