@@ -3,37 +3,22 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonora.sources.storage import materialise
+
+__all__ = ["arrow_bytes", "free_name", "gram_hashes", "materialise", "mix", "prefix_sums", "range_hash", "small_batches", "table", "text_or_empty", "word_hashes"]
+
 #: Fixed value: what separates words in every contract of this subpackage.
 SPACE = " \t\n\x0b\f\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("sonora.shared.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="sonora-")
-        spark.conf.set("sonora.shared.dir", conf)
-    return conf
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sonora/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``; its session sends Python at most ``rows`` rows at a time, as texts may be long."""
     conf = df.sparkSession.conf
