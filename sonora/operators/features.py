@@ -55,8 +55,9 @@ class SnrSettings:
         return odd_kernel(self.baseline_s, self.hop_ms / 1000)
 
 
-def power_frames(samples: np.ndarray, n_fft: int, hop: int, window: int) -> np.ndarray:
-    """(frames, bins) of squared magnitudes; frames are centred, the ends reflected, the periodic Hann window is centred."""
+def power_runs(samples: np.ndarray, n_fft: int, hop: int, window: int, frames: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The first frame and the (frames, bins) squared magnitudes of runs of ``frames`` frames. Frames are centred, the ends
+    reflected, the periodic Hann window is centred."""
     half = n_fft // 2
     if len(samples) <= half:
         raise ValueError(f"a waveform needs more than {half} samples")
@@ -65,8 +66,14 @@ def power_frames(samples: np.ndarray, n_fft: int, hop: int, window: int) -> np.n
     left = (n_fft - window) // 2
     taper[left : left + window] = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
     view = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop][: 1 + len(samples) // hop]
-    spectrum = np.fft.rfft(view * taper, axis=1)
-    return spectrum.real**2 + spectrum.imag**2
+    for lo in range(0, len(view), frames):
+        spectrum = np.fft.rfft(view[lo : lo + frames] * taper, axis=1)
+        yield lo, spectrum.real**2 + spectrum.imag**2
+
+
+def power_frames(samples: np.ndarray, n_fft: int, hop: int, window: int) -> np.ndarray:
+    """All of a waveform's frames."""
+    return np.concatenate([power for _, power in power_runs(samples, n_fft, hop, window, 4096)])
 
 
 def stft_power(waves: DataFrame, n_fft: int, hop: int, window: int | None = None, key: str = "recording_id", samples: str = "samples") -> DataFrame:
@@ -78,9 +85,32 @@ def stft_power(waves: DataFrame, n_fft: int, hop: int, window: int | None = None
                 values = batch.column(1)[i].as_py()
                 power = power_frames(np.array(values, np.float64), n_fft, hop, window or n_fft)
                 frame, bin_ = np.indices(power.shape)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * power.size, pa.int64()), pa.array(frame.ravel(), pa.int32()), pa.array(bin_.ravel(), pa.int32()), pa.array(power.ravel())], names=[key, "frame_idx", "bin", "power"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * power.size, batch.column(0).type), pa.array(frame.ravel(), pa.int32()), pa.array(bin_.ravel(), pa.int32()), pa.array(power.ravel())], names=[key, "frame_idx", "bin", "power"])
+
+    return _waves(waves, key, samples).mapInArrow(run, f"{key} {waves.schema[key].dataType.simpleString()}, frame_idx int, bin int, power double")
+
+
+def _waves(waves: DataFrame, key: str, samples: str) -> DataFrame:
+    return waves.select(key, F.col(samples).cast("array<double>")).filter(F.col(samples).isNotNull())
+
+
+def wave_energy(waves: DataFrame, settings: SnrSettings, key: str = "recording_id", samples: str = "samples", frames: int = 2048) -> DataFrame:
+    """(key, frame_idx, band, energy): ``stft_power`` and ``band_energy`` in one go, which spares a row for each bin.
+
+    ``frames`` of a waveform are transformed at a time.
+    """
+    frequency = np.arange(settings.n_fft // 2 + 1) * settings.sample_rate / settings.n_fft
+    inside = np.array([(frequency >= a) & (frequency < b) for _, a, b in band_edge_rows(settings.band_low, settings.band_high, settings.n_bands)], float).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                for first, power in power_runs(np.array(batch.column(1)[i].as_py(), np.float64), settings.n_fft, settings.hop, settings.window, frames):
+                    energy = power @ inside
+                    frame, band = np.indices(energy.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * energy.size, batch.column(0).type), pa.array((frame + first).ravel(), pa.int32()), pa.array(band.ravel(), pa.int32()), pa.array(energy.ravel())], names=[key, "frame_idx", "band", "energy"])
 
-    return waves.select(F.col(key).cast("long").alias(key), F.col(samples).cast("array<double>")).filter(F.col(samples).isNotNull()).mapInArrow(run, f"{key} long, frame_idx int, bin int, power double")
+    return _waves(waves, key, samples).mapInArrow(run, f"{key} {waves.schema[key].dataType.simpleString()}, frame_idx int, band int, energy double")
 
 
 def band_energy(spectrum: DataFrame, low: float, high: float, n_bands: int, hz_per_bin: float, key: str = "recording_id") -> DataFrame:
@@ -139,8 +169,7 @@ def robust_normalize(df: DataFrame, value: str, keys: list[str], eps: float = EP
 
 def snr_features(waves: DataFrame, settings: SnrSettings, key: str = "recording_id", samples: str = "samples") -> DataFrame:
     """(key, frame_idx, time_s, band, feature): the chain from waveforms to normalised signal-to-noise features."""
-    spectrum = stft_power(waves, settings.n_fft, settings.hop, settings.window, key, samples)
-    energy = band_energy(spectrum, settings.band_low, settings.band_high, settings.n_bands, settings.sample_rate / settings.n_fft, key)
+    energy = wave_energy(waves, settings, key, samples)
     based = median_filter(energy, "energy", settings.kernel, [key, "band"], "frame_idx", dense=True)
     # Stored, as normalising reads it twice.
     snr = materialise(based.withColumn("snr", snr_db("energy", "baseline", settings.eps)))

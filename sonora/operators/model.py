@@ -1,11 +1,7 @@
-"""A small segmentation network over feature frames: forward pass, gradients, training, sliding prediction, persistence."""
+"""A small segmentation network over feature frames: forward and backward pass, optimiser steps, sliding prediction."""
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +13,8 @@ from .windows import numbered
 KERNELS = (9, 9, 5, 1)
 #: Frames between the begins of two runs of windows; a task scores one run at a time.
 CHUNK = 1024
+#: Windows scored in one forward pass.
+BATCH = 32
 Weights = list[tuple[np.ndarray, np.ndarray]]
 
 
@@ -44,20 +42,15 @@ def forward(weights: Weights, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarra
     return x[:, 0], inputs
 
 
-def gradients(weights: Weights, x: np.ndarray, y: np.ndarray, pos_weight: float = 1.0) -> tuple[float, Weights]:
-    """Mean weighted cross-entropy of logits, and its gradients."""
-    logits, inputs = forward(weights, x)
-    p = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
-    scale = 1 + (pos_weight - 1) * y
-    loss = float(((1 - y) * logits + scale * (np.log1p(np.exp(-np.abs(logits))) + np.maximum(-logits, 0))).mean())
-    g = (((1 - y) - scale * (1 - p)) / y.size)[:, None]
-    out: Weights = []
+def backward(weights: Weights, inputs: list[np.ndarray], g: np.ndarray) -> Weights:
+    """Gradients of all weights, from each layer's input and the gradient by logits (batch, time)."""
+    g, out = g[:, None], []
     for j in range(len(weights) - 1, -1, -1):
         w, views = weights[j][0], _views(inputs[j], weights[j][0].shape[2])
         out.append((np.einsum("bot,bitk->oik", g, views, optimize=True), g.sum((0, 2))))
         if j:
             g = np.einsum("botk,oik->bit", _views(g, w.shape[2]), w[:, :, ::-1], optimize=True) * (inputs[j] > 0)
-    return loss, out[::-1]
+    return out[::-1]
 
 
 def adam(weights: Weights, grads: Weights, state: dict, lr: float = 1e-3) -> Weights:
@@ -75,52 +68,18 @@ def adam(weights: Weights, grads: Weights, state: dict, lr: float = 1e-3) -> Wei
     return new
 
 
-def fit(windows: DataFrame, weights: Weights, epochs: int = 10, lr: float = 1e-3, pos_weight: float = 1.0) -> tuple[Weights, list[float]]:
-    """Synchronous training over (features array<array<double>> by band, labels array<double>) windows of equal width.
-
-    Each step every partition sends the sum of its gradients (the size of the model); the driver averages and steps.
-    """
-    state: dict = {}
-    losses = []
-    data = windows.select("features", "labels").persist()
-    try:
-        for _ in range(epochs):
-            now = data.sparkSession.sparkContext.broadcast(weights)
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    x, y = np.array(batch.column(0).to_pylist(), float), np.array(batch.column(1).to_pylist(), float)
-                    if len(y):
-                        loss, grads = gradients(now.value, x, y, pos_weight)
-                        flat = np.concatenate([a.ravel() for g in grads for a in g]) * len(y)
-                        yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int64()), pa.array([loss * len(y)]), pa.array([flat.tolist()])], names=["n", "loss", "grad"])
-
-            parts = data.mapInArrow(run, "n long, loss double, grad array<double>")
-            flat = parts.select(F.posexplode("grad").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g")).toPandas().sort_values("i")["g"].to_numpy()
-            total = parts.agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).first()
-            losses.append(total["loss"] / total["n"])
-            grads, at = [], 0
-            for w, b in weights:
-                grads.append((flat[at : at + w.size].reshape(w.shape) / total["n"], flat[at + w.size : at + w.size + b.size] / total["n"]))
-                at += w.size + b.size
-            weights = adam(weights, grads, state, lr)
-    finally:
-        data.unpersist()
-    return weights, losses
-
-
 def sliding_predict(frames: DataFrame, weights: Weights, width: int, hop: int | None = None, key: str = "recording_id", order: str = "frame_idx", features: str = "features") -> DataFrame:
     """(key, frame_idx, prob): each frame's mean probability over the windows that hold it, 0 where none does.
 
-    Recordings shorter than a window are padded with their last frame. Windows are scored one by one, as the network
-    pads each with zeros at its own ends. A task holds one run of windows, about CHUNK frames, never a recording.
+    Recordings shorter than a window are padded with their last frame. The network pads each window with
+    zeros at its own ends. A task holds one run of windows, about CHUNK frames, never a recording.
     """
     hop = hop or max(1, width // 4)
     if not 0 < hop <= width:
         raise ValueError("the hop must lie between one frame and the window's width")
     model = frames.sparkSession.sparkContext.broadcast(weights)
     stride = max(1, CHUNK // hop) * hop
-    placed = numbered(frames.select(F.col(key).cast("long").alias("_key"), F.col(order).cast("int").alias("_order"), F.col(features).alias("_x")), ["_key"], ["_order", "_x"], "_pos")
+    placed = numbered(frames.select(F.col(key).alias("_key"), F.col(order).cast("int").alias("_order"), F.col(features).alias("_x")), ["_key"], ["_order", "_x"], "_pos")
     # A run's last window begins at stride - hop, so frames behind the next run's begin belong to both.
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_pos") - (stride - hop + width - 1)) / F.lit(stride)))
     runs = placed.withColumn("_run", F.explode(F.sequence(first, F.floor(F.col("_pos") / F.lit(stride)))))
@@ -131,28 +90,15 @@ def sliding_predict(frames: DataFrame, weights: Weights, width: int, hop: int |
         n, run = x.shape[1], table["_run"][0].as_py()
         padded = np.pad(x, ((0, 0), (0, max(0, width - n))), mode="edge") if run == 0 else x
         total, seen = np.zeros(padded.shape[1]), np.zeros(padded.shape[1])
-        for s in range(0, min(stride, padded.shape[1] - width + 1), hop):
-            total[s : s + width] += 1 / (1 + np.exp(-np.clip(forward(model.value, padded[None, :, s : s + width])[0][0], -500, 500)))
-            seen[s : s + width] += 1
+        starts = np.arange(0, min(stride, padded.shape[1] - width + 1), hop)
+        for lo in range(0, len(starts), BATCH):
+            part = starts[lo : lo + BATCH]
+            logits = forward(model.value, np.stack([padded[:, s : s + width] for s in part]))[0]
+            for s, p in zip(part, 1 / (1 + np.exp(-np.clip(logits, -500, 500)))):
+                total[s : s + width] += p
+                seen[s : s + width] += 1
         return table.select(["_key", "_order", "_pos"]).append_column("total", pa.array(total[:n])).append_column("seen", pa.array(seen[:n]))
 
-    scored = runs.groupBy("_key", "_run").applyInArrow(score, "_key long, _order int, _pos long, total double, seen double")
+    scored = runs.groupBy("_key", "_run").applyInArrow(score, f"_key {frames.schema[key].dataType.simpleString()}, _order int, _pos long, total double, seen double")
     summed = scored.groupBy("_key", "_order", "_pos").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"))
     return summed.select(F.col("_key").alias(key), F.col("_order").alias(order), (F.col("total") / F.greatest(F.col("seen"), F.lit(1e-12))).alias("prob"))
-
-
-def save_model(path: str, weights: Weights, settings: dict, overwrite: bool = False) -> None:
-    """A folder with the settings as JSON and the weights as npz; nothing in it is executable."""
-    if os.path.exists(path) and not overwrite:
-        raise FileExistsError(path)
-    os.makedirs(path, exist_ok=True)
-    np.savez(os.path.join(path, "weights.npz"), **{f"{j}_{k}": a for j, pair in enumerate(weights) for k, a in zip("wb", pair)})
-    with open(os.path.join(path, "settings.json"), "w") as f:
-        json.dump(settings, f)
-
-
-def load_model(path: str) -> tuple[Weights, dict]:
-    with np.load(os.path.join(path, "weights.npz"), allow_pickle=False) as z:
-        weights = [(z[f"{j}_w"], z[f"{j}_b"]) for j in range(len(z.files) // 2)]
-    with open(os.path.join(path, "settings.json")) as f:
-        return weights, json.load(f)

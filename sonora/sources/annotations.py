@@ -51,14 +51,14 @@ def read_annotations(spark: SparkSession, paths: str | list[str], strict: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = csv.DictReader(io.StringIO(text.lstrip("﻿"), newline=""))
+                lines = csv.DictReader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
                 missing = [c for c in REQUIRED if c not in (lines.fieldnames or ())]
                 if missing and strict:
                     raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
                 rows = [] if missing else [{c: r.get(c) for c in ("start_seconds", "stop_seconds", "name")} | {"annotation_path": path} for r in lines]
                 yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
 
-    files = spark.read.option("wholetext", True).text(paths).select(plain_path(F.col("_metadata.file_path")), "value")
+    files = spark.read.text(paths, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
     rows = files.mapInArrow(run, "annotation_path string, start_seconds string, stop_seconds string, name string")
     return rows.select(F.regexp_replace("annotation_path", SUFFIX.replace(".", r"\.") + "$", "").alias("recording_id"), "*")
 

@@ -82,7 +82,7 @@ def audio_durations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             found = [wav_duration(head, length) for head, length in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["audio_path", "duration_s"])
 
-    files = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("_metadata.file_path")), F.substring("content", 1, HEADER), "length")
+    files = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("_metadata.file_path")).alias("path"), F.substring("content", 1, HEADER).alias("head"), "length")
     return files.mapInArrow(run, "audio_path string, duration_s double")
 
 
@@ -110,5 +110,5 @@ def load_audio(spark: SparkSession, paths: str | list[str], sample_rate: int | N
                 x = resample(x, rate, to)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([to], pa.int32()), pa.array([duration]), pa.array([x.mean(0).astype(np.float32) if mono else list(x.astype(np.float32))], kind)], schema=schema)
 
-    files = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("_metadata.file_path")), "content")
+    files = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("_metadata.file_path")).alias("path"), "content")
     return files.mapInArrow(run, f"audio_path string, sample_rate int, duration_s double, samples array<{'float' if mono else 'array<float>'}>")
