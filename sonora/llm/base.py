@@ -92,6 +92,8 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: All ASCII but letters and digits.
+IS_MARK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -110,10 +112,13 @@ def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
-def word_hashes(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all rows (A-Z folded), and each row's first word; ``at`` as from arrow_bytes."""
+def word_hashes(buf: np.ndarray, at: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all rows (A-Z folded), and each row's first word; ``at`` as from arrow_bytes.
+
+    ``between``: which of the 256 bytes part words.
+    """
     fold = _FOLD[buf]
-    inside = ~_IS_SPACE[fold]
+    inside = ~between[fold]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = at[:-1][(at[:-1] < len(buf)) & (np.diff(at) > 0)]

@@ -1,13 +1,14 @@
 """Operator 9, toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct hashed words, word pairs and pairs with one word left out of a whole text. Each
-coordinate has a learning rate of its own (the more it was updated, the slower) and an L1 penalty keeps most
-weights at zero, so the model is a small sparse table whatever the corpus, and is broadcast.
+Features are the distinct hashed words, word pairs and pairs with one word left out of a whole text; here words are
+runs of letters and digits, so that marks around them or between them don't tell. Each coordinate has a learning rate
+of its own (the more it was updated, the slower) and an L1 penalty, higher for pairs, which are many and seldom seen
+again, keeps most weights at zero, so the model is a small sparse table whatever the corpus, and is broadcast.
 
-Training reads at most ``train_rows`` labelled documents (those first by a hash of doc_id, so the bound keeps no
-order of the table), dealt over ``shards`` tasks that train side by side. The penalty shrinks the log odds, so each
-shard then scales its weights and bias by a two-parameter logistic fit to its rows; the shards' models are averaged.
-Scoring reads every document.
+Training reads at most ``rows`` labelled documents (those first by a hash of doc_id, so the bound keeps no
+order of the table). Their features are hashed where the texts are, and one task trains on them, as few labels should
+not be parted. The penalty shrinks the log odds, so weights and bias are then scaled by a two-parameter logistic fit
+to the rows. Scoring reads every document.
 
 Defined cases: a null or blank text has no features and scores by the bias alone; without labelled rows every
 document scores 0.0; repeated rows score alike; rows with a null doc_id or a null label are not trained on; an
@@ -24,48 +25,56 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_bytes, gram_hashes, mix, small_batches, text_or_empty, word_hashes
+from .base import IS_MARK, arrow_bytes, gram_hashes, mix, small_batches, text_or_empty, word_hashes
 
-BITS, TRAIN_ROWS, SHARDS, EPOCHS = 20, 12_000, 2, 6
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
+BITS, TRAIN_ROWS, EPOCHS = 20, 12_000, 6
+ALPHA, BETA, L2 = 1.0, 1.0, 0.1
+#: Penalties of words and of pairs.
+L1, L1_PAIRS = 8.0, 24.0
 REJECT = 0.7
 
 
 def features(texts: pa.Array, bits: int = BITS, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For a few rows at a time: hashed features of all of them, and where each row's begin (one more at the end)."""
+    """For a few rows at a time: hashed features of all of them, and where each row's begin (one more at the end).
+
+    Words have the lower half of the buckets, pairs the upper one.
+    """
     for lo in range(0, len(texts), rows):
         buf, at = arrow_bytes(texts.slice(lo, rows))
-        words, first = word_hashes(buf, at)
+        words, first = word_hashes(buf, at, IS_MARK)
         row = np.repeat(np.arange(len(at) - 1), np.diff(first))
-        kinds = [(words, row)]
+        top = np.uint64(1 << 63)
+        kinds = [(words & ~top, row)]
         for gap in (1, 2):
             if len(words) > gap:
                 pair = gram_hashes(words, 2) if gap == 1 else mix(mix(words[:-2]) + words[2:] + np.uint64(0x51ED2701))
                 inside = row[:-gap] == row[gap:]
-                kinds.append((pair[inside], row[:-gap][inside]))
+                kinds.append((pair[inside] | top, row[:-gap][inside]))
         key = np.concatenate([r.astype(np.int64) << bits | (h >> np.uint64(64 - bits)).astype(np.int64) for h, r in kinds])
         key = np.unique(key)
         yield (key & (1 << bits) - 1).astype(np.int32), np.searchsorted(key, np.arange(len(at)) << bits)
 
 
-def train_shard(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+def train_rows(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (features, label) rows in the given order: buckets, their weights, and the bias."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias, grad2 = 0.0, 0.0
     if rows:
         share = min(max(sum(y for _, y in rows) / len(rows), 1e-3), 1 - 1e-3)
         bias = float(np.log(share / (1 - share)))
-    weight = lambda z, n: np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    penalty = np.full(1 << bits, L1)
+    penalty[1 << bits - 1 :] = L1_PAIRS
+    weight = lambda z, n, l1: np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     for _ in range(epochs):
         for at, y in rows:
             zs, ns = z[at], n[at]
-            w = weight(zs, ns)
+            w = weight(zs, ns, penalty[at])
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30))) - y
             sigma = (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA
             z[at], n[at] = zs + g - sigma * w, ns + g * g
             grad2 += g * g
             bias -= ALPHA * g / (BETA + np.sqrt(grad2))
-    w = weight(z, n)
+    w = weight(z, n, penalty)
     at = np.flatnonzero(w)
     if not len(at):
         return at, w[at], bias
@@ -99,24 +108,29 @@ def mixed(ids: np.ndarray) -> int:
     return int(mix(ids.view(np.uint64))[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, shards: int = SHARDS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets (sorted), weights and bias, averaged over the shards."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Buckets (sorted), weights and bias."""
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sample = texts.join(F.broadcast(sample_labels(labels, rows)), "doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text", "toxic")
+    sample = texts.join(F.broadcast(sample_labels(labels, rows)), "doc_id").select("doc_id", "toxic", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [f[a:b].tobytes() for f, first in features(batch.column(2), bits) for a, b in zip(first, first[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary())], names=["doc_id", "toxic", "at"])
 
     def fit(key, table):
         ids, y = table["doc_id"].to_numpy(), table["toxic"].to_pylist()
-        at = [f[a:b] for chunk in table["text"].chunks for f, first in features(chunk, bits) for a, b in zip(first, first[1:])]
+        at = [x.as_py() for x in table["at"]]
         # An order of their own for the rows, whatever order they came in; features tell repeated ids apart.
-        order = sorted(range(len(y)), key=lambda i: (mixed(ids[i : i + 1]), at[i].tobytes()))
-        where, w, bias = train_shard([(at[i], y[i]) for i in order], bits)
+        order = sorted(range(len(y)), key=lambda i: (mixed(ids[i : i + 1]), at[i]))
+        where, w, bias = train_rows([(np.frombuffer(at[i], np.int32), y[i]) for i in order], bits)
         return pa.table({"at": np.append(where, -1), "w": np.append(w, bias)})
 
-    got = sample.groupBy("shard").applyInArrow(fit, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow().sort_by("at")
+    # One group, of a bounded number of rows; a row's features are bounded by the number of buckets.
+    got = sample.mapInArrow(hashed, "doc_id long, toxic int, at binary").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "at long, w double").toArrow().sort_by("at")
     if not len(got):
         return np.zeros(0, np.int64), np.zeros(0), -np.inf
-    used = sample.select("shard").distinct().count()
-    at, w = got["at"].to_numpy(), got["w"].to_numpy() / used
+    at, w = got["at"].to_numpy(), got["w"].to_numpy()
     return at[1:], w[1:], float(w[0])
 
 
