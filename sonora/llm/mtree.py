@@ -5,15 +5,22 @@ has one more coordinate, sqrt(M - |v|^2) with M the largest squared norm, and ea
 which candidates of each bucket (by a hash of the id) form a paged M-tree. A node keeps a pivot, a covering radius
 and the distance to its parent's pivot; a leaf's entries keep their distances to its pivot. The search takes nodes by
 their lower bounds, and the triangle inequality over the stored distances leaves out nodes and entries without
-computing their distances. Bounds are in floating point with some slack; scores are exact integers.
+computing their distances. Bounds are in floating point with some slack; scores are exact integers: products of
+doubles while these are exact, Python's integers beyond 2^53.
 
-Queries are dealt in blocks of fixed size. Each (block, tree) pair is one task's unit; a tree gives each query at
-most k rows, and these meet in a top-k by query.
+A tree of ``TREE_ROWS`` candidates is built once, in the task that its bucket was dealt to; the queries reach it in
+blocks of fixed size behind it, one at a time, so queries move as often as there are trees and candidates move once. A
+task with several trees carries each query's k-th best score on from tree to tree. A tree gives each query at most k
+rows, and these meet in a top-k by query.
+
+What the bounds spare depends on the data: on vectors in clusters most distances, on vectors without any structure in
+many dimensions next to none (``MTree.computed`` counts them).
 
 Defined cases: vectors that are null, empty, or hold a null, NaN or infinite component take no part; shorter vectors
 count as filled up with zeros; a query's own vec_id is no candidate, in any of its rows; a query id that repeats is
 answered once, by its least vector; ties go to the smaller vec_id (rows that repeat an id and a score fill ranks of
-their own); an empty table gives no rows; other columns are not read.
+their own); scores beyond 64 bits rank by their value and are returned as the nearest 64-bit integer; an empty table
+gives no rows; other columns are not read. Finite components of any size take part, as long as their square is finite.
 """
 
 from __future__ import annotations
@@ -29,7 +36,9 @@ from pyspark.sql import functions as F
 from .base import materialise
 
 SCALE, K, EVERY = 1024, 10, 100
-LEAF, FAN, TREE_ROWS, BLOCK = 64, 12, 8192, 256
+LEAF, FAN, TREE_ROWS, BLOCK = 256, 12, 8192, 256
+#: Queries whose k-th best score a task carries on, at most.
+CARRIED = 100_000
 
 
 class Node:
@@ -60,29 +69,45 @@ class Node:
 
 
 class MTree:
-    """An M-tree over integer vectors lifted onto a sphere, searched for the largest inner products."""
+    """An M-tree over integer vectors (as doubles) lifted onto a sphere, searched for the largest inner products.
+
+    ``most``: at least the largest squared norm of all candidates.
+    """
 
-    def __init__(self, ids: np.ndarray, ints: np.ndarray, most: int) -> None:
+    def __init__(self, ids: np.ndarray, values: np.ndarray, most: float) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.ints, self.most = ids[order], ints[order], most
-        lift = np.sqrt(np.maximum(most - (self.ints**2).sum(1), 0).astype(float))
-        self.vectors = np.column_stack([self.ints.astype(float), lift])
-        pivot = self.vectors.mean(0) if len(ids) else np.zeros(ints.shape[1] + 1)
+        self.ids, self.values, self.most = ids[order], values[order].astype(float), float(most)
+        # Sums of products of integers are exact in doubles as long as no norm exceeds 2^53.
+        self.exact = None if self.most < 1 << 53 else np.array([[int(x) for x in row] for row in self.values], object).reshape(self.values.shape)
+        self.vectors = np.column_stack([self.values, np.sqrt(np.maximum(self.most - (self.values**2).sum(1), 0))])
+        pivot = self.vectors.mean(0) if len(ids) else np.zeros(values.shape[1] + 1)
         self.root = Node(np.arange(len(ids)), self.vectors, pivot, np.sqrt(((self.vectors - pivot) ** 2).sum(1)), 0.0, np.random.RandomState(len(ids)))
         self.computed = 0
 
-    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) of candidates other than ``own``: highest scores, then smallest ids."""
+    def search(self, own: int, query: np.ndarray, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """The k best (score, vec_id) of candidates other than ``own``: highest scores, then smallest ids.
+
+        Candidates below ``floor`` may be left out.
+        """
         q = np.append(query.astype(float), 0.0)
+        whole = None if self.exact is None or not len(self.ids) else np.array([int(x) for x in query], object)
+        if whole is None and float(np.abs(q).max(initial=0.0)) ** 2 * len(q) >= 1 << 53:
+            whole = np.array([int(x) for x in query], object)
         both = float((q**2).sum()) + self.most
         slack = 1e-9 * both + 1e-6
         best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst first
-        reach = np.inf  # no candidate farther than this can enter
+        reach = np.inf if floor == -np.inf else np.sqrt(max(both - 2 * floor, 0.0) + slack)  # no candidate farther than this can enter
 
         def distance(p: np.ndarray) -> np.ndarray:
             self.computed += len(p)
             return np.sqrt(((p - q) ** 2).sum(1))
 
+        def scored(rows: np.ndarray) -> np.ndarray:
+            if whole is None:
+                return self.values[rows] @ q[:-1]
+            part = self.exact[rows] if self.exact is not None else self.values[rows].astype(np.int64).astype(object)
+            return part @ whole
+
         heap = [(0.0, 0, self.root, float(distance(self.root.pivot[None])[0]))]
         tick = 1
         while heap:
@@ -95,7 +120,7 @@ class MTree:
                 if not len(rows):
                     continue
                 self.computed += len(rows)
-                scores = self.ints[rows] @ query
+                scores = scored(rows)
                 if len(best) >= k:
                     take = scores >= best[0][0]
                     rows, scores = rows[take], scores[take]
@@ -106,70 +131,80 @@ class MTree:
                         elif (s, -v) > best[0]:
                             heapq.heapreplace(best, (s, -v))
                 if len(best) >= k:
-                    reach = np.sqrt(max(both - 2 * best[0][0], 0.0) + slack)
+                    reach = min(reach, np.sqrt(max(both - 2 * float(best[0][0]), 0.0) + slack))
                 continue
             may = np.flatnonzero(np.abs(d - node.child_to_parent) - node.child_radius <= reach)
             if not len(may):
                 continue
             for j, dj in zip(may.tolist(), distance(node.pivots[may]).tolist()):
-                low = max(bound, dj - node.children[j].radius - 1e-6)
+                low = max(bound, dj - node.children[j].radius - slack)
                 if low <= reach:
                     heapq.heappush(heap, (low, tick, node.children[j], dj))
                     tick += 1
-        return sorted(((s, -v) for s, v in best), key=lambda x: (-x[0], x[1]))
+        return sorted(((int(s), -v) for s, v in best), key=lambda x: (-x[0], x[1]))
 
 
 def quantised(col: str, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component; null where the vector takes no part."""
+    """floor(scale * x) of every component, as doubles; null where the vector takes no part."""
     doubles = F.transform(col, lambda x: x.cast("double"))
     good = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when((F.size(col) > 0) & F.coalesce(good, F.lit(False)), F.transform(doubles, lambda x: F.floor(x * scale).cast("long")))
+    # From 2^53 on, doubles are whole.
+    whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(F.when(F.abs(x) < 2.0**53, x).otherwise(0.0)).cast("double")).otherwise(x)
+    return F.when((F.size(col) > 0) & F.coalesce(good, F.lit(False)), F.transform(doubles, lambda x: whole(x * scale)))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width), np.int64)
+    out = np.zeros((len(lists), width))
     for i, x in enumerate(lists.to_pylist()):
         out[i, : len(x)] = x
     return out
 
 
 def _packed(df: DataFrame, group: Column, width: int) -> DataFrame:
-    """Rows of (id, v) as one binary of 64-bit integers per group."""
+    """Rows of (id, v) as one binary of 64-bit ids and one of doubles per group."""
+
     def pack(key, table):
         table = table.sort_by([("id", "ascending")])
-        body = np.column_stack([table["id"].to_numpy(), _matrix(table["v"].combine_chunks(), width)])
-        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([body.astype("<i8").tobytes()], pa.large_binary() if body.nbytes > 1 << 30 else pa.binary())})
+        ids, body = table["id"].to_numpy(), _matrix(table["v"].combine_chunks(), width)
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "body": pa.array([body.astype("<f8").tobytes()], pa.binary())})
 
-    return df.withColumn("g", group).groupBy("g").applyInArrow(pack, "g int, body binary")
+    return df.withColumn("g", group).groupBy("g").applyInArrow(pack, "g int, ids binary, body binary")
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id and score: the k largest inner products for each vector whose id divides by ``every``."""
     ints = materialise(vectors.select(F.col("vec_id").cast("long").alias("id"), quantised("embedding", scale).alias("v")).filter("id is not null and v is not null"))
-    shape = ints.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)).alias("most"), F.count(F.when(F.col("id") % every == 0, 1)).alias("queries")).first()
-    n, width, most = shape["n"], shape["width"] or 0, shape["most"] or 0
+    shape = ints.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most"), F.count(F.when(F.col("id") % every == 0, 1)).alias("queries")).first()
+    n, width, most = shape["n"], shape["width"] or 0, (shape["most"] or 0.0) * (1 + 1e-9)
     trees, blocks = max(1, -(-n // TREE_ROWS)), max(1, -(-shape["queries"] // BLOCK))
     spread = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    tree = _packed(ints, F.pmod(F.xxhash64("id", "v"), F.lit(trees)).cast("int"), width).select(F.col("g").alias("tree"), F.col("body").alias("candidates"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    query = _packed(ints.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), spread(blocks), width).select(F.col("g").alias("block"), F.col("body").alias("queries"))
-    query = query.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    pairs = tree.join(query, ["tree", "block"]).select("tree", "candidates", "queries")
+    tree = _packed(ints, F.pmod(F.xxhash64("id", "v"), F.lit(trees)).cast("int"), width).select(F.col("g").alias("tree"), F.lit(-1).alias("block"), "ids", "body")
+    query = _packed(ints.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), spread(blocks), width)
+    query = query.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.col("g").alias("block"), "ids", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (None, None)
+        built: MTree | None = None
+        floors: dict[int, float] = {}
         for batch in batches:
             for i in range(len(batch)):
-                number = batch.column(0)[i].as_py()
-                if kept[0] != number:
-                    body = np.frombuffer(batch.column(1)[i].as_py(), "<i8").reshape(-1, width + 1)
-                    kept = (number, MTree(body[:, 0], body[:, 1:], most))
-                asked = np.frombuffer(batch.column(2)[i].as_py(), "<i8").reshape(-1, width + 1)
-                out = [(q[0], v, s) for q in asked for s, v in kept[1].search(int(q[0]), q[1:], k)]
+                ids, body = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("ids", "<i8"), ("body", "<f8")))
+                body = body.reshape(-1, width)
+                if batch.column("block")[i].as_py() < 0:
+                    built = MTree(ids, body, most)
+                    continue
+                out = []
+                for own, q in zip(ids.tolist(), body):
+                    found = built.search(own, q, k, floors.get(own, -np.inf)) if built else []
+                    if len(found) == k and (own in floors or len(floors) < CARRIED):
+                        floors[own] = max(floors.get(own, -np.inf), float(found[-1][0]))
+                    out += [(own, v, min(max(s, -(1 << 63)), (1 << 63) - 1), str(s)) for s, v in found]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x[j] for x in out], pa.int64()) for j in range(3)), pa.array([x[3] for x in out])], names=["query_id", "vec_id", "score", "whole"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # A tree comes before the queries that follow it: blocks count from 0.
+    dealt = tree.unionByName(query).repartition(trees, "tree").sortWithinPartitions("tree", "block")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long, whole string")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.col("whole").cast("double")), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

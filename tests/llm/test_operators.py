@@ -64,8 +64,23 @@ def test_tree_leaves_out_computations():
     centres = rng.randint(-300, 300, (20, 16))
     ints = np.concatenate([c + rng.randint(-5, 6, (200, 16)) for c in centres])
     tree = mtree.MTree(np.arange(len(ints)), ints, int((ints**2).sum(1).max()))
+    assert all(c.to_parent == pytest.approx(np.sqrt(((c.pivot - tree.root.pivot) ** 2).sum())) for c in tree.root.children)
     assert [i for _, i in tree.search(7, ints[7], 5)] == [i for i in np.lexsort((np.arange(len(ints)), -(ints @ ints[7]))).tolist() if i != 7][:5]
-    assert tree.computed < len(ints)
+    assert tree.computed < len(ints) / 2
+    floor = sorted(ints @ ints[7])[-10]
+    assert [x for x in tree.search(7, ints[7], 5, floor) if x[0] >= floor] == tree.search(7, ints[7], 5)
+
+
+@pytest.mark.parametrize("size", [1.0, 3e6, 1e9, 1e17, 1e30])
+def test_top_k_of_large_components(spark, monkeypatch, size):
+    monkeypatch.setattr(mtree, "TREE_ROWS", 60)
+    rng = np.random.RandomState(3)
+    v = [(i, (rng.uniform(-1, 1, 6) * size).tolist()) for i in range(300)] + [(300 + i, [size] * 6) for i in range(12)]
+    ints = {i: [int(np.floor(1024 * x)) if abs(x) < 1e12 else int(1024 * x) for x in e] for i, e in v}
+    got = mtree.top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>")).collect()
+    for q in (0, 100, 200, 300):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], e)), i) for i, e in ints.items() if i != q)[:10]
+        assert [(max(min(-s, 2**63 - 1), -(2**63)), i) for s, i in scored] == [(r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
 
 
 def test_secret_spans(docs, rows):
@@ -374,3 +389,46 @@ def test_keep_one_with_odd_rows(spark):
     kept = jaccard.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, text(0)), (1, text(1)), (None, text(2)), (6, text(3)), (7, ""), (7, ""), (8, None)])
+
+
+def test_ftrl_by_plain_python():
+    """The same weights from dictionaries and the update rule written out."""
+    import math
+
+    rng, bits = random.Random(6), 8
+    rows = [(np.array(sorted(rng.sample(range(1 << bits), 12)), np.int32), int(rng.random() < 0.4)) for _ in range(60)]
+    marked = [(np.unique(np.append(f, [3, 200] if y else [])).astype(np.int32), y) for f, y in rows]
+    z, n, share = defaultdict(float), defaultdict(float), sum(y for _, y in marked) / 60
+    bias, grad2 = math.log(share / (1 - share)), 0.0
+
+    def weight(i):
+        l1 = toxicity.L1_PAIRS if i >= 128 else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for f, y in marked:
+            w = {i: weight(i) for i in f.tolist()}
+            g = 1 / (1 + math.exp(-sum(w.values()) - bias)) - y
+            for i in f.tolist():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+            grad2 += g * g
+            bias -= toxicity.ALPHA * g / (toxicity.BETA + math.sqrt(grad2))
+    want = {i: weight(i) for i in range(256) if weight(i)}
+    at, w, b = toxicity.train_rows(marked, bits)
+    assert at.tolist() == sorted(want) and 3 in want
+    # All weights and the bias are scaled by one slope, and the bias is shifted.
+    assert w / w[0] == pytest.approx([want[i] / want[int(at[0])] for i in at])
+
+
+def test_toxic_words_between_marks(spark):
+    rng = random.Random(12)
+    plain = "the of and ing ion ent ble was her that this with".split()
+    forms = ["vilefool", "VILEFOOL!!", "vilefool,", "(vilefool)", "a|vilefool|b"]
+    texts = [" ".join(rng.choice(plain) for _ in range(40)) + (" " + forms[i // 3 % 5] if i % 3 == 0 else "") for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string")  # repeated rows
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)] * 2 + [(None, 1), (5, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == 800 and np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in held]) == 1.0
+    assert all(len({r["score"] for r in got if r["doc_id"] == i}) == 1 for i in range(20))
