@@ -1,7 +1,7 @@
 """Operator 2, secret scans: patterns plus a randomness test battery over encoded-looking tokens.
 
 Every whole text is searched for the three fixed patterns (the base). Tokens of 20 and more characters of an inferred
-encoding (hex, base 32, 36, 62 or 64; a digit and a letter at least) then face three tests, each giving the
+encoding (hex, base 32, 36, 62 or 64, or letters alone; one letter at least) then face three tests, each giving the
 probability that ordinary text would look as random: chi-squared uniformity over the encoding's alphabet, runs of
 character classes, and lag-1 serial correlation. Fisher's method combines them. Which tokens count is decided over
 the whole corpus by a weighted false-discovery procedure, weights growing with the square root of the length, since
@@ -45,13 +45,16 @@ LOOK = {
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
 }
-#: How far ordinary text is from each test's ideal: chi-squared a character, class changes a character, correlation.
-TEXT_CHI, TEXT_RUNS, TEXT_SERIAL = 1.0, 0.2, 0.5
+#: How far ordinary text is from each test's ideal: chi-squared a character, class changes a character (where letters of
+#: both cases or signs may change, and where only digits do), correlation.
+TEXT_CHI, TEXT_RUNS, TEXT_SERIAL = 1.0, {"base62": 0.2, "base64": 0.2}, 0.5
+DIGIT_RUNS = 0.08
 #: The share of false discoveries to stay under, and the width of a bin of log10 probabilities.
 FALSE_SHARE, BIN = 1e-3, 0.05
 
@@ -66,10 +69,9 @@ def _below(z: float) -> float:
 
 
 def infer_encoding(token: str) -> str | None:
-    """The narrowest alphabet that holds the token; None for words and plain numbers."""
-    body = token.rstrip("=")
-    chars = set(body)
-    if not any(c.isdigit() for c in chars) or not any(c.isalpha() for c in chars):
+    """The narrowest alphabet that holds the token; None without letters."""
+    chars = set(token.rstrip("="))
+    if not any(c.isalpha() for c in chars):
         return None
     return next((name for name, a in _SETS.items() if chars <= a), None)
 
@@ -81,8 +83,9 @@ def battery(token: str, encoding: str) -> float:
     chi = float(((np.bincount(at, minlength=k) - n / k) ** 2).sum() * k / n)
     far = n * TEXT_CHI * (k - 16) / 32 if k > 16 else n * TEXT_CHI / 4
     p_chi = _below((chi - (k - 1 + far)) / math.sqrt(2 * (k - 1 + 2 * far)))
-    changes, expect = int((np.diff(_CLASS[codes]) != 0).sum()), TEXT_RUNS * (n - 1)
-    p_runs = _below((expect - changes) / math.sqrt(expect * (1 - TEXT_RUNS)))
+    rate = TEXT_RUNS.get(encoding, DIGIT_RUNS)
+    changes, expect = int((np.diff(_CLASS[codes]) != 0).sum()), rate * (n - 1)
+    p_runs = _below((expect - changes) / math.sqrt(expect * (1 - rate)))
     x = at - at.mean()
     rho = abs(float((x[1:] * x[:-1]).sum() / max(float((x * x).sum()), 1e-12)))
     p_serial = _below((math.atanh(min(rho, 0.999)) - math.atanh(TEXT_SERIAL)) * math.sqrt(max(n - 3, 1)))
@@ -159,6 +162,6 @@ def _joined(col: str):
 
 
 def secrets_digest(found: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns, and how many spans there are in all."""
     count = [F.size(F.array_remove(F.transform("base", lambda s: (s["kind"] == k).cast("int")), 0)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
-    return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
