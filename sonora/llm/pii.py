@@ -9,7 +9,9 @@ address repeated in another spelling, is found wherever the document repeats it.
 
 The potentials are trained here, piece by piece: counts of (shape, label), (label, next label) and (label, label at
 the other end of a skip edge) over all documents, the patterns' own labels being the training labels, smoothed and
-turned into logarithms. These tables are of fixed size.
+turned into logarithms. A skip edge between a token that a pattern found and one that none did is no evidence, as the
+latter was never judged, so it isn't counted; a prior of pseudo-counts, stated below, says that what is repeated keeps
+its label, until counts of edges that were judged say otherwise. These tables are of fixed size.
 
 Defined cases: a null text is empty; an empty table gives no rows; repeated rows are labelled each for themselves;
 other columns are not read (redaction keeps them). Very long texts are read whole, time being linear in the length.
@@ -43,6 +45,8 @@ LOOK = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9]([\x
 LABELS = 5
 SHAPES = 128
 ROUNDS, SMOOTH = 12, 1.0
+#: Pseudo-counts of skip edges whose ends agree, for each label, and of those that don't, for each two labels.
+AGREE, DIFFER = 60.0, 0.05
 
 
 def luhn(digits: str) -> bool:
@@ -177,7 +181,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[0][x["shape"], x["label"]] += 1
             for t, ends in ((1, chain), (2, skip)):
                 for i, j in ends:
-                    total[t][found[i]["label"], found[j]["label"]] += 1
+                    a, b = found[i]["label"], found[j]["label"]
+                    if t == 1 or (a > 0) == (b > 0):
+                        total[t][a, b] += 1
     rows = [(t, int(i), int(j), int(c[i, j])) for t, c in total.items() for i, j in zip(*np.nonzero(c))]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["t", "i", "j", "n"])
@@ -185,16 +191,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Potentials from the counts over all documents; at most 690 rows reach the driver."""
-    tables = [np.full((SHAPES, LABELS), SMOOTH), np.full((LABELS, LABELS), SMOOTH), np.full((LABELS, LABELS), SMOOTH)]
+    tables = [np.full((SHAPES, LABELS), SMOOTH), np.full((LABELS, LABELS), SMOOTH), np.where(np.eye(LABELS, dtype=bool), AGREE, DIFFER)]
     for r in scanned.select("nodes").mapInArrow(_counted, "t int, i int, j int, n long").groupBy("t", "i", "j").agg(F.sum("n").alias("n")).collect():
         tables[r["t"]][r["i"], r["j"]] += r["n"]
     unary = np.log(tables[0] / tables[0].sum(1, keepdims=True))
-    # A pair's potential is how much likelier the labels are together than apart; a skip edge's agreement is at least that of any pair.
+    # A pair's potential is how much likelier the labels are together than apart.
     pair, tie = (np.log(t / t.sum() / np.outer((t.sum(1) + t.sum(0)) / 2, (t.sum(1) + t.sum(0)) / 2) * t.sum() ** 2) for t in tables[1:])
-    # What no pattern found was never judged: a bare token is only weak evidence of "none", and its agreement with a found one the rule.
-    tie[1:, 0] = tie[0, 1:] = -4.0
-    tie[np.diag_indices(LABELS)] = np.maximum(tie.diagonal(), 4.0)
-    return np.maximum(unary, -5.0), np.clip(pair, -1.0, 1.0), np.clip(tie, -4.0, 6.0)
+    return np.maximum(unary, -5.0), np.clip(pair, -1.0, 1.0), np.clip(tie, -6.0, 6.0)
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
@@ -268,6 +271,6 @@ def _joined(col: str):
 
 
 def personal_digest(found: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns, and how many spans there are in all."""
     count = [F.size(F.array_remove(F.transform("base", lambda s: (s["kind"] == k).cast("int")), 0)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))

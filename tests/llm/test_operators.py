@@ -101,7 +101,8 @@ def test_randomness_battery():
     key = "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(40))
     word = "the1quickbrownfoxjumpsoverthelazydogandmore"
     assert secrets.battery(key, secrets.infer_encoding(key)) < -6 < secrets.battery(word, secrets.infer_encoding(word))
-    assert secrets.infer_encoding("a" * 30) is None
+    assert secrets.infer_encoding("1" * 30) is None and secrets.infer_encoding("xyz" * 10) == "lower"
+    assert secrets.battery("a" * 30, "hex") > -2
 
 
 def test_secrets_behind_a_name(spark):
@@ -432,3 +433,83 @@ def test_toxic_words_between_marks(spark):
     held = [r for r in got if r["held_out"]]
     assert len(got) == 800 and np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in held]) == 1.0
     assert all(len({r["score"] for r in got if r["doc_id"] == i}) == 1 for i in range(20))
+
+
+def test_messages_give_exact_marginals_on_trees():
+    """On graphs without cycles the labels are those of the largest marginals, summed over all labellings."""
+    from itertools import product
+
+    rng = np.random.RandomState(8)
+    for n in (2, 3, 4, 5):
+        for _ in range(6):
+            unary, pair, tie = rng.normal(0, 1, (pii.SHAPES, 5)), rng.normal(0, 1, (5, 5)), rng.normal(0, 1.5, (5, 5))
+            shapes = rng.randint(0, pii.SHAPES, n)
+            chain, skip = [], []
+            for i in range(1, n):  # a random tree of both kinds of edges
+                (chain if rng.rand() < 0.5 else skip).append((rng.randint(i), i))
+            fixed = np.where(rng.rand(n) < 0.3, rng.randint(1, 5, n), 0)
+            total = np.zeros((n, 5))
+            for y in product(range(5), repeat=n):
+                if all(not f or f == k for f, k in zip(fixed, y)):
+                    weight = sum(unary[s, k] for s, k, f in zip(shapes, y, fixed) if not f) + sum(pair[y[i], y[j]] for i, j in chain) + sum(tie[y[i], y[j]] for i, j in skip)
+                    total[np.arange(n), y] += np.exp(weight)
+            top = np.sort(total / total.sum(1, keepdims=True), axis=1)
+            clear = top[:, -1] - top[:, -2] > 0.02
+            got = pii.label(shapes, chain, skip, unary, pair, tie, fixed)
+            assert (got == total.argmax(1))[clear].all()
+
+
+def test_mentions_far_apart(spark):
+    """What a document repeats in another form is found wherever it stands; look-alikes that repeat nothing stay."""
+    rng = random.Random(21)
+    fill = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        number = "".join(rng.choice("23456789") for _ in range(10))
+        name = "".join(rng.choice("abcdefgh") for _ in range(8))
+        first = f"{fill(20)} call +1 ({number[:3]}) {number[3:6]}-{number[6:]} or {name}@mail.example.org {fill(900)} "
+        text = first + f"again 1{number} and {name} [at] mail [dot] example [dot] org end, order {rng.randint(10**10, 10**11)}"
+        rows.append((i, text))
+        want[i] = {("phone", text.rindex(f"1{number}"), text.rindex(f"1{number}") + 11), ("email", text.index(f"{name} [at]"), text.index(" end, order"))}
+    rows += [(100 + i, f"{fill(30)} order {rng.randint(10**10, 10**11)} then {rng.randint(10**10, 10**11)} {fill(5)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)} for r in pii.personal_digest(pii.find_personal(docs)).collect()}
+    found = sum(len(want[i] & got[i]) for i in want)
+    assert found >= 0.9 * 120 and all(len(got[i]) == 2 + len(want[i] & got[i]) for i in want)
+    assert not any(got[100 + i] for i in range(60))
+
+
+def planted_keys():
+    rng = random.Random(1)
+    words = "the internal data process handler request response buffer stream manager config value index table column window function operator parser token cache thread worker client server".split()
+    makers = [lambda w: "".join(x.capitalize() for x in w), "_".join, "/".join, "".join, lambda w: "-".join(w) + str(rng.randint(1, 99)), lambda w: "_".join(w).upper(), lambda w: w[0] + "".join(x.capitalize() for x in w[1:]) + str(rng.randint(1, 2000))]
+    decoys = [m for m in (rng.choice(makers)([rng.choice(words) for _ in range(rng.randint(4, 8))]) for _ in range(3000)) if len(m) >= 20]
+    kinds = [k for k in secrets.ALPHABETS if k not in ("hex", "lower")]  # lower-case hex is a base pattern
+    keys = [(k, "".join(rng.choice(secrets.ALPHABETS[k]) for _ in range(40))) for k in kinds for _ in range(40)]
+    keys += [("letters", "".join(rng.choice(secrets.ALPHABETS["base62"][10:]) for _ in range(40))) for _ in range(40)]
+    return keys, decoys
+
+
+def test_keys_of_each_encoding_among_decoys(spark):
+    keys, decoys = planted_keys()
+    rows = [(i, f"some text {k} and more") for i, (_, k) in enumerate(keys)] + [(1000 + i, f"call {d} here") for i, d in enumerate(decoys)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secrets_digest(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    caught = Counter(kind for i, (kind, k) in enumerate(keys) if f"random:10:{10 + len(k)}" in got[i])
+    assert set(caught) == {k for k, _ in keys} and sum(caught.values()) >= 0.9 * len(keys), caught
+    false = sum("random" in got[1000 + i] for i in range(len(decoys)))
+    assert false <= 0.02 * (false + sum(caught.values()))
+
+
+def test_discoveries_by_a_plain_step_up(spark):
+    """The limit against the weighted step-up procedure on the single scores, to the width of a bin."""
+    keys, decoys = planted_keys()
+    tokens = [t for _, t in keys] + decoys
+    score = {t: secrets.battery(t, secrets.infer_encoding(t)) - 0.5 * np.log10(len(t) / 20) for t in tokens}
+    scanned = spark.createDataFrame([([(0, len(t), float(score[t]))],) for t in tokens], "found array<struct<start: long, end: long, score: double>>")
+    mean = np.mean([np.sqrt(len(t) / 20) for t in tokens])
+    for share in (1e-4, 1e-3, 0.05):
+        p = np.sort([10 ** score[t] * mean for t in tokens])
+        fits = np.flatnonzero(p * len(p) <= share * np.arange(1, len(p) + 1))
+        want = np.log10(p[fits[-1]] / mean) if len(fits) else -np.inf
+        assert abs(secrets.discovery_threshold(scanned, share) - want) <= 2 * secrets.BIN
+    assert secrets.discovery_threshold(scanned.limit(0)) == -np.inf
