@@ -8,7 +8,6 @@ is stored of it besides a model's weights.
 from __future__ import annotations
 
 import json
-import logging
 from abc import ABC, abstractmethod
 from dataclasses import asdict, dataclass, field
 
@@ -16,9 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonora.functions.logs import log
 from sonora.operators import decode, features, matching, model
 
-log = logging.getLogger("sonora")
 KEY = "recording_id"
 
 

@@ -26,14 +26,18 @@ def infer(audio: DataFrame, trained: Detector, extractor: Extractor, decoder: De
     return scored, decoder.decode(scored)
 
 
-def predict(audio: DataFrame, trained: Detector, extractor: Extractor, decoder: Decoder, hop_frames: int | None = None) -> DataFrame:
-    """(recording_id, intervals in order, duration_s from the first to the last frame, 0 for one frame) of each row of ``audio``."""
-    frames, found = infer(audio, trained, extractor, decoder, hop_frames)
+def as_predictions(frames: DataFrame, found: DataFrame) -> DataFrame:
+    """(recording_id, intervals in order, duration_s from the first to the last frame, 0 for one frame) of each recording that has frames."""
     lasts = frames.groupBy(KEY).agg((F.max("time_s").cast("double") - F.min("time_s").cast("double")).alias("duration_s"))
     lists = found.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("onset", "offset"))).alias("intervals"))
     return lasts.join(lists, KEY, "left").select(KEY, F.coalesce("intervals", F.array().cast(_INTERVALS)).alias("intervals"), "duration_s")
 
 
+def predict(audio: DataFrame, trained: Detector, extractor: Extractor, decoder: Decoder, hop_frames: int | None = None) -> DataFrame:
+    """The predictions of each row of ``audio`` (recording_id, samples)."""
+    return as_predictions(*infer(audio, trained, extractor, decoder, hop_frames))
+
+
 def recordings(audio: DataFrame) -> DataFrame:
     """What ``load_audio`` gives, with each recording's id."""
     return audio.withColumn(KEY, stem(F.col("audio_path")))

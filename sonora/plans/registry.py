@@ -14,6 +14,8 @@ from sonora.sources import annotations
 from sonora.sources import tables as T
 from sonora.sources.storage import materialise
 
+from . import pipeline, training
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 KEY = "recording_id"
@@ -434,4 +436,23 @@ def scan_summary(spark, sf_dir):
     return _scan(spark, sf_dir).agg(F.count("*").alias("n_recordings"), F.round(F.sum("duration_s") / 3600, 4).alias("hours"), F.sum("n_annotations").alias("n_annotations"))
 
 
+@query(f"WITH {_WINDOWS}, d AS (SELECT recording_id, s::INT AS start_frame, row_number() OVER (ORDER BY md5('7:' || recording_id || ':' || s), recording_id, s) - 1 AS place FROM starts) SELECT recording_id, start_frame, place // 32 AS batch FROM d WHERE place // 32 < (SELECT count(*) // 32 FROM d)")
+def batched_windows(spark, sf_dir):
+    return training.batched(windows.window_index(_sizes(spark, sf_dir), 25, 6), 32, seed=7, drop_last=True)
+
+
+@query(f"WITH {_WINDOWS} SELECT recording_id, s::INT AS start_frame, (frame_idx - s)::INT AS place, value / 100 AS first, prob AS second, label FROM frames f JOIN starts USING (recording_id) WHERE frame_idx >= s AND frame_idx < s + 25")
+def training_windows(spark, sf_dir):
+    """Windows, spread out to a row for each of their frames."""
+    frames = T.frames(spark, sf_dir).select(KEY, "frame_idx", F.array(F.col("value") / 100, F.col("prob")).alias("features"), "label")
+    found = training.training_windows(frames, 25, 6)
+    return found.select(KEY, "start_frame", F.posexplode(F.arrays_zip(F.col("features")[0].alias("first"), F.col("features")[1].alias("second"), F.col("labels").alias("label"))).alias("place", "x")).select(KEY, "start_frame", "place", "x.first", "x.second", "x.label")
+
+
+@query(f"WITH {MERGED}, kept AS (SELECT recording_id, count(*) AS n FROM merged WHERE offset_ - onset >= 0.03::DOUBLE GROUP BY 1), spans AS (SELECT recording_id, max(time_s) - min(time_s) AS d FROM timed GROUP BY 1) SELECT count(*) AS n_recordings, coalesce(sum(n), 0)::BIGINT AS n_intervals, round(sum(d), 6) AS duration_s FROM spans LEFT JOIN kept USING (recording_id)")
+def prediction_totals(spark, sf_dir):
+    frames = T.frames(spark, sf_dir)
+    return rounded(pipeline.prediction_totals(pipeline.as_predictions(frames, decode.hysteresis_decode(frames, RULE, [KEY]))), "duration_s")
+
+
 QUERIES = Q

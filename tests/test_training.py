@@ -154,3 +154,14 @@ def test_best_weights_and_history(spark, tmp_path):
     assert len(history.history["val_f1"]) == 5 and history.frame(spark).filter("metric = 'train_loss'").count() == 6
     with pytest.raises(ValueError):
         C.SaveBestModel(spark, path, mode="best")
+
+
+def test_log_files(tmp_path):
+    from sonora.functions import logs
+
+    handler = logs.add_file_handler(str(tmp_path / "log.txt"), "w", level="INFO")
+    logs.log.setLevel("INFO")
+    C.LoggingCallback().on_epoch_end(1, {"train_loss": 0.5, "val_f1": 0.25}, None)
+    logs.log.removeHandler(handler)
+    handler.close()
+    assert (tmp_path / "log.txt").read_text().rstrip().endswith("Epoch 001 | train_loss=0.5000 | val_f1=0.2500")
