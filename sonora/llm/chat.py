@@ -13,9 +13,11 @@ A token that crosses a span's edge is masked in; its characters outside the span
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,31 +75,70 @@ def align(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray
     return mask, np.array(out, np.int64).reshape(-1, 2)
 
 
-def format_chats(rows: DataFrame, tokenizer_path: str) -> DataFrame:
+def coder(path: str, pattern: str | None = None) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
+    """A function from a text to its token ids and their (start, end) in code points, from a tokenizer's JSON file or, with
+    the pattern that cuts words, from a file of byte ranks. A token of part of a character has the whole one's offsets.
+    Control strings are ordinary text to either."""
+    if not path.endswith(".tiktoken"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+
+        def from_json(text: str) -> tuple[np.ndarray, np.ndarray]:
+            coded = whole.encode(text, add_special_tokens=False)
+            return np.array(coded.ids, np.int32), np.array(coded.offsets, np.int64).reshape(-1, 2)
+
+        return from_json
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(x): int(n) for x, n in map(bytes.split, f)}
+    encoding = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    length = np.zeros(max(ranks.values()) + 1, np.int64)
+    for x, n in ranks.items():
+        length[n] = len(x)
+
+    def from_ranks(text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(encoding.encode_ordinary(text), np.int32)
+        ends = np.cumsum(length[ids])
+        starts = ends - length[ids]
+        if not text.isascii():
+            begun = np.cumsum(np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80)
+            starts, ends = begun[starts] - 1, begun[ends - 1]
+        return ids, np.column_stack([starts, ends])
+
+    return from_ranks
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), kind))
+
+
+def format_chats(rows: DataFrame, tokenizer_path: str, pattern: str | None = None) -> DataFrame:
     """One row per conversation: the formatted text, its token ids, the token mask and the loss spans (code points)."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = small_batches(rows).select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer_path)
-        coder.encode_special_tokens = True
+        encode = coder(tokenizer_path, pattern)
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                out = []
-                for conv_id, turns in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                texts, ids, masks, starts, ends = [], [], [], [], []
+                for turns in part.column(1).to_pylist():
                     text, spans = render([(t["role"], t["text"]) for t in turns])
-                    coded = coder.encode(text, add_special_tokens=False)
-                    mask, under = align(np.array(coded.offsets, np.int64).reshape(-1, 2), spans)
-                    out.append((conv_id, text, coded.ids, mask.tobytes(), under[:, 0].tolist(), under[:, 1].tolist()))
-                kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["conv_id", "formatted", "token_ids", "token_mask", "loss_starts", "loss_ends"])
+                    own, offsets = encode(text)
+                    mask, under = align(offsets, spans)
+                    texts.append(text)
+                    ids.append(own)
+                    masks.append(mask.tobytes())
+                    starts.append(under[:, 0])
+                    ends.append(under[:, 1])
+                if texts:
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts), _lists(ids, pa.int32()), pa.array(masks, pa.binary()), _lists(starts, pa.int64()), _lists(ends, pa.int64())], names=["conv_id", "formatted", "token_ids", "token_mask", "loss_starts", "loss_ends"])
 
     return chats.mapInArrow(run, SCHEMA)
 

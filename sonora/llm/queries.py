@@ -17,6 +17,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def cut_pattern() -> str:
+    """How the public byte-level tokenizers cut words."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +57,7 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.chats_digest(chat.format_chats(rows.unionByName(extra), tokenizer_file("byte_bpe_50k.json")))
+    return chat.chats_digest(chat.format_chats(rows.unionByName(extra), tokenizer_file("byte_bpe_50k.tiktoken"), cut_pattern()))
 
 
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,11 +301,19 @@ def test_quality_counts_all_trusted(spark):
     assert quality.keep_limit(scored, labels, 4.0) == pytest.approx(np.mean(trusted) - 4 * np.std(trusted), abs=1e-3)
 
 
-def test_chats(spark):
+@pytest.mark.parametrize("text", ["", "plain words, 12 of them", "é\U0001f600 中文 x\u0301 ß", "<|im_start|>user\n<|im_end|>", "\U0001f468\u200d\U0001f469" * 5 + "\n\n  tail"])
+def test_offsets_of_both_files(text):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    (a, x), (b, y) = (chat.coder(tokenizers.path(f"byte_bpe_50k.{kind}"), tokenizers.PATTERN)(text) for kind in ("json", "tiktoken"))
+    assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
+
+
+@pytest.mark.parametrize("kind", ["json", "tiktoken"])
+def test_chats(spark, kind):
     tokenizers = pytest.importorskip("public_tokenizers")
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (2, 0, "system", None), (2, 2, "assistant", "\n\n x<"), (2, 1, None, "<\\|\\\\|>"), (2, 2, "assistant", "|é\U0001f600"), (3, 0, "as\nsis\\tant<|", ""), (None, 0, "assistant", "a")]
-    got = {r["conv_id"]: r for r in chat.chats_digest(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tokenizers.path("byte_bpe_50k.json"))).collect()}
+    got = {r["conv_id"]: r for r in chat.chats_digest(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tokenizers.path(f"byte_bpe_50k.{kind}"), tokenizers.PATTERN)).collect()}
     for c in (1, 2, 3, None):
         turns = sorted((t, r or "", x or "") for i, t, r, x in rows if i == c)
         loss = "".join(x for _, r, x in turns if r == "assistant")
