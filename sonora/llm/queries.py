@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, mixing, mtree, packing, pii, quality, secrets, suffixes, toxicity
+from . import chat, jaccard, mixing, mtree, oracles, packing, pii, quality, secrets, suffixes, toxicity
 from .base import table
 
 
@@ -80,4 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_toxicity": toxicity_scores,
     "op10_poisson_mixing": poisson_mix,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mtree_top_k": mtree.TOP_K_ORACLE, "op10_poisson_mixing": mixing.replication_oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mtree_top_k": mtree.TOP_K_ORACLE,
+    "op3_ngram_jaccard_join": oracles.links(),
+    "op6_suffix_array_dedup": oracles.repeats(),
+    "op8_chat_formatting": oracles.CHATS,
+    "op10_poisson_mixing": mixing.replication_oracle(),
+}
