@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from sonora.sources.storage import materialise
 from .windows import numbered
 
 KEY = "recording_id"
+#: Pairs of a recording that one task walks at most.
+WALK = 5_000_000
 FRAME_COUNTS = ["tp", "fp", "fn", "tn"]
 STATS = [f"{side}_{name}_ms" for side in ("onset", "offset") for name in ("median", "mae", "p95")]
 
@@ -33,19 +38,50 @@ def iou_pairs(gt: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataFra
 def iou_match(pairs: DataFrame) -> DataFrame:
     """One-to-one greedy matches (key, match_rank, gi, pi, iou): best IoU first, ties by gi, then pi.
 
-    By rounds: pairs that are the best of both their intervals are matched, all pairs of these intervals go, and the
-    rest is settled before the next round. That gives the greedy walk's matches, and no task needs a whole recording.
-    Rounds are as many as the longest chain of pairs each of which waits for a better neighbour.
+    Pairs are sorted by recording and rank and walked in one pass, which remembers the matched intervals of one recording
+    at a time. A recording of more than ``WALK`` pairs, which no task should walk alone, is matched by rounds instead, to
+    the same end.
     """
-    left = materialise(pairs.select(KEY, F.col("gi").cast("long").alias("gi"), F.col("pi").cast("long").alias("pi"), (-F.col("iou")).alias("worse")))
+    ready = materialise(pairs.select(KEY, F.col("gi").cast("long").alias("gi"), F.col("pi").cast("long").alias("pi"), (-F.col("iou")).alias("worse")))
+    large = materialise(ready.groupBy(KEY).agg(F.count("*").alias("n")).filter(F.col("n") > WALK).select(KEY))
+    by_rounds = not large.isEmpty()
+    small = ready.join(large, KEY, "left_anti") if by_rounds else ready
+    kind = ready.schema[KEY].dataType.simpleString()
+    walked = small.repartition(KEY).sortWithinPartitions(KEY, "worse", "gi", "pi").mapInArrow(_walk, f"{KEY} {kind}, gi long, pi long, worse double, match_rank int")
+    if by_rounds:
+        walked = walked.unionByName(match_by_rounds(ready.join(large, KEY, "left_semi")))
+    return walked.select(KEY, "match_rank", "gi", "pi", (-F.col("worse")).alias("iou"))
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that a greedy walk keeps, with their ranks; rows come by recording, best first."""
+    now, used_g, used_p = object(), set(), set()
+    for batch in batches:
+        kept, ranks = [], []
+        for i, (key, g, p) in enumerate(zip(*(batch.column(c).to_pylist() for c in (KEY, "gi", "pi")))):
+            if key != now:
+                now, used_g, used_p = key, set(), set()
+            if g not in used_g and p not in used_p:
+                kept.append(i)
+                ranks.append(len(used_g))
+                used_g.add(g)
+                used_p.add(p)
+        taken = batch.take(pa.array(kept, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ranks, pa.int32())], names=[*batch.schema.names, "match_rank"])
+
+
+def match_by_rounds(left: DataFrame) -> DataFrame:
+    """Greedy matches of (key, gi, pi, worse), with match_rank: pairs that are the best of both their intervals are matched,
+    all pairs of these intervals go, and the rest is settled before the next round. No task needs a whole recording; rounds
+    are as many as the longest chain of pairs each of which waits for a better neighbour."""
+    left = materialise(left)
     matched = left.limit(0)
     while not left.isEmpty():
         best = lambda index: left.groupBy(KEY, index).agg(F.min(F.struct("worse", "gi", "pi")).alias("b")).select(KEY, "b.*")  # noqa: E731, B023
         now = materialise(best("gi").intersect(best("pi")).select(KEY, "gi", "pi", "worse"))
         matched = matched.unionByName(now)
         left = materialise(left.join(now.select(KEY, "gi"), [KEY, "gi"], "left_anti").join(now.select(KEY, "pi"), [KEY, "pi"], "left_anti").select(KEY, "gi", "pi", "worse"))
-    ranked = numbered(matched, [KEY], ["worse", "gi", "pi"], "match_rank")
-    return ranked.select(KEY, F.col("match_rank").cast("int").alias("match_rank"), "gi", "pi", (-F.col("worse")).alias("iou"))
+    return numbered(matched, [KEY], ["worse", "gi", "pi"], "match_rank").withColumn("match_rank", F.col("match_rank").cast("int"))
 
 
 def unmatched(intervals: DataFrame, matches: DataFrame, index: str) -> DataFrame:

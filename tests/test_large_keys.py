@@ -13,7 +13,10 @@ def gathers(df):
     return "collect_list" in df._jdf.queryExecution().analyzed().toString()
 
 
-def test_iou_match_is_greedy_by_rounds(spark):
+@pytest.mark.parametrize("walk", [5_000_000, 6, 0])
+def test_iou_match_is_greedy(spark, monkeypatch, walk):
+    """In one walk, by rounds, and some recordings by either."""
+    monkeypatch.setattr(matching, "WALK", walk)
     rng = random.Random(4)
     pairs = [(1, g, p, rng.choice([0.25, 0.5, 0.75, 1.0])) for g in range(60) for p in range(60) if rng.random() < 0.2]
     pairs += [(2, k // 2, (k + 1) // 2, 0.9 - k / 100) for k in range(6)] + [(3, 0, 0, 0.5), (3, 0, 0, 0.5)]
