@@ -15,6 +15,8 @@ from sonora.sources.storage import materialise
 
 #: Rows that a dense median filter handles at a time.
 RUN = 4096
+#: Kernels up to this width are cheaper by neighbours than as arrays.
+NARROW = 63
 
 
 @dataclass(frozen=True)
@@ -170,7 +172,7 @@ def robust_normalize(df: DataFrame, value: str, keys: list[str], eps: float = EP
 def snr_features(waves: DataFrame, settings: SnrSettings, key: str = "recording_id", samples: str = "samples") -> DataFrame:
     """(key, frame_idx, time_s, band, feature): the chain from waveforms to normalised signal-to-noise features."""
     energy = wave_energy(waves, settings, key, samples)
-    based = median_filter(energy, "energy", settings.kernel, [key, "band"], "frame_idx", dense=True)
+    based = median_filter(energy, "energy", settings.kernel, [key, "band"], "frame_idx", dense=settings.kernel > NARROW)
     # Stored, as normalising reads it twice.
     snr = materialise(based.withColumn("snr", snr_db("energy", "baseline", settings.eps)))
     named = robust_normalize(snr, "snr", [key, "band"], settings.eps, "feature") if settings.normalize else snr.withColumn("feature", F.col("snr"))
