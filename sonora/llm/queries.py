@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, mixing, mtree, oracles, packing, pii, quality, secrets, suffixes, toxicity
+from . import chat, jaccard, mixing, mtree, oracles, packing, pii, quality, secrets, suffixes, toxicity, urls
 from .base import table
 
 
@@ -68,6 +68,10 @@ def poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mtree_top_k": top_k,
     "op2_secret_scan": secret_scan,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": chat_format,
     "op9_ftrl_toxicity": toxicity_scores,
     "op10_poisson_mixing": poisson_mix,
+    "op11_url_filter": url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mtree_top_k": mtree.TOP_K_ORACLE,
@@ -86,4 +91,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_suffix_array_dedup": oracles.repeats(),
     "op8_chat_formatting": oracles.CHATS,
     "op10_poisson_mixing": mixing.replication_oracle(),
+    "op11_url_filter": urls.url_oracle(),
 }
