@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, mixing, mtree, oracles, packing, pii, quality, secrets, suffixes, toxicity, urls
+from . import chat, jaccard, mixing, mtree, negatives, oracles, packing, pii, quality, secrets, suffixes, toxicity, urls
 from .base import table
 
 
@@ -72,6 +72,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_digest(table(spark, sf_dir, "pages"))
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=negatives.moved_label())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mtree_top_k": top_k,
     "op2_secret_scan": secret_scan,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_toxicity": toxicity_scores,
     "op10_poisson_mixing": poisson_mix,
     "op11_url_filter": url_filter,
+    "op13_hard_negatives": hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mtree_top_k": mtree.TOP_K_ORACLE,
@@ -92,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": oracles.CHATS,
     "op10_poisson_mixing": mixing.replication_oracle(),
     "op11_url_filter": urls.url_oracle(),
+    "op13_hard_negatives": negatives.NEGATIVES_ORACLE,
 }
