@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, mixing, mtree, negatives, oracles, packing, pii, quality, secrets, suffixes, toxicity, urls
+from . import chat, jaccard, mixing, mtree, negatives, oracles, packing, pii, quality, repeats, secrets, suffixes, toxicity, urls
 from .base import table
 
 
@@ -76,6 +76,10 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=negatives.moved_label())
 
 
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.run_digest(repeats.periodic_runs(repeats.with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mtree_top_k": top_k,
     "op2_secret_scan": secret_scan,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_toxicity": toxicity_scores,
     "op10_poisson_mixing": poisson_mix,
     "op11_url_filter": url_filter,
+    "op12_periodic_runs": periodic_runs,
     "op13_hard_negatives": hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
