@@ -102,5 +102,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": oracles.CHATS,
     "op10_poisson_mixing": mixing.replication_oracle(),
     "op11_url_filter": urls.url_oracle(),
+    "op12_periodic_runs": oracles.periodic(),
     "op13_hard_negatives": negatives.NEGATIVES_ORACLE,
 }

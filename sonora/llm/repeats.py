@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD, free_name, materialise
+from .base import WORD, materialise
 
 MIN_EXP, LEAST = 4, 6
 #: Characters of a text that is scanned where it is read, at most.
@@ -162,15 +162,22 @@ def with_periods(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Words of such a text are joined by single spaces; all else stays. Texts of null ids stay, too.
     """
-    words, spot = free_name(docs, "words"), free_name(docs, "spot")
     h = F.crc32(F.col(key).cast("string").cast("binary"))
-    n = F.size(words).cast("long")
-    g = F.floor(h / 10)
-    split = docs.withColumn(words, F.when(h % 10 == 0, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")))
-    placed = split.withColumn(spot, F.when(n > 0, F.struct((g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p"))))
-    a, p = F.col(f"{spot}.a"), F.col(f"{spot}.p")
-    moved = F.transform(words, lambda w, i: F.when(i >= a, F.get(words, (a + (i - a) % p).cast("int"))).otherwise(w))
-    return placed.withColumn(text, F.when(F.col(spot).isNotNull(), F.concat_ws(" ", moved)).otherwise(F.col(text))).select(docs.columns)
+
+    @F.arrow_udf("string")
+    def repeated(texts: pa.Array, sums: pa.Array) -> pa.Array:
+        out = []
+        for text, g in zip(texts.to_pylist(), sums.to_pylist()):
+            words = WORD.findall(text or "")
+            if words:
+                a = g % len(words)
+                p = 1 + (len(words) - a) // (3 + g % 8)
+                words[a:] = [words[a + i % p] for i in range(len(words) - a)]
+            out.append(" ".join(words) if words else text)
+        return pa.array(out, pa.string())
+
+    mine = h % 10 == 0
+    return docs.withColumn(text, F.when(mine, repeated(F.when(mine, F.col(text)), F.floor(h / 10))).otherwise(F.col(text)))
 
 
 def run_digest(found: DataFrame) -> DataFrame:
