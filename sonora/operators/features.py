@@ -52,24 +52,53 @@ class SnrSettings:
     def n_fft(self) -> int:
         return next_power_of_two(self.window)
 
+    @property
+    def halo(self) -> int:
+        """Samples that chunks must have on both sides."""
+        return self.n_fft // 2
+
     @property
     def kernel(self) -> int:
         return odd_kernel(self.baseline_s, self.hop_ms / 1000)
 
 
-def power_runs(samples: np.ndarray, n_fft: int, hop: int, window: int, frames: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The first frame and the (frames, bins) squared magnitudes of runs of ``frames`` frames. Frames are centred, the ends
-    reflected, the periodic Hann window is centred."""
+@dataclass(frozen=True)
+class Part:
+    """Where a chunk lies in its waveform of ``n`` samples: its own samples, and the first of those that it brings along."""
+
+    begin: int
+    end: int
+    first: int
+    n: int
+
+
+def power_runs(samples: np.ndarray, n_fft: int, hop: int, window: int, frames: int, part: Part | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """The first frame and the (frames, bins) squared magnitudes of runs of ``frames`` frames. Frames are centred, the
+    waveform's ends reflected, the periodic Hann window is centred.
+
+    A chunk has the frames whose centres are its own samples (its waveform's last chunk that at its end, too), and needs half
+    a transform of samples more on both sides; those beyond the waveform's ends are reflected here.
+    """
     half = n_fft // 2
-    if len(samples) <= half:
+    part = part or Part(0, len(samples), 0, len(samples))
+    if part.n <= half:
         raise ValueError(f"a waveform needs more than {half} samples")
-    padded = np.pad(samples, half, mode="reflect")
+    if part.first > max(0, part.begin - half) or part.first + len(samples) < min(part.n, part.end + half):
+        raise ValueError(f"a chunk needs {half} samples more on both sides")
     taper = np.zeros(n_fft)
     left = (n_fft - window) // 2
     taper[left : left + window] = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
-    view = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop][: 1 + len(samples) // hop]
-    for lo in range(0, len(view), frames):
-        spectrum = np.fft.rfft(view[lo : lo + frames] * taper, axis=1)
+    stop = 1 + part.n // hop if part.end == part.n else -(-part.end // hop)
+    for lo in range(-(-part.begin // hop), stop, frames):
+        hi = min(stop, lo + frames)
+        a, b = lo * hop - half, (hi - 1) * hop + half
+        if a >= 0 and b <= part.n:
+            line = samples[a - part.first : b - part.first]
+        else:
+            at = np.abs(np.arange(a, b))
+            line = samples[np.where(at >= part.n, 2 * (part.n - 1) - at, at) - part.first]
+        view = np.lib.stride_tricks.sliding_window_view(line, n_fft)[::hop]
+        spectrum = np.fft.rfft(view * taper, axis=1)
         yield lo, spectrum.real**2 + spectrum.imag**2
 
 
@@ -78,41 +107,66 @@ def power_frames(samples: np.ndarray, n_fft: int, hop: int, window: int) -> np.n
     return np.concatenate([power for _, power in power_runs(samples, n_fft, hop, window, 4096)])
 
 
-def stft_power(waves: DataFrame, n_fft: int, hop: int, window: int | None = None, key: str = "recording_id", samples: str = "samples") -> DataFrame:
-    """(key, frame_idx, bin, power) of every waveform; one row of ``waves`` is one waveform."""
+def cut_waves(waves: DataFrame, size: int, halo: int, key: str = "recording_id", samples: str = "samples") -> DataFrame:
+    """Waveforms that are a row each as chunks, in the form of ``load_chunks``: key, n_samples, begin, end, first_sample, samples."""
+    if size < 1 or halo < 0:
+        raise ValueError("the size must be positive, the halo must not be negative")
+    n = F.size(samples).cast("long")
+    cut = waves.filter(F.size(samples) > 0).select(key, n.alias("n_samples"), samples, F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(size).cast("long"))).alias("begin"))
+    first, end = F.greatest(F.lit(0), F.col("begin") - halo), F.least(F.col("n_samples"), F.col("begin") + size)
+    return cut.select(key, "n_samples", "begin", end.alias("end"), first.alias("first_sample"), F.slice(samples, (first + 1).cast("int"), (F.least(F.col("n_samples"), end + halo) - first).cast("int")).alias(samples))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                values = batch.column(1)[i].as_py()
-                power = power_frames(np.array(values, np.float64), n_fft, hop, window or n_fft)
-                frame, bin_ = np.indices(power.shape)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * power.size, batch.column(0).type), pa.array(frame.ravel(), pa.int32()), pa.array(bin_.ravel(), pa.int32()), pa.array(power.ravel())], names=[key, "frame_idx", "bin", "power"])
 
-    return _waves(waves, key, samples).mapInArrow(run, f"{key} {waves.schema[key].dataType.simpleString()}, frame_idx int, bin int, power double")
+def _parts(waves: DataFrame, key: str, samples: str) -> DataFrame:
+    """Waveforms by chunks: (key, samples, begin, end, first_sample, n_samples). A row without bounds is a whole waveform."""
+    known = waves.filter(F.col(samples).isNotNull())
+    if "first_sample" not in waves.columns:
+        n = F.size(samples).cast("long")
+        known = known.withColumns({"begin": F.lit(0).cast("long"), "end": n, "first_sample": F.lit(0).cast("long"), "n_samples": n})
+    return known.select(key, samples, "begin", "end", "first_sample", "n_samples")
 
 
-def _waves(waves: DataFrame, key: str, samples: str) -> DataFrame:
-    return waves.select(key, F.col(samples).cast("array<double>")).filter(F.col(samples).isNotNull())
+def _powers(batch: pa.RecordBatch, n_fft: int, hop: int, window: int, frames: int) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+    """(key, first frame, power) of runs of frames, of a batch of ``_parts``."""
+    lists = batch.column(1)
+    values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    bounds = [batch.column(c).to_pylist() for c in ("begin", "end", "first_sample", "n_samples")]
+    for i, part in enumerate(zip(*bounds)):
+        for first, power in power_runs(values[at[i] : at[i + 1]], n_fft, hop, window, frames, Part(*part)):
+            yield batch.column(0).slice(i, 1), first, power
 
 
-def wave_energy(waves: DataFrame, settings: SnrSettings, key: str = "recording_id", samples: str = "samples", frames: int = 2048) -> DataFrame:
-    """(key, frame_idx, band, energy): ``stft_power`` and ``band_energy`` in one go, which spares a row for each bin.
+def _frame_rows(key: pa.Array, first: int, table: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    frame, column = np.indices(table.shape)
+    return pa.RecordBatch.from_arrays([key.take(pa.array(np.zeros(table.size, np.int64))), pa.array((frame + first).ravel(), pa.int32()), pa.array(column.ravel(), pa.int32()), pa.array(table.ravel())], names=names)
+
+
+def stft_power(waves: DataFrame, n_fft: int, hop: int, window: int | None = None, key: str = "recording_id", samples: str = "samples", frames: int = 2048) -> DataFrame:
+    """(key, frame_idx, bin, power) of every waveform.
 
-    ``frames`` of a waveform are transformed at a time.
+    A row of ``waves`` is a waveform, or a chunk of one as ``load_chunks`` and ``cut_waves`` give them, with a halo of half a
+    transform at least; the frames are the same for every cut. ``frames`` of a row are transformed at a time.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, first, power in _powers(batch, n_fft, hop, window or n_fft, frames):
+                yield _frame_rows(name, first, power, [key, "frame_idx", "bin", "power"])
+
+    return _parts(waves, key, samples).mapInArrow(run, f"{key} {waves.schema[key].dataType.simpleString()}, frame_idx int, bin int, power double")
+
+
+def wave_energy(waves: DataFrame, settings: SnrSettings, key: str = "recording_id", samples: str = "samples", frames: int = 2048) -> DataFrame:
+    """(key, frame_idx, band, energy): ``stft_power`` and ``band_energy`` in one go, which spares a row for each bin."""
     frequency = np.arange(settings.n_fft // 2 + 1) * settings.sample_rate / settings.n_fft
     inside = np.array([(frequency >= a) & (frequency < b) for _, a, b in band_edge_rows(settings.band_low, settings.band_high, settings.n_bands)], float).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                for first, power in power_runs(np.array(batch.column(1)[i].as_py(), np.float64), settings.n_fft, settings.hop, settings.window, frames):
-                    energy = power @ inside
-                    frame, band = np.indices(energy.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * energy.size, batch.column(0).type), pa.array((frame + first).ravel(), pa.int32()), pa.array(band.ravel(), pa.int32()), pa.array(energy.ravel())], names=[key, "frame_idx", "band", "energy"])
+            for name, first, power in _powers(batch, settings.n_fft, settings.hop, settings.window, frames):
+                yield _frame_rows(name, first, power @ inside, [key, "frame_idx", "band", "energy"])
 
-    return _waves(waves, key, samples).mapInArrow(run, f"{key} {waves.schema[key].dataType.simpleString()}, frame_idx int, band int, energy double")
+    return _parts(waves, key, samples).mapInArrow(run, f"{key} {waves.schema[key].dataType.simpleString()}, frame_idx int, band int, energy double")
 
 
 def band_energy(spectrum: DataFrame, low: float, high: float, n_bands: int, hz_per_bin: float, key: str = "recording_id") -> DataFrame:

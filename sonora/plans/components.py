@@ -17,16 +17,21 @@ from pyspark.sql import functions as F
 
 from sonora.functions.logs import log
 from sonora.operators import decode, features, matching, model
+from sonora.sources.storage import paths_must_exist
 
 KEY = "recording_id"
 
 
 class Extractor(ABC):
-    """Waveforms (recording_id, samples) to frames (recording_id, frame_idx, time_s, features)."""
+    """Waveforms (recording_id, samples), whole or by chunks, to frames (recording_id, frame_idx, time_s, features).
+
+    ``halo``: samples that a chunk must bring along on both sides.
+    """
 
     sample_rate: int
     hop_ms: float
     n_features: int
+    halo: int = 0
 
     @property
     def hop_s(self) -> float:
@@ -347,7 +352,8 @@ def save_pipeline(spark: SparkSession, trained: Detector, extractor: Extractor,
 
 
 def load_pipeline(spark: SparkSession, path: str) -> tuple[Detector, Extractor, Decoder]:
-    stored = json.loads("\n".join(r["value"] for r in spark.read.text(f"{path}/settings").collect()))
+    with paths_must_exist(path):
+        stored = json.loads("\n".join(r["value"] for r in spark.read.text(f"{path}/settings").collect()))
 
     def kind(part: str, known: dict) -> type:
         name = stored[part]["type"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonora.operators import matching, windows
 from sonora.sources.annotations import clean_annotations, order_annotations, stem
-from sonora.sources.audio import load_audio
+from sonora.sources.audio import load_chunks
 from sonora.sources.storage import materialise
 
 from .components import KEY, Decoder, Detector, Extractor, Matcher
@@ -39,7 +39,7 @@ def predict(audio: DataFrame, trained: Detector, extractor: Extractor, decoder:
 
 
 def recordings(audio: DataFrame) -> DataFrame:
-    """What ``load_audio`` gives, with each recording's id."""
+    """What ``load_chunks`` or ``load_audio`` give, with each recording's id."""
     return audio.withColumn(KEY, stem(F.col("audio_path")))
 
 
@@ -49,7 +49,7 @@ def predict_recordings(spark: SparkSession, trained: Detector, extractor: Extrac
     if not audio_paths:
         return spark.createDataFrame([], schema)
     asked = [(i, re.sub("/+", "/", re.sub("^file:/+", "/", str(p)))) for i, p in enumerate(audio_paths)]
-    audio = recordings(load_audio(spark, list({own: str(p) for (_, own), p in zip(asked, audio_paths)}.values()), extractor.sample_rate))
+    audio = recordings(load_chunks(spark, list({own: str(p) for (_, own), p in zip(asked, audio_paths)}.values()), extractor.sample_rate, halo=extractor.halo))
     found = predict(audio, trained, extractor, decoder, hop_frames)
     listed = spark.createDataFrame(asked, "position int, audio_path string").withColumn(KEY, stem(F.col("audio_path")))
     return listed.join(found, KEY).select("position", "audio_path", "intervals", "duration_s").orderBy("position")
@@ -72,14 +72,14 @@ class Evaluation:
 
 
 def evaluate(audio: DataFrame, annotations: DataFrame, trained: Detector, extractor: Extractor, decoder: Decoder, matcher: Matcher, hop_frames: int | None = None, boundary_tolerance_ms: float | None = None) -> Evaluation:
-    """``audio`` (recording_id, samples, duration_s) against ``annotations`` as ``read_annotations`` gives them.
+    """``audio`` (recording_id, samples, duration_s; whole or by chunks) against ``annotations`` as ``read_annotations`` gives them.
 
     Recordings without audio don't count; those without annotations do, with none.
     """
     if audio.isEmpty():
         raise ValueError("there are no recordings to evaluate")
     frames, found = infer(audio, trained, extractor, decoder, hop_frames)
-    known = audio.select(KEY, "duration_s")
+    known = (audio.filter("chunk = 0 and channel = 0") if "chunk" in audio.columns else audio).select(KEY, "duration_s")
     gt = materialise(order_annotations(clean_annotations(annotations)).join(known.select(KEY).distinct(), KEY, "left_semi"))
     order = Window.partitionBy(KEY).orderBy("onset", "offset")
     pred = materialise(found.withColumn("pi", (F.row_number().over(order) - 1).cast("long")))

@@ -161,13 +161,18 @@ def window_slice(spark, sf_dir):
     return rounded(cut.select(KEY, F.posexplode(S.window_slice("samples", "start", 16)).alias("i", "x")), "x")
 
 
+def _chunks(spark, sf_dir):
+    """Waveforms as chunks of 20 samples, as if they were long recordings."""
+    return features.cut_waves(T.waveforms(spark, sf_dir), 20, N_FFT // 2)
+
+
 @query(f"WITH {POWER} SELECT recording_id, frame_idx, bin, {_r('power')} FROM power")
 def stft_power(spark, sf_dir):
-    return rounded(features.stft_power(T.waveforms(spark, sf_dir), N_FFT, FFT_HOP), "power")
+    return rounded(features.stft_power(_chunks(spark, sf_dir), N_FFT, FFT_HOP), "power")
 
 
 def _energy(spark, sf_dir):
-    return features.band_energy(features.stft_power(T.waveforms(spark, sf_dir), N_FFT, FFT_HOP), LOW, HIGH, BANDS, 1.0)
+    return features.band_energy(features.stft_power(_chunks(spark, sf_dir), N_FFT, FFT_HOP), LOW, HIGH, BANDS, 1.0)
 
 
 @query(f"WITH {ENERGY} SELECT recording_id, frame_idx, band, {_r('energy')} FROM energy")
@@ -197,7 +202,7 @@ SNR = features.SnrSettings(16_000, hop_ms=0.25, n_bands=BANDS, win_ms=1.0, band_
 
 @query(f"WITH {ENERGY}, {_median('energy', 'energy', 'recording_id, band', KERNEL, 'based')}, snrs AS (SELECT recording_id, frame_idx, band, 10 * log10((energy + 0.01::DOUBLE) / (baseline + 0.01::DOUBLE)) AS snr FROM based), {_normalised('snrs', 'snr', 'recording_id, band', 'nz', '0.01::DOUBLE')} SELECT recording_id, frame_idx, round(frame_idx * 0.25::DOUBLE, 3) AS time_ms, band, round(z, 4) + 0.0 AS feature FROM nz")
 def snr_features(spark, sf_dir):
-    found = features.snr_features(T.waveforms(spark, sf_dir), SNR)
+    found = features.snr_features(_chunks(spark, sf_dir), SNR)
     return found.select(KEY, "frame_idx", F.round(F.col("time_s").cast("double") * 1000, 3).alias("time_ms"), "band", (F.round("feature", 4) + 0.0).alias("feature"))
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import paths_must_exist
+
 REQUIRED = ("start_seconds", "stop_seconds")
 SUFFIX = "_annotations.csv"
 _ROWS = pa.schema([("annotation_path", pa.string()), ("start_seconds", pa.string()), ("stop_seconds", pa.string()), ("name", pa.string())])
@@ -58,7 +60,9 @@ def read_annotations(spark: SparkSession, paths: str | list[str], strict: bool =
                 rows = [] if missing else [{c: r.get(c) for c in ("start_seconds", "stop_seconds", "name")} | {"annotation_path": path} for r in lines]
                 yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
 
-    files = spark.read.text(paths, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
+    with paths_must_exist(paths):
+        texts = spark.read.text(paths, wholetext=True)
+    files = texts.select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
     rows = files.mapInArrow(run, "annotation_path string, start_seconds string, stop_seconds string, name string")
     return rows.select(F.regexp_replace("annotation_path", SUFFIX.replace(".", r"\.") + "$", "").alias("recording_id"), "*")
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,3 +35,14 @@ def materialise(df: DataFrame) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def paths_must_exist(paths: object) -> Iterator[None]:
+    """What Spark says of a missing path becomes a FileNotFoundError."""
+    try:
+        yield
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"no such file: {paths}") from None
+        raise

@@ -6,6 +6,7 @@ import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sonora.sources import annotations as A
@@ -104,3 +105,101 @@ def test_headers(folder):
     assert audio.wav_duration(whole[:20], len(whole)) is None and audio.wav_duration(b"", 0) is None
     more = io.BytesIO(whole[:12] + b"LIST" + struct.pack("<I", 5) + b"abcde\0" + whole[12:]).getvalue()
     assert math.isclose(audio.wav_duration(more[:200], len(more)), 0.5)
+
+
+def floats(path, x, rate, width):
+    """A file of floats, behind a chunk of another kind."""
+    x = np.atleast_2d(x)
+    raw = x.T.astype(f"<f{width}").tobytes()
+    fmt = struct.pack("<HHIIHH", 3, len(x), rate, rate * width * len(x), width * len(x), 8 * width)
+    body = b"WAVE" + b"LIST" + struct.pack("<I", 5) + b"abcde\0" + b"fmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(raw)) + raw
+    path.write_bytes(b"RIFF" + struct.pack("<I", len(body)) + body)
+
+
+@pytest.mark.parametrize("width", [4, 8])
+def test_floats(tmp_path, spark, width):
+    x = np.array([[0.0, 0.5, -0.5, -1.0, 0.25], [0.0, 0.25, 0.5, 1.0, 0.125]])
+    floats(tmp_path / "a.wav", x, 8000, width)
+    row = audio.load_audio(spark, f"{tmp_path}/a.wav", mono=False).first()
+    assert row["samples"] == x.tolist() and row["sample_rate"] == 8000
+    assert [r["samples"] for r in audio.load_chunks(spark, f"{tmp_path}/a.wav", mono=False).orderBy("channel").collect()] == x.tolist()
+
+
+@pytest.mark.parametrize("size, halo", [(7, 0), (1000, 30), (1 << 20, 5)])
+@pytest.mark.parametrize("to", [None, 32000, 44100])
+def test_chunks_are_the_whole_signal(spark, folder, size, halo, to):
+    """Every cut, also of what is resampled, and the samples that chunks bring along."""
+    if size == 7:
+        rng = np.random.RandomState(1)
+        wav(folder / "short.wav", rng.uniform(-1, 1, (2, 90)), 22050, 2)
+        name = "short.wav"
+    else:
+        name = "r10.wav"
+    want = np.array(audio.load_audio(spark, f"{folder}/{name}", to, mono=False).first()["samples"])
+    rows = audio.load_chunks(spark, f"{folder}/{name}", to, mono=False, size=size, halo=halo).collect()
+    assert all(len(r["samples"]) <= size + 2 * halo for r in rows)
+    for r in rows:
+        assert r["n_samples"] == want.shape[1] and (r["begin"], r["end"]) == (r["chunk"] * size, min(want.shape[1], (r["chunk"] + 1) * size))
+        assert r["samples"] == pytest.approx(want[r["channel"], max(0, r["begin"] - halo) : r["end"] + halo].tolist(), abs=1e-6)
+    assert sorted((r["channel"], r["chunk"]) for r in rows) == [(c, k) for c in range(2) for k in range(-(-want.shape[1] // size))]
+
+
+def test_chunks_of_odd_files(spark, folder, tmp_path):
+    wav(tmp_path / "none.wav", np.zeros(0))
+    assert audio.load_chunks(spark, f"{tmp_path}/none.wav").count() == 0
+    assert audio.load_chunks(spark, f"{folder}/*u*.wav", strict=False).count() == 0
+    with pytest.raises(Exception, match="no PCM WAV"):
+        audio.load_chunks(spark, f"{folder}/cut.wav").collect()
+    with pytest.raises(FileNotFoundError):
+        audio.load_chunks(spark, f"{folder}/nowhere.wav")
+    with pytest.raises(FileNotFoundError):
+        audio.load_audio(spark, f"{folder}/nowhere.wav")
+    with pytest.raises(ValueError):
+        audio.load_chunks(spark, f"{folder}/r10.wav", halo=-1)
+
+
+def test_wav_as_a_data_source(spark, folder, tmp_path):
+    rng = np.random.RandomState(2)
+    (tmp_path / "more").mkdir()
+    for k in range(3):
+        wav(tmp_path / "more" / f"r{k}.wav", rng.uniform(-1, 1, (2, 4000 + k)), 16000)
+    spark.dataSource.register(audio.WavSource)
+    key = lambda r: (r["audio_path"], r["channel"], r["chunk"])
+    got = sorted(spark.read.format("wav").options(samplerate=8000, size=500, halo=9, mono=False).load(f"{tmp_path}/more").collect(), key=key)
+    assert got == sorted(audio.load_chunks(spark, f"{tmp_path}/more/*.wav", 8000, mono=False, size=500, halo=9).collect(), key=key) and len(got) == 2 * (4 + 5 + 5)
+    with pytest.raises(Exception, match="no such file"):
+        spark.read.format("wav").load(f"{tmp_path}/nowhere.wav").collect()
+
+
+def test_headers_are_all_that_is_read(spark, tmp_path):
+    """Files of a kilobyte and of six gigabytes, with and without a long chunk before the samples: as many bytes are read."""
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 32000, 64000, 2, 16)
+    (tmp_path / "small.wav").write_bytes(b"RIFF" + struct.pack("<I", 0) + b"WAVE" + fmt + b"data" + struct.pack("<I", 1000) + bytes(1000))
+    (tmp_path / "late.wav").write_bytes(b"RIFF" + struct.pack("<I", 0) + b"WAVE" + b"LIST" + struct.pack("<I", 200_000) + bytes(200_000) + fmt + b"data" + struct.pack("<I", 1000) + bytes(1000))
+    wide = 6 << 30
+    with open(tmp_path / "large.wav", "wb") as f:
+        f.write(b"RF64" + struct.pack("<I", 0xFFFFFFFF) + b"WAVE" + b"ds64" + struct.pack("<IQQQI", 28, wide + 72, wide, wide // 2, 0) + fmt + b"data" + struct.pack("<I", 0xFFFFFFFF))
+        f.truncate(f.tell() + wide)
+    found = {r["audio_path"].rpartition("/")[2]: r for r in audio.audio_headers(spark, f"{tmp_path}/*.wav").collect()}
+    assert found["small.wav"]["n_samples"] == 500 and found["late.wav"]["n_samples"] == 500 and found["large.wav"]["n_samples"] == wide // 2
+    assert found["large.wav"]["duration_s"] == wide / 64000
+    assert all(r["bytes_read"] <= 200 for r in found.values())
+
+
+def test_a_large_file_by_chunks(spark, tmp_path):
+    """2.5 GB of samples: no row holds more than a chunk, no task's Python more than a few."""
+    size = 5 << 29
+    with open(tmp_path / "large.wav", "wb") as f:
+        f.write(b"RIFF" + struct.pack("<I", 0) + b"WAVE" + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 32000, 128000, 4, 16) + b"data" + struct.pack("<I", size))
+        f.truncate(f.tell() + size)
+
+    def measure(batches):
+        import resource
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in b.column(1)], pa.int64()), pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss] * len(b), pa.int64())], names=["n", "kb"])
+
+    sound = audio.load_chunks(spark, f"{tmp_path}/large.wav")
+    rows = sound.select("chunk", "samples").mapInArrow(measure, "n long, kb long").collect()
+    assert sum(r["n"] for r in rows) == size // 4 and max(r["n"] for r in rows) == audio.CHUNK
+    assert max(r["kb"] for r in rows) < 1_000_000
