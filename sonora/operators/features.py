@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonora.functions.signal import EPS, band_edge_rows, next_power_of_two, odd_kernel, snr_db
 from sonora.sources.storage import materialise
 
-#: Rows that a dense median filter handles at a time.
+from .quantiles import by_size, select_ranks
+from .scan import changes, numbered, whole_groups
+
+#: Rows of a key that a median filter handles at a time.
 RUN = 4096
-#: Kernels up to this width are cheaper by neighbours than as arrays.
-NARROW = 63
 
 
 @dataclass(frozen=True)
@@ -180,55 +182,101 @@ def band_energy(spectrum: DataFrame, low: float, high: float, n_bands: int, hz_p
     return wide.select(key, "frame_idx", F.posexplode(F.array(*(f"b{i}" for i in range(n_bands)))).alias("band", "energy"))
 
 
+def sliding_medians(lines: np.ndarray, starts: np.ndarray, kernel: int) -> np.ndarray:
+    """The median of ``kernel`` values from each of ``starts`` on, of one array.
+
+    The array's ranks are parted by their bits, the highest first, each level keeping the order of places (a wavelet
+    matrix): where zeros of a level lie before a place is a running count, so all windows take one step a level at once,
+    and a median costs the logarithm of the array, whatever the kernel.
+    """
+    n = len(lines)
+    order = np.argsort(lines, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    lo, hi, want, found = starts.copy(), starts + kernel, np.full(len(starts), kernel // 2), np.zeros(len(starts), np.int64)
+    for bit in reversed(range(max(1, int(n - 1).bit_length()))):
+        one = (rank >> bit & 1).astype(bool)
+        zeros = np.zeros(n + 1, np.int64)
+        np.cumsum(~one, out=zeros[1:])
+        low, high = zeros[lo], zeros[hi]
+        up = want >= high - low
+        want -= np.where(up, high - low, 0)
+        found += up.astype(np.int64) << bit
+        lo, hi = np.where(up, zeros[n] + lo - low, low), np.where(up, zeros[n] + hi - high, high)
+        rank = np.concatenate([rank[~one], rank[one]])
+    return lines[order[found]]
+
+
 def median_filter(df: DataFrame, value: str, kernel: int, keys: list[str], order: str, out: str = "baseline", dense: bool = False) -> DataFrame:
-    """A centred moving median with zeros beyond both ends; ``kernel`` must be odd.
+    """A centred moving median with zeros beyond both ends, and for nulls; ``kernel`` must be odd.
 
-    ``dense`` says that ``order`` counts a key's rows from 0 without gaps. Then runs of ``RUN`` rows, with half a kernel
-    more at both ends, are filtered as arrays, which a wide kernel wants; otherwise each row gathers its neighbours.
+    ``dense`` says that ``order`` counts a key's rows from 0 without gaps; otherwise rows are numbered first. Runs of ``RUN``
+    rows, with half a kernel more at both ends, are dealt to tasks whatever their keys, and filtered many at a time.
     """
     if kernel % 2 == 0:
         raise ValueError("the kernel must be odd")
     half = kernel // 2
-    if not dense:
-        near = F.collect_list(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half))
-        padded = F.concat(near, F.array_repeat(F.lit(0.0), F.lit(kernel) - F.size(near)))
-        return df.withColumn(out, F.element_at(F.sort_array(padded), half + 1))
-    run = lambda shift: F.floor((F.col(order) + shift) / F.lit(RUN))
-    runs = df.withColumn("_run", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), run(-half)), run(half))))
-
-    def filtered(table: pa.Table) -> pa.Table:
-        first = table["_run"][0].as_py() * RUN
-        at, x = table[order].to_numpy() - first, table[value].to_numpy().astype(float)
-        line = np.zeros(RUN + 2 * half)
-        line[at + half] = x
-        own = (at >= 0) & (at < RUN)
-        medians = np.empty(RUN)
-        for lo in range(0, min(RUN, int(at[own].max(initial=-1)) + 1), 128):
-            view = np.lib.stride_tricks.sliding_window_view(line[lo : lo + 128 + 2 * half], kernel)
-            medians[lo : lo + 128] = np.partition(view, half, axis=1)[: RUN - lo, half]
-        return table.filter(pa.array(own)).drop_columns(["_run"]).append_column(out, pa.array(medians[at[own]]))
-
-    return runs.groupBy(*keys, "_run").applyInArrow(filtered, df.withColumn(out, F.lit(0.0)).schema)
+    at = F.col(order).cast("long")
+    placed = df.withColumn("_at", at) if dense else numbered(df, keys, [order], "_at")
+    run = lambda shift: F.floor((F.col("_at") + shift) / F.lit(RUN))
+    runs = placed.withColumn("_run", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), run(-half)), run(half))))
+    groups, names = [*keys, "_run"], df.columns
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, groups):
+            column = lambda c: table[c].chunk(0)  # noqa: B023, E731
+            new = changes([column(k) for k in groups], len(table))
+            place = column("_at").to_numpy() - column("_run").to_numpy() * RUN
+            x = np.asarray(pc.fill_null(column(value).cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False))
+            # Groups lie one behind the other, each with half a kernel of zeros on both sides.
+            begin = np.flatnonzero(new)
+            first, last = np.minimum(place[begin], 0) - half, np.maximum.reduceat(place, begin) + half
+            base = np.cumsum(np.append(0, last - first + 1))
+            line = np.zeros(base[-1])
+            shift = (base[:-1] - first)[np.cumsum(new) - 1]
+            line[place + shift] = x
+            own = np.flatnonzero((place >= 0) & (place < RUN))
+            medians = sliding_medians(line, (place + shift)[own] - half, kernel)
+            yield pa.RecordBatch.from_arrays([*(column(c).take(pa.array(own)) for c in names if c != out), pa.array(medians)], names=[*(c for c in names if c != out), out])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
+    return runs.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(filtered, f"{fields}, {out} double")
 
 
 def robust_normalize(df: DataFrame, value: str, keys: list[str], eps: float = EPS, out: str = "z") -> DataFrame:
     """(x - median) / (1.4826 (MAD + eps)) per key, with the lower of two middle values as the median.
 
-    Both medians are of one grouping: the deviations' is taken from the values that the first has in order.
+    Keys of a bounded number of rows have both medians of one grouping: the deviations' is taken from the values that the
+    first has in order. Of larger keys both are selected by ``quantiles``, so no task holds a key's values.
     """
-    x = F.sort_array(F.collect_list(value))
+    stored = materialise(df)
+    small, large = by_size(stored.select(*keys, F.col(value).alias("_x")), keys)
     middle = lambda a: F.get(a, F.ceil(F.size(a) / 2).cast("int") - 1)
-    stats = df.groupBy(*keys).agg(x.alias("_x")).withColumn("_m", middle(F.col("_x")))
-    stats = stats.select(*keys, "_m", middle(F.sort_array(F.transform("_x", lambda v: F.abs(v - F.col("_m"))))).alias("_s"))
-    return df.join(stats, keys).withColumn(out, (F.col(value) - F.col("_m")) / (1.4826 * (F.col("_s") + eps))).drop("_m", "_s")
+    lists = small.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_x")).withColumn("_m", middle(F.col("_x")))
+    stats = lists.select(*keys, F.col("_m").cast("double").alias("_m"), middle(F.sort_array(F.transform("_x", lambda v: F.abs(v - F.col("_m"))))).cast("double").alias("_s"))
+    if large is not None:
+        half = [F.ceil(F.col("n") / 2) - 1]
+        medians = select_ranks(large, keys, half).select(*keys, F.get("picks", F.lit(0)).alias("_m"))
+        apart = _with_stats(large, medians, keys).select(*keys, F.abs(F.col("_x") - F.col("_m")).alias("_x"), "_m")
+        spread = select_ranks(materialise(apart), [*keys, "_m"], half).select(*keys, "_m", F.get("picks", F.lit(0)).alias("_s"))
+        stats = stats.unionByName(spread)
+    z = (F.col(value) - F.col("_m")) / (1.4826 * (F.col("_s") + eps))
+    return _with_stats(stored, stats, keys).withColumn(out, z).drop("_m", "_s")
+
+
+def _with_stats(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its key's row of ``stats``; null keys are keys, too."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}"))
+    return df.alias("d").join(stats.alias("s"), same, "left").select("d.*", *(f"s.{c}" for c in stats.columns if c not in keys))
 
 
 def snr_features(waves: DataFrame, settings: SnrSettings, key: str = "recording_id", samples: str = "samples") -> DataFrame:
     """(key, frame_idx, time_s, band, feature): the chain from waveforms to normalised signal-to-noise features."""
     energy = wave_energy(waves, settings, key, samples)
-    based = median_filter(energy, "energy", settings.kernel, [key, "band"], "frame_idx", dense=settings.kernel > NARROW)
-    # Stored, as normalising reads it twice.
-    snr = materialise(based.withColumn("snr", snr_db("energy", "baseline", settings.eps)))
+    based = median_filter(energy, "energy", settings.kernel, [key, "band"], "frame_idx", dense=True)
+    snr = based.withColumn("snr", snr_db("energy", "baseline", settings.eps))
     named = robust_normalize(snr, "snr", [key, "band"], settings.eps, "feature") if settings.normalize else snr.withColumn("feature", F.col("snr"))
     time = (F.col("frame_idx") * settings.hop).cast("float") / F.lit(settings.sample_rate)
     return named.select(key, "frame_idx", time.cast("float").alias("time_s"), "band", "feature")

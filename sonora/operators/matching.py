@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sonora.functions.signal import at_least, interval_iou, precision_recall_f1
 from sonora.sources.storage import materialise
 
-from .windows import numbered
+from .quantiles import around, between, by_size, select_ranks
+from .scan import numbered
 
 KEY = "recording_id"
 #: Pairs of a recording that one task walks at most.
@@ -112,13 +113,38 @@ def boundary_errors(gt: DataFrame, pred: DataFrame, matches: DataFrame, toleranc
 
 
 def error_stats(errors: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: n_matches, and for both errors the median, mean absolute value and its 95th percentile; NaN without rows or for NaN errors."""
-    out = [F.count("*").alias("n_matches")]
-    for side in ("onset", "offset"):
-        e = F.col(f"{side}_error_ms")
-        for name, x in (("median", F.median(e)), ("mae", F.avg(F.abs(e))), ("p95", F.percentile(F.abs(e), F.lit(0.95)))):
-            out.append(F.when(F.max(F.isnan(e)), float("nan")).otherwise(F.coalesce(x, F.lit(float("nan")))).alias(f"{side}_{name}_ms"))
-    return errors.groupBy(*keys).agg(*out) if keys else errors.agg(*out)
+    """Per key: n_matches, and for both errors the median, mean absolute value and its 95th percentile; NaN without rows or for NaN errors.
+
+    Keys of a bounded number of errors are aggregated at once; of larger ones percentiles are selected by ``quantiles``.
+    """
+    sides = ("onset", "offset")
+    value = {f"{side}_{name}": F.col(f"{side}_error_ms") if name == "median" else F.abs(f"{side}_error_ms") for side in sides for name in ("median", "p95")}
+    rows = materialise(errors.select(*keys, *(f"{side}_error_ms" for side in sides)))
+
+    def stats(df: DataFrame, percentiles: bool) -> DataFrame:
+        out = [F.count("*").alias("n_matches")]
+        for side in sides:
+            e = F.col(f"{side}_error_ms")
+            found = {"mae": F.avg(F.abs(e))} | ({"median": F.median(e), "p95": F.percentile(F.abs(e), F.lit(0.95))} if percentiles else {})
+            out += [F.when(F.max(F.isnan(e)), float("nan")).otherwise(F.coalesce(x, F.lit(float("nan")))).alias(f"{side}_{name}_ms") for name, x in found.items()]
+        return df.groupBy(*keys).agg(*out)
+
+    small, large = by_size(rows, keys)
+    names = ["n_matches", *STATS]
+    if large is None:
+        return stats(small, True).select(*keys, *names)
+    # Each of the four percentiles of a key is a key of its own.
+    share = F.when(F.col("_what").endswith("median"), 0.5).otherwise(0.95)
+    apart = large.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("_what"), v.alias("_x")) for k, v in value.items()))).alias("_e")).select(*keys, "_e.*")
+    picked = select_ranks(materialise(apart), [*keys, "_what"], around(share)).withColumn("_v", between("picks", 0, share))
+    wide = picked.groupBy(*keys).agg(*(F.max(F.when(F.col("_what") == k, F.col("_v"))).alias(f"{k}_ms") for k in value))
+    whole = stats(large, False)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    nan = lambda side, c: F.when(F.isnan(f"a.{side}_mae_ms"), float("nan")).otherwise(F.col(f"b.{c}"))
+    both = whole.alias("a").join(wide.alias("b"), same).select(*(F.col(f"a.{k}") for k in keys), "n_matches", *(F.col(f"a.{c}") if c.endswith("mae_ms") else nan(c.split("_")[0], c).alias(c) for c in STATS))
+    return both.unionByName(stats(small, True)) if keys else both
 
 
 def frame_metrics(frames: DataFrame, keys: list[str], threshold: float = 0.5, prob: str = "prob", label: str = "label") -> DataFrame:

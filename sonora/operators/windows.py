@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonora.functions.signal import seconds_to_frames, sigmoid
-from sonora.sources.storage import materialise
+
+from .scan import before, numbered
+
+__all__ = ["before", "best_epochs", "bce_loss", "dice_loss", "estimate_windows", "focal_loss", "frame_labels", "numbered", "overlap_average", "pos_weight", "split_by_windows", "tversky_loss", "window_index", "window_starts"]
 
 KEY = "recording_id"
 
@@ -14,37 +17,16 @@ KEY = "recording_id"
 def frame_labels(frames: DataFrame, intervals: DataFrame, time: str = "time_s") -> DataFrame:
     """Adds ``label``: 1.0 where any interval of the recording holds the frame's time, both ends included.
 
-    Intervals are rounded to the frames' precision. The join is on the recording, the range a residual of it.
-    """
-    i = intervals.select(F.col(KEY).alias("_key"), F.col("onset").cast(frames.schema[time].dataType).alias("_on"), F.col("offset").cast(frames.schema[time].dataType).alias("_off"))
-    # Intervals that meet become one, so no frame has two of them and one join tells.
-    before_ = Window.partitionBy("_key").orderBy("_on", "_off").rowsBetween(Window.unboundedPreceding, -1)
-    apart = i.filter("_on <= _off").withColumn("_new", (~F.coalesce(F.col("_on") <= F.max("_off").over(before_), F.lit(False))).cast("int"))
-    runs = apart.withColumn("_run", F.sum("_new").over(Window.partitionBy("_key").orderBy("_on", "_off")))
-    one = runs.groupBy("_key", "_run").agg(F.min("_on").alias("_on"), F.max("_off").alias("_off"))
-    inside = (F.col(KEY) == F.col("_key")) & (F.col("_on") <= F.col(time)) & (F.col(time) <= F.col("_off"))
-    return frames.join(one, inside, "left").withColumn("label", F.col("_key").isNotNull().cast("double")).drop("_key", "_run", "_on", "_off")
-
-
-def before(df: DataFrame, keys: list[str], order: list[str], name: str, value: Column, fold=F.sum) -> DataFrame:
-    """Adds ``name``: the sum (or maximum) of ``value`` over the rows before each row within its keys; null before the first.
-
-    Rows are dealt by ranges of keys and order and folded within each range; ranges of the same keys are folded with
-    those before them, a row per range. No task needs all rows of a key.
+    Intervals are rounded to the frames' precision. Beginnings, frames and ends of a recording are scanned in the order of
+    time: a frame is inside where more intervals have begun than ended. There is no join, and no task needs a recording.
     """
-    cut = materialise(df.withColumn("_value", value).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    at = [*keys, "_part"]
-    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    parts = cut.groupBy(*at).agg(fold("_value").alias("_value"))
-    earlier = parts.select(F.struct(*at).alias("_at"), fold("_value").over(so_far(Window.partitionBy(*keys).orderBy("_part"))).alias("_earlier"))
-    inside = cut.withColumn("_own", fold("_value").over(so_far(Window.partitionBy(*at).orderBy(*order)))).withColumn("_at", F.struct(*at))
-    both = F.greatest("_earlier", "_own") if fold is F.max else F.coalesce(F.col("_earlier") + F.col("_own"), "_earlier", "_own")
-    return inside.join(earlier, "_at").withColumn(name, both).drop("_at", "_earlier", "_own", "_part", "_value")
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds ``name``: each row's place from 0 within its keys."""
-    return before(df, keys, order, name, F.lit(1)).withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
+    kind = frames.schema[time].dataType
+    i = intervals.select(F.col(KEY).alias("_key"), F.col("onset").cast(kind).alias("_on"), F.col("offset").cast(kind).alias("_off")).filter("_on <= _off and _key is not null")
+    nothing = F.lit(None).cast(frames.select(F.struct("*").alias("s")).schema["s"].dataType)
+    step = lambda df, at, place, change, frame: df.select(F.col("_key" if df is i else KEY).alias("_key"), F.col(at).alias("_at"), F.lit(place).alias("_place"), F.lit(change).alias("_change"), frame.alias("_frame"))
+    steps = step(i, "_on", 0, 1, nothing).unionByName(step(frames, time, 1, 0, F.struct("*"))).unionByName(step(i, "_off", 2, -1, nothing))
+    inside = before(steps, ["_key"], ["_at", "_place"], "_open", F.col("_change")).filter("_place = 1")
+    return inside.select("_frame.*", F.coalesce((F.col("_open") > 0).cast("double"), F.lit(0.0)).alias("label"))
 
 
 def window_starts(n: Column, width: int, hop: int) -> Column:
@@ -100,7 +82,7 @@ def best_epochs(epochs: DataFrame, metric: str, order: str, mode: str = "max") -
         raise ValueError("mode must be min or max")
     sign = 1 if mode == "max" else -1
     usable = epochs.filter(F.col(metric).isNotNull() & ~F.isnan(metric))
-    seen = before(usable, [], [order], "_b", F.col(metric) * sign, F.max)
+    seen = before(usable, [], [order], "_b", F.col(metric) * sign, "max")
     return seen.filter(F.col("_b").isNull() | (F.col(metric) * sign > F.col("_b"))).drop("_b")
 
 

@@ -208,7 +208,7 @@ def snr_features(spark, sf_dir):
 
 @query(f"WITH {FRAMES}, {_median('frames', 'value', 'recording_id', 51, 'based')} SELECT recording_id, frame_idx, round(baseline, 6) + 0.0 AS baseline FROM based")
 def median_filter_wide(spark, sf_dir):
-    return rounded(features.median_filter(T.frames(spark, sf_dir).select(KEY, "frame_idx", "value"), "value", 51, [KEY], "frame_idx", dense=True).select(KEY, "frame_idx", "baseline"), "baseline")
+    return rounded(features.median_filter(T.frames(spark, sf_dir).select(KEY, "frame_idx", "value"), "value", 51, [KEY], "frame_idx").select(KEY, "frame_idx", "baseline"), "baseline")
 
 
 def _sizes(spark, sf_dir):

@@ -19,3 +19,14 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Shuffles keep nine partitions, however small, so that keys span several."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
