@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,69 +15,155 @@ from sonora.functions.signal import at_least, interval_iou, precision_recall_f1
 from sonora.sources.storage import materialise
 
 from .quantiles import around, between, by_size, select_ranks
-from .scan import numbered
+from .scan import before, changes, numbered, whole_groups
 
 KEY = "recording_id"
-#: Pairs of a recording that one task walks at most.
-WALK = 5_000_000
+#: Pairs of a segment that one task matches at most, and rounds of its matching.
+DENSE, CHAIN = 1 << 20, 64
 FRAME_COUNTS = ["tp", "fp", "fn", "tn"]
 STATS = [f"{side}_{name}_ms" for side in ("onset", "offset") for name in ("median", "mae", "p95")]
 
 
+def _levels(side: DataFrame) -> DataFrame:
+    """Intervals of some length, with the power of four that is no less than their length."""
+    finite = lambda c: F.col(c).between(-sys.float_info.max, sys.float_info.max)
+    return side.filter(finite("_on") & finite("_off") & (F.col("_off") > F.col("_on"))).withColumn("_level", F.ceil(F.log(F.col("_off") - F.col("_on")) / math.log(4)).cast("int"))
+
+
+def _binned(side: DataFrame, own: set[int], other: set[int]) -> DataFrame:
+    """A row of each interval for each time bin that it meets, in bins of its own level and of the other side's higher ones."""
+    levels = F.array(*(F.lit(x) for x in sorted(own | other)))
+    some = F.filter(levels, lambda x: (x == F.col("_level")) | (x > F.col("_level")) & x.isin(*other)) if other else F.array("_level")
+    wide = side.withColumn("_at", F.explode(some)).withColumn("_width", F.pow(F.lit(4.0), F.col("_at").cast("double")))
+    first = F.floor(F.col("_on") / F.col("_width"))
+    return wide.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, F.floor(F.col("_off") / F.col("_width"))))).drop("_width")
+
+
 def iou_pairs(gt: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """All pairs of a recording whose IoU reaches the threshold: (key, gi, pi, iou).
+    """All pairs of a recording whose IoU reaches the threshold: (key, gi, pi, iou), and begin and end of what both cover.
 
-    Above 0, pairs must overlap, and that range condition is part of the join; at 0, disjoint pairs match, too.
+    Above 0, pairs must overlap. Intervals are put into time bins no narrower than themselves, whose widths are the powers of
+    four that occur, so each meets two or three bins of a level; a pair meets at the longer one's level, and the first bin
+    that both have gives it. So the join is by recording, level and bin, and a recording of any size is many keys. At 0,
+    disjoint pairs match, too, and all pairs of a recording are the result.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must lie in [0, 1]")
-    g = gt.select(KEY, "gi", F.col("onset").alias("g_on"), F.col("offset").alias("g_off"))
-    p = pred.select(F.col(KEY).alias("_key"), "pi", F.col("onset").alias("p_on"), F.col("offset").alias("p_off"))
-    near = F.col(KEY) == F.col("_key")
+    g = gt.select(KEY, "gi", F.col("onset").alias("_on"), F.col("offset").alias("_off"))
+    p = pred.select(KEY, "pi", F.col("onset").alias("_on"), F.col("offset").alias("_off"))
     if threshold > 0:
-        near = near & (F.col("g_on") <= F.col("p_off")) & (F.col("p_on") <= F.col("g_off"))
-    return g.join(p, near).withColumn("iou", interval_iou("g_on", "g_off", "p_on", "p_off")).filter(F.col("iou") >= threshold).select(KEY, "gi", "pi", "iou")
+        g, p = _levels(g), _levels(p)
+        # The levels that occur: some hundred at most, as they are logarithms of doubles.
+        found = g.select("_level", F.lit(0).alias("side")).unionByName(p.select("_level", F.lit(1).alias("side"))).distinct().collect()
+        own = [{r["_level"] for r in found if r["side"] == k} for k in (0, 1)]
+        g, p = _binned(g, own[0], own[1]), _binned(p, own[1], own[0])
+        meets = (F.col(f"g.{KEY}") == F.col(f"p.{KEY}")) & (F.col("g._at") == F.col("p._at")) & (F.col("g._bin") == F.col("p._bin"))
+        meets = meets & (F.col("g._at") == F.greatest("g._level", "p._level")) & (F.col("g._bin") == F.greatest("g._first", "p._first"))
+        meets = meets & (F.col("g._on") <= F.col("p._off")) & (F.col("p._on") <= F.col("g._off"))
+    else:
+        meets = F.col(f"g.{KEY}") == F.col(f"p.{KEY}")
+    iou = interval_iou("g._on", "g._off", "p._on", "p._off")
+    both = g.alias("g").join(p.alias("p"), meets).select(f"g.{KEY}", "gi", "pi", iou.alias("iou"), F.least("g._on", "p._on").alias("begin"), F.greatest("g._off", "p._off").alias("end"))
+    return both.filter(F.col("iou") >= threshold)
 
 
 def iou_match(pairs: DataFrame) -> DataFrame:
     """One-to-one greedy matches (key, match_rank, gi, pi, iou): best IoU first, ties by gi, then pi.
 
-    Pairs are sorted by recording and rank and walked in one pass, which remembers the matched intervals of one recording
-    at a time. A recording of more than ``WALK`` pairs, which no task should walk alone, is matched by rounds instead, to
-    the same end.
+    Pairs are matched as arrays, many recordings at a time. A recording of more than ``DENSE`` pairs is cut where none of its
+    pairs is open (their ``begin`` and ``end`` say so): no two pairs of one interval lie on both sides of a cut, so its
+    segments are matched each by itself. Without ``begin`` and ``end``, or where a segment has too many pairs still, rounds of
+    joins come to the same end, and no task needs the whole of it.
     """
-    ready = materialise(pairs.select(KEY, F.col("gi").cast("long").alias("gi"), F.col("pi").cast("long").alias("pi"), (-F.col("iou")).alias("worse")))
-    large = materialise(ready.groupBy(KEY).agg(F.count("*").alias("n")).filter(F.col("n") > WALK).select(KEY))
-    by_rounds = not large.isEmpty()
-    small = ready.join(large, KEY, "left_anti") if by_rounds else ready
+    spans = [c for c in ("begin", "end") if c in pairs.columns]
+    ready = materialise(pairs.select(KEY, F.col("gi").cast("long").alias("gi"), F.col("pi").cast("long").alias("pi"), (-F.col("iou")).alias("worse"), *spans))
     kind = ready.schema[KEY].dataType.simpleString()
-    walked = small.repartition(KEY).sortWithinPartitions(KEY, "worse", "gi", "pi").mapInArrow(_walk, f"{KEY} {kind}, gi long, pi long, worse double, match_rank int")
-    if by_rounds:
-        walked = walked.unionByName(match_by_rounds(ready.join(large, KEY, "left_semi")))
-    return walked.select(KEY, "match_rank", "gi", "pi", (-F.col("worse")).alias("iou"))
-
-
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs that a greedy walk keeps, with their ranks; rows come by recording, best first."""
-    now, used_g, used_p = object(), set(), set()
-    for batch in batches:
-        kept, ranks = [], []
-        for i, (key, g, p) in enumerate(zip(*(batch.column(c).to_pylist() for c in (KEY, "gi", "pi")))):
-            if key != now:
-                now, used_g, used_p = key, set(), set()
-            if g not in used_g and p not in used_p:
-                kept.append(i)
-                ranks.append(len(used_g))
-                used_g.add(g)
-                used_p.add(p)
-        taken = batch.take(pa.array(kept, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ranks, pa.int32())], names=[*batch.schema.names, "match_rank"])
+    columns = [KEY, "match_rank", "gi", "pi", (-F.col("worse")).alias("iou")]
+    large = _more_than(ready, [KEY], DENSE)
+    whole = ready if large is None else ready.join(large, KEY, "left_anti")
+    matched = _greedy(whole.select(KEY, F.lit(0).cast("long").alias("_segment"), "gi", "pi", "worse"), kind).select(columns)
+    if large is None:
+        return matched
+    rest = ready.join(large, KEY, "left_semi")
+    if len(spans) == 2:
+        order = ["begin", "end", "gi", "pi"]
+        reached = before(rest, [KEY], order, "_reach", F.col("end"), "max")
+        cut = F.coalesce((F.col("begin") >= F.col("_reach")).cast("long"), F.lit(1).cast("long"))
+        rest = before(reached.withColumn("_cut", cut), [KEY], order, "_cuts", F.col("_cut")).withColumn("_segment", F.coalesce("_cuts", F.lit(0).cast("long")) + F.col("_cut"))
+    else:
+        rest = rest.withColumn("_segment", F.lit(0).cast("long"))
+    at = [KEY, "_segment"]
+    dense = _more_than(rest, at, DENSE)
+    few = rest if dense is None else rest.join(dense, at, "left_anti")
+    parts = _greedy(few.select(*at, "gi", "pi", "worse"), kind).drop("match_rank")
+    if dense is not None:
+        parts = parts.unionByName(match_by_rounds(rest.join(dense, at, "left_semi").select(KEY, "gi", "pi", "worse")))
+    ranked = numbered(parts.select(KEY, "gi", "pi", "worse"), [KEY], ["worse", "gi", "pi"], "match_rank").withColumn("match_rank", F.col("match_rank").cast("int"))
+    return matched.unionByName(ranked.select(columns))
+
+
+def _more_than(rows: DataFrame, keys: list[str], most: int) -> DataFrame | None:
+    """The keys of more than ``most`` rows, if there are any."""
+    found = materialise(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def _greedy(pairs: DataFrame, kind: str) -> DataFrame:
+    """Matches of (key, _segment, gi, pi, worse), with match_rank within the segment."""
+    groups = [KEY, "_segment"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, groups):
+            new = changes([table[k].chunk(0) for k in groups], len(table))
+            group = np.cumsum(new) - 1
+            g, p, worse = (table[c].chunk(0).to_numpy() for c in ("gi", "pi", "worse"))
+            at = greedy(group, g, p, worse)
+            begins = np.searchsorted(group[at], group[at])
+            yield pa.RecordBatch.from_arrays([*(table[c].chunk(0).take(pa.array(at)) for c in (KEY, "gi", "pi", "worse")), pa.array(np.arange(len(at)) - begins, pa.int32())], names=[KEY, "gi", "pi", "worse", "match_rank"])
+
+    return pairs.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, f"{KEY} {kind}, gi long, pi long, worse double, match_rank int")
+
+
+def greedy(group: np.ndarray, g: np.ndarray, p: np.ndarray, worse: np.ndarray) -> np.ndarray:
+    """Places of the pairs that a greedy matching keeps, by group and rank.
+
+    In each round the pairs that are the best of both their intervals are kept, of all groups at once, and what shares an
+    interval with them goes. What is left after ``CHAIN`` rounds, a long chain of pairs that wait for each other, is walked.
+    """
+    order = np.lexsort((p, g, worse, group))
+    ends = []
+    for side in (g, p):
+        # Numbers of the intervals, group by group.
+        by = np.lexsort((side, group))
+        other = np.append(True, (group[by][1:] != group[by][:-1]) | (side[by][1:] != side[by][:-1]))[: len(by)]
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(other) - 1
+        ends.append(number[order])
+    a, b = ends
+    left, kept = np.arange(len(order)), []
+    used_a, used_b = (np.zeros(int(x.max(initial=-1)) + 1, bool) for x in ends)
+    best_a, best_b = (np.empty(len(u), np.int64) for u in (used_a, used_b))
+    for _ in range(CHAIN):
+        if not len(left):
+            break
+        back = left[::-1]  # of several values for one place, the last one stays: the best pair
+        best_a[a[back]], best_b[b[back]] = back, back
+        now = left[(best_a[a[left]] == left) & (best_b[b[left]] == left)]
+        used_a[a[now]], used_b[b[now]] = True, True
+        kept.append(now)
+        left = left[~(used_a[a[left]] | used_b[b[left]])]
+    walked = []
+    for i, x, y in zip(left.tolist(), a[left].tolist(), b[left].tolist()):
+        if not used_a[x] and not used_b[y]:
+            used_a[x] = used_b[y] = True
+            walked.append(i)
+    return order[np.sort(np.concatenate([*kept, np.array(walked, np.int64)]))]
 
 
 def match_by_rounds(left: DataFrame) -> DataFrame:
-    """Greedy matches of (key, gi, pi, worse), with match_rank: pairs that are the best of both their intervals are matched,
-    all pairs of these intervals go, and the rest is settled before the next round. No task needs a whole recording; rounds
-    are as many as the longest chain of pairs each of which waits for a better neighbour."""
+    """Greedy matches of (key, gi, pi, worse): pairs that are the best of both their intervals are matched, all pairs of these
+    intervals go, and the rest is settled before the next round. No task needs a whole recording; rounds are as many as the
+    longest chain of pairs each of which waits for a better neighbour."""
     left = materialise(left)
     matched = left.limit(0)
     while not left.isEmpty():
@@ -82,7 +171,7 @@ def match_by_rounds(left: DataFrame) -> DataFrame:
         now = materialise(best("gi").intersect(best("pi")).select(KEY, "gi", "pi", "worse"))
         matched = matched.unionByName(now)
         left = materialise(left.join(now.select(KEY, "gi"), [KEY, "gi"], "left_anti").join(now.select(KEY, "pi"), [KEY, "pi"], "left_anti").select(KEY, "gi", "pi", "worse"))
-    return numbered(matched, [KEY], ["worse", "gi", "pi"], "match_rank").withColumn("match_rank", F.col("match_rank").cast("int"))
+    return matched
 
 
 def unmatched(intervals: DataFrame, matches: DataFrame, index: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sonora.sources.storage import materialise
 
 #: Values of a key that are sorted as one array at most.
-LIMIT = 1 << 16
+LIMIT = 1 << 18
 #: Points of the sketch, and its accuracy: a point's rank is off by one in so many at most.
 POINTS, ACCURACY = 1000, 10_000
 

@@ -132,7 +132,7 @@ def interval_duration(spark, sf_dir):
 
 @query(f"WITH {PAIRS.replace('>= 0.2::DOUBLE', '>= 0')} SELECT recording_id, gi, pi, round(iou, 6) + 0.0 AS iou FROM pairs")
 def interval_iou(spark, sf_dir):
-    return rounded(matching.iou_pairs(T.annotated(spark, sf_dir), T.predicted(spark, sf_dir), 0.0), "iou")
+    return rounded(matching.iou_pairs(T.annotated(spark, sf_dir), T.predicted(spark, sf_dir), 0.0).select(KEY, "gi", "pi", "iou"), "iou")
 
 
 @query(f"WITH RECURSIVE {COUNTS} SELECT recording_id, {_ratios('tp', 'fp', 'fn')} FROM counts")
@@ -267,7 +267,7 @@ def _errors(spark, sf_dir, tolerance=None):
 
 @query(f"WITH {PAIRS} SELECT recording_id, gi, pi, round(iou, 6) + 0.0 AS iou FROM pairs")
 def iou_pairs(spark, sf_dir):
-    return rounded(_pairs(spark, sf_dir), "iou")
+    return rounded(_pairs(spark, sf_dir).select(KEY, "gi", "pi", "iou"), "iou")
 
 
 @query(f"WITH RECURSIVE {MATCHES} SELECT recording_id, match_rank, gi, pi, round(iou, 6) + 0.0 AS iou FROM matches")

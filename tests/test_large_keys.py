@@ -13,26 +13,65 @@ def gathers(df):
     return "collect_list" in df._jdf.queryExecution().analyzed().toString()
 
 
-@pytest.mark.parametrize("walk", [5_000_000, 6, 0])
-def test_iou_match_is_greedy(spark, monkeypatch, walk):
-    """In one walk, by rounds, and some recordings by either."""
-    monkeypatch.setattr(matching, "WALK", walk)
-    rng = random.Random(4)
-    pairs = [(1, g, p, rng.choice([0.25, 0.5, 0.75, 1.0])) for g in range(60) for p in range(60) if rng.random() < 0.2]
-    pairs += [(2, k // 2, (k + 1) // 2, 0.9 - k / 100) for k in range(6)] + [(3, 0, 0, 0.5), (3, 0, 0, 0.5)]
-    got = matching.iou_match(spark.createDataFrame(pairs, "recording_id long, gi long, pi long, iou double"))
+def plain(pairs):
+    """The greedy walk of all pairs, recording by recording."""
     want = []
-    for rec in (1, 2, 3):
+    for rec in sorted({x[0] for x in pairs}):
         used, rank = set(), 0
-        for iou, g, p in sorted(((-x[3], x[1], x[2]) for x in pairs if x[0] == rec)):
+        for iou, g, p in sorted((-x[3], x[1], x[2]) for x in pairs if x[0] == rec):
             if not used & {("g", g), ("p", p)}:
                 used |= {("g", g), ("p", p)}
                 want.append((rec, rank, g, p, -iou))
                 rank += 1
-    assert sorted(map(tuple, got.collect())) == want
+    return want
+
+
+@pytest.mark.parametrize("dense, chain", [(1 << 20, 64), (1 << 20, 1), (6, 64), (0, 64)])
+def test_iou_match_is_greedy(spark, monkeypatch, dense, chain):
+    """As arrays, with and without a walk of what long chains leave, by rounds, and some recordings by either."""
+    monkeypatch.setattr(matching, "DENSE", dense)
+    monkeypatch.setattr(matching, "CHAIN", chain)
+    rng = random.Random(4)
+    pairs = [(1, g, p, rng.choice([0.25, 0.5, 0.75, 1.0])) for g in range(60) for p in range(60) if rng.random() < 0.2]
+    pairs += [(2, k // 2, (k + 1) // 2, 0.9 - k / 100) for k in range(6)] + [(3, 0, 0, 0.5), (3, 0, 0, 0.5)]
+    got = matching.iou_match(spark.createDataFrame(pairs, "recording_id long, gi long, pi long, iou double"))
+    assert sorted(map(tuple, got.collect())) == plain(pairs)
     assert not gathers(got)
 
 
+def spans(rng, n, long):
+    """Intervals in clusters with gaps between them, some long, of all magnitudes, and odd ones."""
+    out = []
+    for i in range(n):
+        a = rng.randint(0, 25) * 10 + rng.uniform(0, 6)
+        out.append((a, a + (rng.uniform(0, 60) if rng.random() < long else rng.choice([0.0, 0.01, 0.5, rng.uniform(0, 4)]))))
+    return out
+
+
+@pytest.mark.parametrize("dense", [1 << 20, 40, 3])
+@pytest.mark.parametrize("threshold", [0.01, 0.3])
+def test_binned_pairs_and_segments(spark, monkeypatch, many_ranges, dense, threshold):
+    """Pairs of all intervals against the binned join; matches of a recording in segments, dense ones by rounds."""
+    monkeypatch.setattr(matching, "DENSE", dense)
+    rng = random.Random(dense)
+    held = {k: (spans(rng, n, long), spans(rng, n, long)) for k, n, long in ((1, 150, 0.0), (2, 40, 0.3), (3, 1, 0.0), (4, 0, 0.0))}
+    rows = [[(k, i, a, b) for k, v in held.items() for i, (a, b) in enumerate(v[side])] for side in (0, 1)]
+    odd = [(5, 0, None, 2.0), (5, 1, 3.0, 2.0), (5, 2, float("nan"), 2.0), (5, 3, -float("inf"), float("inf")), (None, 4, 0.0, 1.0)]
+    gt, pred = (spark.createDataFrame(r + odd, f"recording_id long, {name} long, onset double, offset double").repartition(3) for r, name in zip(rows, ("gi", "pi")))
+    pairs = matching.iou_pairs(gt, pred, threshold)
+    want = []
+    for k, g, a, b in rows[0]:
+        for j, p, c, d in rows[1]:
+            both = max(0.0, min(b, d) - max(a, c))
+            union = (b - a) + (d - c) - both
+            if k == j and union > 0 and both / union >= threshold:
+                want.append((k, g, p, both / union))
+    assert sorted((r["recording_id"], r["gi"], r["pi"], r["iou"]) for r in pairs.collect()) == sorted(want) and len(want) > 20
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_bin" in plan
+    assert sorted(map(tuple, matching.iou_match(pairs).collect())) == plain(want)
+
+
 @pytest.mark.parametrize("chunk, width, hop", [(12, 10, 4), (1024, 7, 7)])
 def test_sliding_predict_by_runs(spark, monkeypatch, chunk, width, hop):
     monkeypatch.setattr(model, "CHUNK", chunk, raising=False)

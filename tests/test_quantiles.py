@@ -37,7 +37,7 @@ def test_ranks(spark, monkeypatch):
     assert quantiles.select_ranks(odd.limit(0), [], [F.lit(0)], "v").count() == 0
 
 
-@pytest.mark.parametrize("limit", [1 << 16, 50])
+@pytest.mark.parametrize("limit", [1 << 18, 50])
 def test_normalising_keys_of_all_sizes(spark, monkeypatch, limit):
     monkeypatch.setattr(quantiles, "LIMIT", limit)
     held = {k: v for k, v in keyed(3).items() if k != "wide"}
@@ -52,7 +52,7 @@ def test_normalising_keys_of_all_sizes(spark, monkeypatch, limit):
         assert [z for _, z in sorted(by_key[k])] == pytest.approx(want.tolist(), rel=1e-9, abs=1e-12)
 
 
-@pytest.mark.parametrize("limit", [1 << 16, 30])
+@pytest.mark.parametrize("limit", [1 << 18, 30])
 @pytest.mark.parametrize("keys", [["recording_id"], []])
 def test_error_stats_of_keys_of_all_sizes(spark, monkeypatch, limit, keys):
     monkeypatch.setattr(quantiles, "LIMIT", limit)
