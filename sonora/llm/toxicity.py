@@ -2,8 +2,10 @@
 
 Features are the distinct hashed words, word pairs and pairs with one word left out of a whole text; here words are
 runs of letters and digits, so that marks around them or between them don't tell. Each coordinate has a learning rate
-of its own (the more it was updated, the slower) and an L1 penalty, higher for pairs, which are many and seldom seen
-again, keeps most weights at zero, so the model is a small sparse table whatever the corpus, and is broadcast.
+of its own (the more it was updated, the slower) and an L1 penalty keeps most weights at zero, so the model is a small
+sparse table whatever the corpus, and is broadcast. The penalty is the same for words, pairs and skip-grams, and grows
+with the root of the number of training rows that hold the feature: as far as gradients of a feature that tells nothing
+stray. So pairs, which are many and rare, needn't be shut out to keep chance out, and those that tell keep their weight.
 
 Training reads at most ``rows`` labelled documents (those first by a hash of doc_id, so the bound keeps no
 order of the table). Their features are hashed where the texts are, and one task trains on them, as few labels should
@@ -29,8 +31,8 @@ from .base import IS_MARK, arrow_bytes, gram_hashes, mix, small_batches, text_or
 
 BITS, TRAIN_ROWS, EPOCHS = 20, 12_000, 6
 ALPHA, BETA, L2 = 1.0, 1.0, 0.1
-#: Penalties of words and of pairs.
-L1, L1_PAIRS = 8.0, 24.0
+#: A feature's penalty: a constant, and a factor of the root of the number of training rows that hold it.
+L1, L1_ROOT = 4.0, 1.5
 REJECT = 0.7
 
 
@@ -62,8 +64,10 @@ def train_rows(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int
     if rows:
         share = min(max(sum(y for _, y in rows) / len(rows), 1e-3), 1 - 1e-3)
         bias = float(np.log(share / (1 - share)))
-    penalty = np.full(1 << bits, L1)
-    penalty[1 << bits - 1 :] = L1_PAIRS
+    held = np.zeros(1 << bits)
+    for at, _ in rows:
+        held[at] += 1
+    penalty = L1 + L1_ROOT * np.sqrt(held)
     weight = lambda z, n, l1: np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     for _ in range(epochs):
         for at, y in rows:

@@ -411,7 +411,7 @@ def test_ftrl_by_plain_python():
     bias, grad2 = math.log(share / (1 - share)), 0.0
 
     def weight(i):
-        l1 = toxicity.L1_PAIRS if i >= 128 else toxicity.L1
+        l1 = toxicity.L1 + toxicity.L1_ROOT * math.sqrt(sum(i in at for at, _ in marked))
         return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
 
     for _ in range(toxicity.EPOCHS):
@@ -430,6 +430,28 @@ def test_ftrl_by_plain_python():
     assert w / w[0] == pytest.approx([want[i] / want[int(at[0])] for i in at])
 
 
+@pytest.mark.parametrize("gap", [1, 2])
+def test_only_a_pair_or_a_skip_gram_tells(spark, gap):
+    """All texts hold the same two words as often; in toxic ones they stand side by side, or with one word between."""
+    rng = random.Random(gap)
+    rows = []
+    for i in range(1500):
+        words = [f"w{rng.randint(0, 300)}" for _ in range(40)]
+        toxic = int(i % 5 == 0)
+        apart = gap if toxic else rng.choice([g for g in (1, 2, 3, 4, 5, 6) if g != gap])
+        at = rng.randint(0, 30)
+        words[at], words[at + apart] = "crimson", "kettle"
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    unseen = [(got[i]["predicted"], y) for i, _, y in rows if got[i]["held_out"]]
+    hits = sum(p and y for p, y in unseen)
+    assert hits >= 0.9 * sum(y for _, y in unseen) > 50 and hits >= 0.9 * sum(p for p, _ in unseen)
+    at, _, _ = toxicity.train(docs, labels)
+    assert (at >= 1 << toxicity.BITS - 1).any()
+
+
 def test_toxic_words_between_marks(spark):
     rng = random.Random(12)
     plain = "the of and ing ion ent ble was her that this with".split()
