@@ -1,19 +1,20 @@
-"""Windows with features and labels, splits and batches of them, and synchronous training."""
+"""Windows with features and labels, splits and batches of them, and synchronous training in barrier stages."""
 
 from __future__ import annotations
 
-import uuid
+import base64
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonora.functions.signal import precision_recall_f1
 from sonora.operators import model, windows
-from sonora.sources.storage import materialise, shared_dir
+from sonora.sources.storage import materialise, stored
 
 from .components import KEY, BceLoss, Callback, Extractor, Loss, TinySegCnn
 
@@ -104,48 +105,83 @@ class DataModule:
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return np.array(batch.column(0).to_pylist(), float), np.array(batch.column(1).to_pylist(), float)
-
+    """Features (windows, bands, frames) and labels (windows, frames) from Arrow's own buffers."""
+    n, bands = len(batch), batch.column(0).flatten()
+    values = lambda c: c.to_numpy(zero_copy_only=False).astype(float)
+    return values(bands.flatten()).reshape(n, len(bands) // max(1, n), -1) if n else np.zeros((0, 1, 1)), values(batch.column(1).flatten()).reshape(n, -1) if n else np.zeros((0, 1))
+
+
+def _by_step(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A worker's windows of each step, of rows that come by step."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        steps = batch.column("step").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), len(batch)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi == lo:
+                continue
+            if held and held[0].column("step")[0].as_py() != steps[lo]:
+                yield held[0].column("step")[0].as_py(), *_whole(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held[0].column("step")[0].as_py(), *_whole(held)
 
-def batch_sums(rows: DataFrame, weights: model.Weights, loss: Loss) -> tuple[np.ndarray, np.ndarray]:
-    """The loss's sums over a batch of windows, and the sum of gradients, flat, if these need no sums of the whole batch.
 
-    Every partition adds up its own and sends one row of the model's size.
-    """
-    now = rows.sparkSession.sparkContext.broadcast(weights)
+def _whole(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    table = pa.Table.from_batches(parts).combine_chunks()
+    return _arrays(pa.RecordBatch.from_arrays([table[c].chunk(0) for c in ("features", "labels")], names=["features", "labels"]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, flat = 0.0, 0.0
-        for batch in batches:
-            x, y = _arrays(batch)
-            if len(y):
-                logits, inputs = model.forward(now.value, x)
-                sums = sums + loss.sums(logits, y)
-                if not loss.needs_sums:
-                    flat = flat + _flat(model.backward(now.value, inputs, loss.gradient(logits, y, np.ones(1))))
-        if np.ndim(sums):
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.float64())) for x in (sums.tolist(), np.atleast_1d(flat).tolist())], names=["sums", "grad"])
 
-    found = rows.select("features", "labels").mapInArrow(run, "sums array<double>, grad array<double>").collect()
-    return sum(np.array(r["sums"]) for r in found), sum(np.array(r["grad"]) for r in found)
+def _epoch(rows: DataFrame, workers: int, n_steps: int, trained: model.Weights, state: dict, loss: Loss, lr: float) -> tuple[model.Weights, dict, float]:
+    """One job: all steps of an epoch, in tasks that keep the weights and add up their gradients step by step.
 
-
-def batch_gradient(rows: DataFrame, weights: model.Weights, loss: Loss, sums: np.ndarray) -> np.ndarray:
-    """The gradients of a batch whose sums are known, flat."""
-    now = rows.sparkSession.sparkContext.broadcast(weights)
+    ``rows`` have features, labels and step. The tasks run side by side (a barrier stage); after each step all have the same
+    sums, in the order of their ranks, and so the same weights. Weights and moments of the first one come back.
+    """
+    now = rows.sparkSession.sparkContext.broadcast((trained, state))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = None
-        for batch in batches:
-            x, y = _arrays(batch)
-            if len(y):
-                logits, inputs = model.forward(now.value, x)
-                own = _flat(model.backward(now.value, inputs, loss.gradient(logits, y, sums)))
-                flat = own if flat is None else flat + own
-        if flat is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["grad"])
-
-    return sum(np.array(r["grad"]) for r in rows.select("features", "labels").mapInArrow(run, "grad array<double>").collect())
+        context = BarrierTaskContext.get()
+        weights, moments = now.value
+        moments = dict(moments)
+        size = sum(a.size for pair in weights for a in pair)
+        width = len(loss.sums(np.zeros(1), np.zeros(1)))
+
+        def summed(own: np.ndarray) -> np.ndarray:
+            given = context.allGather(base64.b64encode(own.astype("<f8").tobytes()).decode())
+            return sum(np.frombuffer(base64.b64decode(x), "<f8") for x in given)
+
+        parts, total, seen = _by_step(batches), 0.0, 0.0
+        held = next(parts, None)
+        for step in range(n_steps):
+            mine, sums, flat = None, np.zeros(width), np.zeros(size)
+            if held and held[0] == step:
+                mine = held[1:]
+                held = next(parts, None)
+                logits, inputs = model.forward(weights, mine[0])
+                sums = loss.sums(logits, mine[1])
+            if loss.needs_sums:
+                sums = summed(sums)
+                if mine:
+                    flat = _flat(model.backward(weights, inputs, loss.gradient(logits, mine[1], sums)))
+                flat = summed(flat)
+            else:
+                if mine:
+                    flat = _flat(model.backward(weights, inputs, loss.gradient(logits, mine[1], np.ones(1))))
+                both = summed(np.concatenate([sums, flat]))
+                sums, flat = both[:width], both[width:] / both[0]
+            weights = model.adam(weights, _shaped(flat, weights), moments, lr)
+            total, seen = total + loss.value(sums) * sums[0], seen + sums[0]
+        if context.partitionId() == 0:
+            kept = [_flat(weights), *(_flat([tuple(moments[j, i][k] for i in range(2)) for j in range(len(weights))]) for k in range(2))]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in kept], pa.list_(pa.float64())), pa.array([total / seen] * 3), pa.array([moments["t"]] * 3, pa.int64()), pa.array(range(3), pa.int32())], names=["flat", "loss", "t", "part"])
+
+    dealt = rows.repartition(workers, F.xxhash64("features", "labels")).sortWithinPartitions("step")
+    found = sorted(dealt.mapInArrow(run, "flat array<double>, loss double, t long, part int", barrier=True).collect(), key=lambda r: r["part"])
+    weights, first, second = (_shaped(np.array(r["flat"]), trained) for r in found)
+    kept = {(j, i): (first[j][i], second[j][i]) for j in range(len(weights)) for i in range(2)}
+    return weights, kept | {"t": found[0]["t"]}, found[0]["loss"]
 
 
 def _flat(grads: model.Weights) -> np.ndarray:
@@ -190,34 +226,37 @@ def validate(batches: DataFrame, weights: model.Weights, loss: Loss) -> dict[str
     return {k: v for k, v in rated.agg(*map(mean, ("loss", "precision", "recall", "f1"))).first().asDict().items() if v is not None}
 
 
-def fit(trained: TinySegCnn, batches: DataFrame, loss: Loss | None = None, epochs: int = 10, lr: float = 1e-3, val_batches: DataFrame | None = None, callbacks: Iterable[Callback] = (), seed: int = 0) -> dict[str, float]:
+def fit(trained: TinySegCnn, batches: DataFrame, loss: Loss | None = None, epochs: int = 10, lr: float = 1e-3, val_batches: DataFrame | None = None, callbacks: Iterable[Callback] = (), seed: int = 0, workers: int | None = None) -> dict[str, float]:
     """Trains in place, a step a batch (column ``batch``), and returns the last epoch's metrics.
 
-    Batches are written once, each to its own folder, so that a step reads its own alone; the order of steps is
-    shuffled anew each epoch. Every step's gradient is summed over the batch's partitions, so a step is as wide as a
-    batch: at scale, make batches large.
+    An epoch is one job of ``workers`` tasks (as many as Spark's default parallelism), each with its share of every batch; the
+    order of steps is shuffled anew each epoch. All workers must run at once. If one is lost, its epoch begins again from the
+    weights before it. Gradients meet through the driver's barrier, which suits models of some ten thousand weights.
     """
-    if lr <= 0 or epochs <= 0:
-        raise ValueError("lr and epochs must be positive")
-    loss, spark, state, metrics = loss or BceLoss(), batches.sparkSession, {}, {}
-    path = f"{shared_dir(spark)}/sonora/{uuid.uuid4().hex}"
-    batches.select("features", "labels", "batch").write.partitionBy("batch").parquet(path)
-    stored = spark.read.parquet(path)
-    numbers = [r["batch"] for r in stored.select("batch").distinct().orderBy("batch").collect()]
-    if not numbers:
-        raise ValueError("there is no batch to train on")
-    held = materialise(val_batches) if val_batches is not None else None
-    rng = np.random.RandomState(seed)
-    for epoch in range(epochs):
-        losses, sizes = [], []
-        for number in rng.permutation(numbers).tolist():
-            rows = stored.filter(F.col("batch") == number)
-            sums, flat = batch_sums(rows, trained.weights, loss)
-            flat = batch_gradient(rows, trained.weights, loss, sums) if loss.needs_sums else flat / sums[0]
-            trained.weights = model.adam(trained.weights, _shaped(flat, trained.weights), state, lr)
-            losses.append(loss.value(sums))
-            sizes.append(sums[0])
-        metrics = {"train_loss": float(np.average(losses, weights=sizes))} | (validate(held, trained.weights, loss) if held is not None else {})
-        for callback in callbacks:
-            callback.on_epoch_end(epoch + 1, metrics, trained)
+    if lr <= 0 or epochs <= 0 or workers is not None and workers <= 0:
+        raise ValueError("lr, epochs and workers must be positive")
+    loss, state, metrics = loss or BceLoss(), {}, {}
+    tasks = workers or batches.sparkSession.sparkContext.defaultParallelism
+    with stored(batches.select("features", "labels", "batch")) as held:
+        numbers = windows.numbered(held.select("batch").distinct(), [], ["batch"], "place")
+        n_steps = numbers.count()
+        if not n_steps:
+            raise ValueError("there is no batch to train on")
+        checks = materialise(val_batches) if val_batches is not None else None
+        for epoch in range(epochs):
+
+            def placed(parts: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
+                rng = np.random.RandomState(seed)
+                for _ in range(epoch + 1):
+                    order = rng.permutation(n_steps)
+                step = np.argsort(order)
+                for part in parts:
+                    yield pa.RecordBatch.from_arrays([part.column("batch"), pa.array(step[part.column("place").to_numpy()])], names=["batch", "step"])
+
+            kind = held.schema["batch"].dataType.simpleString()
+            steps = numbers.mapInArrow(placed, f"batch {kind}, step long")
+            trained.weights, state, value = _epoch(held.join(steps, "batch").select("features", "labels", "step"), tasks, n_steps, trained.weights, state, loss, lr)
+            metrics = {"train_loss": float(value)} | (validate(checks, trained.weights, loss) if checks is not None else {})
+            for callback in callbacks:
+                callback.on_epoch_end(epoch + 1, metrics, trained)
     return metrics

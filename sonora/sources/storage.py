@@ -23,18 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def _stored(df: DataFrame) -> tuple[DataFrame, object, object]:
+    """``df`` written and read back, and its folder with that one's file system. The folder goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sonora/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), at, system
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage and survives a lost executor.
 
     The files go when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sonora/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return _stored(df)[0]
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """As ``materialise``, for tables that nothing reads any more when the block ends: then the files go."""
+    table, at, system = _stored(df)
+    try:
+        yield table
+    finally:
+        system.delete(at, True)
 
 
 @contextmanager

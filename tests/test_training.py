@@ -109,7 +109,7 @@ def test_data_module(spark):
         T.DataModule(data.recordings.filter("recording_id = 99"), data.frames, data.extractor).setup()
 
 
-@pytest.mark.parametrize("loss", [C.BceLoss(2.0), C.TverskyLoss()], ids=repr)
+@pytest.mark.parametrize("loss", [C.BceLoss(2.0), C.FocalLoss(), C.DiceLoss(), C.TverskyLoss()], ids=repr)
 def test_training_is_that_of_one_machine(spark, loss):
     x, y = RNG.rand(10, 2, 12), (RNG.rand(10, 12) > 0.5).astype(float)
     rows = [(x[i].tolist(), y[i].tolist(), i // 4) for i in range(10)]
@@ -142,6 +142,27 @@ def test_training_is_that_of_one_machine(spark, loss):
         T.fit(trained, df, loss, lr=0.0)
 
 
+def test_an_epoch_is_one_round_of_jobs(spark):
+    """As many jobs for twelve batches as for three, with workers that have no row of a batch, and nothing left on disk."""
+    import os
+
+    from sonora.sources.storage import shared_dir
+
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n in (3, 12):
+        rows = [(RNG.rand(2, 12).tolist(), [float(v > 0.5) for v in RNG.rand(12)], 10 * (i // 2)) for i in range(2 * n)]
+        df = spark.createDataFrame(rows, "features array<array<double>>, labels array<double>, batch long")
+        spark.sparkContext.setJobGroup(f"fit {n}", "training")
+        T.fit(C.TinySegCnn(2, 12, 3, seed=2), df, epochs=2, lr=0.01, workers=4)
+        jobs.append(len(tracker.getJobIdsForGroup(f"fit {n}")))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs[0] == jobs[1]
+    folder = shared_dir(spark).removeprefix("file://") + "/sonora"
+    before = set(os.listdir(folder))
+    T.fit(C.TinySegCnn(2, 12, 3, seed=2), df, epochs=1, lr=0.01, workers=1)
+    assert len(set(os.listdir(folder)) - before) == 1  # the batches' numbers
+
+
 def test_best_weights_and_history(spark, tmp_path):
     trained, path = C.TinySegCnn(2, 12, 3, seed=2), f"{tmp_path}/best"
     best, history = C.SaveBestModel(spark, path), C.MetricsHistory()
