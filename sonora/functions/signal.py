@@ -67,6 +67,17 @@ def band_edges(low: float, high: float, n: int) -> list[tuple[float, float]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
+def band_edges_of(low: Column | str, high: Column | str, n: int) -> Column:
+    """The same for a row's own frequencies: an array of structs of band, lo and hi; frequencies out of order are an error."""
+    if n < 1:
+        raise ValueError("there must be at least one band")
+    a, b = _c(low).cast("double"), _c(high).cast("double")
+    edge = lambda i: F.when(i == 0, a).when(i == n, b).otherwise(a * F.pow(b / a, i / F.lit(float(n))))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("band"), edge(i).alias("lo"), edge(i + 1).alias("hi")))
+    wrong = F.raise_error("bands need 0 < low < high").cast("array<struct<band:int,lo:double,hi:double>>")
+    return F.when((a > 0) & (b > a), bands).when(a.isNull() | b.isNull(), None).otherwise(wrong)
+
+
 def mono_mix(samples: Column | str, channels: int) -> Column:
     """The mean over channels of interleaved samples."""
     n = F.floor(F.size(_c(samples)) / channels).cast("int")

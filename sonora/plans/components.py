@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from abc import ABC, abstractmethod
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, is_dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -333,10 +333,26 @@ def read_weights(table: DataFrame) -> model.Weights:
     return [(found[j, "w"], found[j, "b"]) for j in range(len(found) // 2)]
 
 
-#: What a stored pipeline may be made of; others can be stored, but not read.
-EXTRACTORS = {"SnrExtractor": SnrExtractor}
-DETECTORS = {"TinySegCnn": TinySegCnn}
-DECODERS = {"HysteresisDecoder": HysteresisDecoder}
+#: What a stored pipeline may be made of, by name; ``register`` adds to it. Others can be stored, but not read.
+EXTRACTORS: dict[str, type[Extractor]] = {"SnrExtractor": SnrExtractor}
+DETECTORS: dict[str, type[Detector]] = {"TinySegCnn": TinySegCnn}
+DECODERS: dict[str, type[Decoder]] = {"HysteresisDecoder": HysteresisDecoder}
+
+
+def register(part: type) -> type:
+    """A class decorator: pipelines with this extractor, detector or decoder can be read.
+
+    Extractors and decoders are dataclasses, whose fields are their settings. A detector has ``settings`` and ``weights``, and
+    is made of both. A name that another class has is an error.
+    """
+    for kind, known in ((Extractor, EXTRACTORS), (Detector, DETECTORS), (Decoder, DECODERS)):
+        if isinstance(part, type) and issubclass(part, kind):
+            if kind is not Detector and not is_dataclass(part):
+                raise TypeError(f"{part.__name__} must be a dataclass, as its fields are what is stored")
+            if known.setdefault(part.__name__, part) is not part:
+                raise ValueError(f"there is another {kind.__name__} of the name {part.__name__}")
+            return part
+    raise TypeError(f"{part} is neither an extractor, a detector nor a decoder")
 
 
 def save_pipeline(spark: SparkSession, trained: Detector, extractor: Extractor, decoder: Decoder, path: str, overwrite: bool = False) -> None:

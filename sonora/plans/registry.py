@@ -120,9 +120,12 @@ def frames_to_seconds(spark, sf_dir):
     return rounded(T.frames(spark, sf_dir).select(KEY, "frame_idx", S.frames_to_seconds("frame_idx", T.HOP_S).alias("time_s")), "time_s")
 
 
-@query("SELECT i::INT AS band, round(CASE WHEN i = 0 THEN 300 ELSE 300 * pow(10000.0::DOUBLE / 300, i / 8.0::DOUBLE) END, 6) AS lo, round(CASE WHEN i = 7 THEN 10000 ELSE 300 * pow(10000.0::DOUBLE / 300, (i + 1) / 8.0::DOUBLE) END, 6) AS hi FROM range(8) t(i)")
+@query("""WITH p AS (SELECT p_partkey AS recording_id, p_size::DOUBLE AS a, p_size + p_retailprice AS b FROM part), e AS (SELECT *, unnest(range(8)) AS i FROM p)
+  SELECT recording_id, i::INT AS band, round(CASE WHEN i = 0 THEN a ELSE a * pow(b / a, i / 8.0::DOUBLE) END, 6) + 0.0 AS lo, round(CASE WHEN i = 7 THEN b ELSE a * pow(b / a, (i + 1) / 8.0::DOUBLE) END, 6) + 0.0 AS hi FROM e""")
 def band_edges(spark, sf_dir):
-    return rounded(spark.createDataFrame(S.band_edge_rows(300.0, 10000.0, 8), "band int, lo double, hi double"), "lo", "hi")
+    """Each part's own lowest and highest frequency."""
+    rows = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias(KEY), F.col("p_size").alias("a"), (F.col("p_size") + F.col("p_retailprice")).alias("b"))
+    return rounded(rows.select(KEY, F.inline(S.band_edges_of("a", "b", 8))), "lo", "hi")
 
 
 @query(f"WITH {GT} SELECT recording_id, gi, offset_ - onset AS duration FROM gt")

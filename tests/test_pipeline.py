@@ -1,6 +1,7 @@
 """Features, predictions, evaluation and stored pipelines, from files to reports."""
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from sonora.operators import features, matching
 from sonora.operators.model import random_weights
 from sonora.plans import components as C
 from sonora.plans import pipeline as P
+from sonora.plans import sql
 from sonora.sources import annotations, audio
 
 EXTRACTOR = C.SnrExtractor(8000, n_bands=3, baseline_s=1.0, band_high=3000.0)
@@ -187,6 +189,53 @@ def test_stored_pipelines(spark, tmp_path):
         C.load_pipeline(spark, f"{tmp_path}/none")
 
 
+@C.register
+@dataclass(frozen=True)
+class Above(C.Decoder):
+    """A user's decoder: every frame above a level is an interval."""
+
+    level: float = 0.5
+
+    def decode(self, frames):
+        return frames.filter((F.col("prob") > self.level) & ~F.isnan("prob")).select("recording_id", F.col("time_s").cast("double").alias("onset"), F.col("time_s").cast("double").alias("offset"))
+
+
+def test_parts_of_users(spark, tmp_path):
+    """Stored and read back, and called from SQL."""
+    C.save_pipeline(spark, C.TinySegCnn(3, 20, 4), EXTRACTOR, Above(0.25), f"{tmp_path}/p")
+    assert C.load_pipeline(spark, f"{tmp_path}/p")[2] == Above(0.25)
+    assert C.register(Above) is Above
+    for bad in (type("Above", (C.Decoder,), {}), int):
+        with pytest.raises((TypeError, ValueError)):
+            C.register(bad)
+    rows = [(k, i, i * 0.25, p) for k in ("a", "b") for i, p in enumerate([0.1, 0.9, 0.5, None, 0.3, 0.1, 0.9, float("nan"), 0.9])]
+    frames = spark.createDataFrame(rows, "recording_id string, frame_idx int, time_s double, prob double")
+    frames.createOrReplaceTempView("frames_of_users")
+    rule = C.HysteresisDecoder(0.8, 0.2, 0.1, 0.3, 0.5)
+    level = 0.25
+    for name, decoder, own in (("above", Above(level), lambda frames: ((t, t) for t, p in frames if p is not None and p > level and p == p)), ("calls", rule, rule)):
+        sql.register_decoder(spark, name, own)
+        got = spark.sql(f"SELECT * FROM {name}(TABLE(SELECT * FROM frames_of_users) PARTITION BY recording_id ORDER BY frame_idx)")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, decoder.decode(frames).collect())) and got.count()
+    with pytest.raises(TypeError):
+        sql.register_decoder(spark, "no", 3)
+
+
+def test_flagship_from_sql(spark):
+    import os
+
+    from sonora.plans import registry
+    from sonora.sources import tables
+
+    where = "/root/testdata/sf0.001"
+    if not os.path.isdir(where):
+        pytest.skip("no test tables here")
+    tables.frames(spark, where).createOrReplaceTempView("flagship_frames")
+    sql.register_decoder(spark, "flagship", C.HysteresisDecoder(*(getattr(registry.RULE, f) for f in ("enter", "exit", "min_duration_s", "min_gap_s", "pad_s"))), "bigint")
+    got = spark.sql("SELECT recording_id, round(onset, 6) + 0.0 AS onset, round(offset, 6) + 0.0 AS offset FROM flagship(TABLE(SELECT recording_id, frame_idx, time_s, prob FROM flagship_frames) PARTITION BY recording_id ORDER BY frame_idx)")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, registry.QUERIES["hysteresis_decode"](spark, where).collect())) and got.count()
+
+
 def test_models_are_checked(spark):
     for bad in ((0, 20), (3, 0), (3, 20, 0)):
         with pytest.raises(ValueError):
