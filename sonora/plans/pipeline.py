@@ -18,9 +18,12 @@ from .components import KEY, Decoder, Detector, Extractor, Matcher
 _INTERVALS = "array<struct<onset:double,offset:double>>"
 
 
-def infer(audio: DataFrame, trained: Detector, extractor: Extractor, decoder: Decoder, hop_frames: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Frames (recording_id, frame_idx, time_s, prob) and intervals (recording_id, onset, offset) of ``audio`` (recording_id, samples)."""
-    frames = materialise(extractor.extract(audio))
+def infer(audio: DataFrame, trained: Detector, extractor: Extractor, decoder: Decoder, hop_frames: int | None = None, features: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Frames (recording_id, frame_idx, time_s, prob) and intervals (recording_id, onset, offset) of ``audio`` (recording_id, samples).
+
+    ``features``: the extractor's frames where they are at hand, as from ``store.stored_features``; then no audio is read.
+    """
+    frames = materialise(extractor.extract(audio)) if features is None else features
     probs = trained.predict(frames, hop_frames)
     scored = materialise(frames.select(KEY, "frame_idx", "time_s").join(probs, [KEY, "frame_idx"]))
     return scored, decoder.decode(scored)
@@ -71,14 +74,16 @@ class Evaluation:
     matches: DataFrame
 
 
-def evaluate(audio: DataFrame, annotations: DataFrame, trained: Detector, extractor: Extractor, decoder: Decoder, matcher: Matcher, hop_frames: int | None = None, boundary_tolerance_ms: float | None = None) -> Evaluation:
+def evaluate(audio: DataFrame, annotations: DataFrame, trained: Detector, extractor: Extractor, decoder: Decoder, matcher: Matcher, hop_frames: int | None = None, boundary_tolerance_ms: float | None = None, features: DataFrame | None = None) -> Evaluation:
     """``audio`` (recording_id, samples, duration_s; whole or by chunks) against ``annotations`` as ``read_annotations`` gives them.
 
+    With ``features`` (see ``infer``), ``audio`` needs no samples.
+
     Recordings without audio don't count; those without annotations do, with none.
     """
     if audio.isEmpty():
         raise ValueError("there are no recordings to evaluate")
-    frames, found = infer(audio, trained, extractor, decoder, hop_frames)
+    frames, found = infer(audio, trained, extractor, decoder, hop_frames, features)
     known = (audio.filter("chunk = 0 and channel = 0") if "chunk" in audio.columns else audio).select(KEY, "duration_s")
     gt = materialise(order_annotations(clean_annotations(annotations)).join(known.select(KEY).distinct(), KEY, "left_semi"))
     order = Window.partitionBy(KEY).orderBy("onset", "offset")

@@ -56,16 +56,22 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return wav.resample_part(np.pad(x, [(0, 0)] * (x.ndim - 1) + [(-lo, max(0, hi - x.shape[-1]))]), rate, to, 0, n)
 
 
+def listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, length, modified) of files, by Spark's own listing; none is opened. FileNotFoundError if a path is not there."""
+    return _files(spark, paths).select(plain_path(F.col("_metadata.file_path")).alias("path"), "length", F.col("modificationTime").alias("modified"))
+
+
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Spark's own listing of files. FileNotFoundError if a path is not there."""
+    """Files by Spark's binary reader."""
     with paths_must_exist(paths):
         return spark.read.format("binaryFile").load(paths)
 
 
-def audio_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def audio_headers(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:
     """(audio_path, sample_rate, channels, n_samples, duration_s, bytes_read) of WAV files, whose headers alone are read.
 
-    ``bytes_read`` is what was read of the file. All others are null where it can't be read.
+    ``paths``: paths, or rows of ``listed``. ``bytes_read`` is what was read of the file. All others are null where it can't
+    be read.
     """
     names = ["audio_path", "sample_rate", "channels", "n_samples", "duration_s", "bytes_read"]
 
@@ -83,7 +89,7 @@ def audio_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    files = _files(spark, paths).select(plain_path(F.col("_metadata.file_path")).alias("path"), "length")
+    files = (paths if isinstance(paths, DataFrame) else listed(spark, paths)).select("path", "length")
     return files.mapInArrow(run, "audio_path string, sample_rate int, channels int, n_samples long, duration_s double, bytes_read long")
 
 
@@ -109,7 +115,7 @@ def _rows(path: str, numbers: range | None, share: tuple[int, int], to: int | No
             yield pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip(values, _CHUNK_ROW)), listed], schema=_CHUNK_ROW)
 
 
-def load_chunks(spark: SparkSession, paths: str | list[str], sample_rate: int | None = None, mono: bool = True, strict: bool = True, size: int = CHUNK, halo: int = 0) -> DataFrame:
+def load_chunks(spark: SparkSession, paths: str | list[str] | DataFrame, sample_rate: int | None = None, mono: bool = True, strict: bool = True, size: int = CHUNK, halo: int = 0) -> DataFrame:
     """Rows of ``size`` samples at most of each file, and channel unless ``mono``: audio_path, sample_rate, n_samples (of the
     whole file at that rate), duration_s, channel, chunk, begin, end, first_sample, samples.
 

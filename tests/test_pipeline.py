@@ -12,7 +12,7 @@ from sonora.operators import features, matching
 from sonora.operators.model import random_weights
 from sonora.plans import components as C
 from sonora.plans import pipeline as P
-from sonora.plans import sql
+from sonora.plans import sql, store
 from sonora.sources import annotations, audio
 
 EXTRACTOR = C.SnrExtractor(8000, n_bands=3, baseline_s=1.0, band_high=3000.0)
@@ -189,6 +189,42 @@ def test_stored_pipelines(spark, tmp_path):
         C.load_pipeline(spark, f"{tmp_path}/none")
 
 
+def test_features_are_extracted_once(spark, tmp_path):
+    """A second evaluation over the same files extracts nothing; changed files and other settings are extracted."""
+    import os
+
+    seen = []
+
+    @dataclass(frozen=True)
+    class Counting(C.SnrExtractor):
+        def extract(self, waves):
+            seen.append(sorted(r[0].rpartition("/")[2] for r in waves.select("recording_id").distinct().collect()))
+            return super().extract(waves)
+
+    for name, calls in (("a", [(0.5, 0.7)]), ("b", [(0.2, 0.4)])):
+        wav(tmp_path / f"{name}.wav", tones(1.0, calls), 8000)
+        (tmp_path / f"{name}_annotations.csv").write_text("name,start_seconds,stop_seconds\n" + "".join(f"x,{a * 1000},{b * 1000}\n" for a, b in calls))
+    made = lambda **more: Counting(**{"sample_rate": 8000, "n_bands": 3, "baseline_s": 1.0, "band_high": 3000.0} | more)
+    paths, folder, notes = f"{tmp_path}/*.wav", f"{tmp_path}/store", annotations.read_annotations(spark, f"{tmp_path}/*.csv")
+
+    def evaluated(extractor):
+        found = store.stored_features(spark, paths, extractor, folder)
+        return P.evaluate(store.durations(spark, paths), notes, Loud(), extractor, C.HysteresisDecoder(), C.GreedyIouMatcher(), features=found).report.first()
+
+    first = evaluated(made())
+    assert seen == [["a", "b"]] and (first["tp"], first["fp"], first["fn"]) == (2, 0, 0)
+    sound = P.recordings(audio.load_audio(spark, paths, 8000))
+    assert first == P.evaluate(sound, notes, Loud(), EXTRACTOR, C.HysteresisDecoder(), C.GreedyIouMatcher()).report.first()
+    assert evaluated(made()) == first and len(seen) == 1
+    evaluated(made(eps=1e-9))
+    assert seen[1:] == [["a", "b"]]
+    wav(tmp_path / "b.wav", tones(1.5, []), 8000)
+    os.utime(tmp_path / "b.wav", (2_000_000_000, 2_000_000_000))
+    changed = evaluated(made())
+    assert seen[2:] == [["b"]] and (changed["tp"], changed["fn"]) == (1, 1)
+    assert store.stored_features(spark, f"{tmp_path}/b.wav", made(), folder).count() == 1 + 12000 // 64
+
+
 @C.register
 @dataclass(frozen=True)
 class Above(C.Decoder):
