@@ -104,8 +104,8 @@ def iou_match(pairs: DataFrame) -> DataFrame:
 
 def _more_than(rows: DataFrame, keys: list[str], most: int) -> DataFrame | None:
     """The keys of more than ``most`` rows, if there are any."""
-    found = materialise(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*keys))
-    return None if found.isEmpty() else found
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*keys)
+    return None if found.isEmpty() else materialise(found)
 
 
 def _greedy(pairs: DataFrame, kind: str) -> DataFrame:

@@ -28,9 +28,10 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
 
 def by_size(rows: DataFrame, keys: list[str], limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Rows of keys of up to ``limit`` rows, and of the others, if there are any. ``rows`` are read more than once."""
-    large = materialise(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > (limit or LIMIT)).select(*keys, "_n"))
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > (limit or LIMIT)).select(*keys, "_n")
     if large.isEmpty():
         return rows, None
+    large = materialise(large)
     part = lambda how: rows.alias("r").join(large.alias("l"), _same("r", "l", keys), how).select("r.*")
     return part("left_anti"), part("left_semi")
 
