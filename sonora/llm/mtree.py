@@ -16,8 +16,8 @@ rows, and these meet in a top-k by query.
 What the bounds spare depends on the data: on vectors in clusters most distances, on vectors without any structure in
 many dimensions next to none (``MTree.computed`` counts them).
 
-Defined cases: vectors that are null, empty, or hold a null, NaN or infinite component take no part; shorter vectors
-count as filled up with zeros; a query's own vec_id is no candidate, in any of its rows; a query id that repeats is
+Defined cases: vectors that are null, or hold a null, NaN or infinite component take no part; shorter vectors, empty ones
+too, count as filled up with zeros; a query's own vec_id is no candidate, in any of its rows; a query id that repeats is
 answered once, by its least vector; ties go to the smaller vec_id (rows that repeat an id and a score fill ranks of
 their own); scores beyond 64 bits rank by their value and are returned as the nearest 64-bit integer; an empty table
 gives no rows; other columns are not read. Finite components of any size take part, as long as their square is finite.
@@ -150,7 +150,7 @@ def quantised(col: str, scale: int = SCALE) -> Column:
     good = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     # From 2^53 on, doubles are whole.
     whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(F.when(F.abs(x) < 2.0**53, x).otherwise(0.0)).cast("double")).otherwise(x)
-    return F.when((F.size(col) > 0) & F.coalesce(good, F.lit(False)), F.transform(doubles, lambda x: whole(x * scale)))
+    return F.when(F.coalesce(good, F.lit(False)), F.transform(doubles, lambda x: whole(x * scale)))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -210,8 +210,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
 
 TOP_K_ORACLE = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id),
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.v) * len(c.v) > 0 THEN list_inner_product(q.v, c.v) ELSE 0 END::BIGINT AS score FROM v q, v c WHERE q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
 """

@@ -227,7 +227,7 @@ def hard_negatives(vectors: DataFrame, positives: int = POSITIVES, negatives: in
     """
     if not (positives > 0 and negatives > 0 and every > 0):
         raise ValueError("positives, negatives and every must be positive")
-    v = F.when(F.size("embedding") == 0, F.array().cast("array<double>")).otherwise(quantised("embedding", scale))
+    v = quantised("embedding", scale)
     named = vectors.select(F.col("vec_id").cast("long").alias("id"), (F.col("label") if label is None else label).cast("long").alias("label"), v.alias("v"))
     ints = materialise(named.filter("id is not null and label is not null and v is not null"))
     shape = ints.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).alias("most")).first()

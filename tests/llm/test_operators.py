@@ -49,13 +49,14 @@ def test_top_k_is_exact(spark):
     rng = np.random.RandomState(0)
     v = [(i, [float(np.float32(x)) for x in rng.uniform(-1, 1, 8)]) for i in range(700)]
     v += [(700 + i, [0.5] * 8) for i in range(300)]  # ties
-    odd = [(2000, None), (2100, [float("nan")] * 8), (2200, [1.0, None]), (2300, [])]
+    v += [(2300, []), (2350, [0.25])]  # filled up with zeros
+    odd = [(2000, None), (2100, [float("nan")] * 8), (2200, [1.0, None])]
     got = mtree.top_k(spark.createDataFrame([(*x, "z") for x in v + odd], "vec_id long, embedding array<float>, rank string")).collect()
     ints = {i: [int(np.floor(1024 * np.float64(np.float32(x)))) for x in e] for i, e in v}
-    for q in range(0, 1000, 100):
+    for q in [*range(0, 1000, 100), 2300]:
         best = sorted(((-sum(a * b for a, b in zip(ints[q], e)), i) for i, e in ints.items() if i != q))[:10]
         assert [(-s, i) for s, i in best] == [(r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
-    assert len(got) == 100
+    assert len(got) == 110
     assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
