@@ -18,7 +18,7 @@ def test_same_rows(spark, name):
 
     df = QUERIES[name](spark, DIR)
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in want.description]
