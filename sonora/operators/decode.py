@@ -127,34 +127,51 @@ def _decoded(table: pa.Table, keys: list[str], part: int, min_gap: float, statef
     return pa.RecordBatch.from_arrays([*(table[k].chunk(0).take(at) for k in keys), *values], names=[*keys, *_NAMES])
 
 
+class Seam:
+    """What a key's ranges, taken in order, leave open: whether the next row is inside a call, whether it may go on with
+    the last run, and the last interval."""
+
+    def __init__(self, inside: bool = False, touching: bool = False, current: tuple[float, float] | None = None) -> None:
+        self.inside, self.touching, self.current = inside, touching, current
+
+    def take(self, rows: list[dict], min_gap: float) -> list[tuple[float, float]]:
+        """The intervals that the next range's rows close."""
+        closed: list[tuple[float, float]] = []
+
+        def add(onset: float, offset: float, goes_on: bool) -> None:
+            if self.current and (goes_on or onset - self.current[1] < min_gap):
+                self.current = (self.current[0], max(self.current[1], offset))
+            else:
+                closed.extend([self.current] if self.current else [])
+                self.current = (onset, offset)
+
+        block = next((r for r in rows if r["_kind"] == BLOCK), None)
+        after = self.touching  # whether the row before the next one is inside
+        if block:
+            after = self.inside
+            if self.inside:
+                add(block["onset"], block["offset"], self.touching)
+        self.touching = bool(block and block["_tail"] and self.inside)
+        for r in sorted((r for r in rows if r["_kind"] in (OPEN, FINAL)), key=lambda r: (r["onset"], r["offset"])):
+            add(r["onset"], r["offset"], r["_head"] and after)
+            self.touching = r["_tail"]
+        end = next(r for r in rows if r["_kind"] == END)
+        self.inside = end["_state"] == 1 if end["_state"] >= 0 else self.inside
+        return closed
+
+
 def _stitched(rows: list[dict], min_gap: float) -> list[tuple[float, float]]:
     """A key's intervals of the rows that waited, range by range."""
-    out: list[list[float]] = []
-    inside, touching, current = False, False, None
+    seam, out = Seam(), []
+    for part in sorted({r["_part"] for r in rows}):
+        out += seam.take([r for r in rows if r["_part"] == part], min_gap)
+    return out + ([seam.current] if seam.current else [])
 
-    def add(onset: float, offset: float, goes_on: bool) -> None:
-        nonlocal current
-        if current and (goes_on or onset - current[1] < min_gap):
-            current[1] = max(current[1], offset)
-        else:
-            current = [onset, offset]
-            out.append(current)
 
-    for part in sorted({r["_part"] for r in rows}):
-        mine = [r for r in rows if r["_part"] == part]
-        block = next((r for r in mine if r["_kind"] == BLOCK), None)
-        after = touching  # whether the row before the next one is inside
-        if block:
-            after = inside
-            if inside:
-                add(block["onset"], block["offset"], touching)
-        touching = bool(block and block["_tail"] and inside)
-        for r in sorted((r for r in mine if r["_kind"] == OPEN), key=lambda r: (r["onset"], r["offset"])):
-            add(r["onset"], r["offset"], r["_head"] and after)
-            touching = r["_tail"]
-        end = next(r for r in mine if r["_kind"] == END)
-        inside = end["_state"] == 1 if end["_state"] >= 0 else inside
-    return [tuple(x) for x in out]
+def range_rows(times: np.ndarray, probs: np.ndarray, rule: Hysteresis) -> list[dict]:
+    """What one range of a recording's frames, in order, gives to ``Seam.take``; a probability of NaN decides nothing."""
+    table = pa.table({"_on": pa.array(times, pa.float64()), "_off": pa.array(times, pa.float64()), "_enters": pa.array(probs >= rule.enter), "_leaves": pa.array(probs <= rule.exit)})
+    return _decoded(table, [], 0, rule.min_gap_s, True).to_pylist()
 
 
 def _intervals(rows: DataFrame, keys: list[str], order: list[str], min_gap: float, stateful: bool) -> DataFrame:

@@ -12,7 +12,8 @@ from sonora.operators import decode, features, matching, windows
 from sonora.operators.model import random_weights, sliding_predict
 from sonora.sources import annotations
 from sonora.sources import tables as T
-from sonora.sources.storage import materialise
+from sonora.sources.storage import drained, materialise, replayed
+from sonora.streaming import decode as streaming
 
 from . import pipeline, training
 
@@ -94,6 +95,15 @@ def hysteresis_decode(spark, sf_dir):
     return rounded(decode.hysteresis_decode(T.frames(spark, sf_dir), RULE, [KEY]), "onset", "offset")
 
 
+@query(ORACLE_SQL["hysteresis_decode"])
+def hysteresis_stream(spark, sf_dir):
+    """All frames as a stream of micro-batches, cut by their times as they would arrive, and not in order within one."""
+    frames = T.frames(spark, sf_dir).select(KEY, "frame_idx", "time_s", "prob")
+    sized = frames.join(frames.groupBy(KEY).agg(F.count("*").alias("n_frames")), KEY)
+    stream = streaming.hysteresis_stream(replayed(sized.repartitionByRange(8, "frame_idx"), 4), RULE, n_frames="n_frames")
+    return rounded(drained(stream), "onset", "offset")
+
+
 @query(f"WITH {MASK} SELECT recording_id, frame_idx, mask FROM masked")
 def hysteresis_mask(spark, sf_dir):
     return decode.hysteresis_mask(T.frames(spark, sf_dir), RULE, [KEY]).select(KEY, "frame_idx", "mask")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +29,8 @@ def hysteresis(rule: decode.Hysteresis) -> Callable[[Frames], Intervals]:
     """A recording's intervals by the rule, through the kernel that ranges are decoded with."""
 
     def run(frames: Frames) -> Intervals:
-        times, probs = zip(*frames)
-        table = pa.table({"_on": pa.array(times, pa.float64()), "_off": pa.array(times, pa.float64()), "_enters": [x is not None and x >= rule.enter for x in probs], "_leaves": [x is not None and x == x and x <= rule.exit for x in probs]})
-        waiting = decode._decoded(table, [], 0, rule.min_gap_s, True).to_pylist()
-        final = [(r["onset"], r["offset"]) for r in waiting if r["_kind"] == decode.FINAL]
-        for a, b in sorted([*final, *decode._stitched([r for r in waiting if r["_kind"] != decode.FINAL], rule.min_gap_s)]):
+        times, probs = (np.array(x, float) for x in zip(*frames))  # None becomes NaN
+        for a, b in decode._stitched(decode.range_rows(times, probs, rule), rule.min_gap_s):
             if b - a >= rule.min_duration_s:
                 yield max(a - rule.pad_s, times[0]), min(b + rule.pad_s, times[-1])
 

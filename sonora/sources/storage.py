@@ -23,14 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-def _stored(df: DataFrame) -> tuple[DataFrame, object, object]:
-    """``df`` written and read back, and its folder with that one's file system. The folder goes when the application ends."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> tuple[str, object, object]:
+    """A new path in the shared folder, which goes when the application ends, and its file system."""
     path = f"{shared_dir(spark)}/sonora/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     system.deleteOnExit(at)
+    return path, at, system
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, object, object]:
+    """``df`` written and read back, and its folder with that one's file system. The folder goes when the application ends."""
+    spark = df.sparkSession
+    path, at, system = _folder(spark)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), at, system
 
 
@@ -42,6 +48,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return _stored(df)[0]
 
 
+def replayed(df: DataFrame, files_per_trigger: int) -> DataFrame:
+    """``df`` written to the shared folder and read back as a stream, so many of its files in each micro-batch."""
+    path = _folder(df.sparkSession)[0]
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """All that a stream gives for the input there is now, written to the shared folder by its micro-batches."""
+    spark = stream.sparkSession
+    path = _folder(spark)[0]
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 @contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
     """As ``materialise``, for tables that nothing reads any more when the block ends: then the files go."""
