@@ -282,7 +282,7 @@ class Callback:
 
 class LoggingCallback(Callback):
     def on_epoch_end(self, epoch: int, metrics: dict[str, float], trained: Detector) -> None:
-        log.info(" | ".join([f"Epoch {epoch:03d}", *(f"{k}={metrics[k]:.4f}" for k in ("train_loss", "val_loss", "val_f1") if k in metrics)]))
+        log.info("Epoch %03d: %s", epoch, ", ".join(f"{name} {value:.4f}" for name, value in metrics.items()))
 
 
 @dataclass

@@ -12,6 +12,7 @@ from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonora.functions import checks
 from sonora.functions.signal import precision_recall_f1
 from sonora.operators import model, windows
 from sonora.sources.storage import materialise, stored
@@ -38,8 +39,7 @@ def training_windows(frames: DataFrame, width: int, hop: int, features: str = "f
 
 def batched(rows: DataFrame, batch_size: int, seed: int = 0, drop_last: bool = False, keys: tuple[str, ...] = (KEY, "start_frame")) -> DataFrame:
     """Adds ``batch``: rows in an order shuffled by a hash of seed and keys, ``batch_size`` to each; the last may be smaller, or left out."""
-    if batch_size <= 0:
-        raise ValueError("batch_size must be positive")
+    checks.whole(batch_size, "batch_size", 1)
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
     numbered = windows.numbered(rows.withColumn("_place", place), [], ["_place", *keys], "_number").withColumn("batch", F.floor(F.col("_number") / batch_size).cast("long"))
     if drop_last:
@@ -71,8 +71,9 @@ class DataModule:
     def __post_init__(self) -> None:
         if abs(self.train_frac + self.val_frac + self.test_frac - 1) > 0.01:
             raise ValueError("the fractions must sum to one")
-        if self.train_frac <= 0 or min(self.val_frac, self.test_frac) < 0 or self.batch_size <= 0:
-            raise ValueError("train_frac and batch_size must be positive, val_frac and test_frac not negative")
+        checks.whole(self.batch_size, "batch_size", 1)
+        if self.train_frac <= 0 or min(self.val_frac, self.test_frac) < 0:
+            raise ValueError("train_frac must be positive, val_frac and test_frac not negative")
         if not 0 < self.window_hop_s <= self.window_s:
             raise ValueError("the hop must be positive and at most a window")
         self.split: DataFrame | None = None
@@ -93,6 +94,33 @@ class DataModule:
             raise RuntimeError("call setup first")
         return self.split.filter(F.col("split") == name)
 
+    @property
+    def train_recordings(self) -> DataFrame:
+        return self.part("train")
+
+    @property
+    def val_recordings(self) -> DataFrame:
+        return self.part("val")
+
+    @property
+    def test_recordings(self) -> DataFrame:
+        return self.part("test")
+
+    @property
+    def n_recordings(self) -> int:
+        """All recordings, those in no split included."""
+        return self.recordings.count()
+
+    @property
+    def train_dataset(self) -> DataFrame:
+        """The training windows, not in batches."""
+        return self.windows("train")
+
+    @property
+    def val_dataset(self) -> DataFrame | None:
+        """The validation windows; None without such recordings."""
+        return None if self.val_recordings.isEmpty() else self.windows("val")
+
     def windows(self, name: str) -> DataFrame:
         frames = self.frames.join(self.part(name).select(KEY), KEY, "left_semi")
         return training_windows(frames, self.extractor.seconds_to_frames(self.window_s), self.extractor.seconds_to_frames(self.window_hop_s))

@@ -99,9 +99,15 @@ def test_data_module(spark):
     got = data.train_batches().collect()
     assert {r["recording_id"] for r in got} <= parts["train"] and len(got) % 4 == 0
     assert {r["recording_id"] for r in data.val_batches().collect()} == parts["val"]
+    named = {"train": data.train_recordings, "val": data.val_recordings, "test": data.test_recordings}
+    assert {n: {r["recording_id"] for r in d.collect()} for n, d in named.items()} == parts and data.n_recordings >= 12
+    for name, held in (("train", data.train_dataset), ("val", data.val_dataset)):
+        keys = [(r["recording_id"], r["start_frame"]) for r in held.collect()]
+        assert len(set(keys)) == len(keys) and {k for k, _ in keys} == parts[name]
+    assert {(r["recording_id"], r["start_frame"]) for r in got} <= {(r["recording_id"], r["start_frame"]) for r in data.train_dataset.collect()}
     none = data_module(spark, train_frac=1.0, val_frac=0.0, test_frac=0.0)
     none.setup()
-    assert none.val_batches() is None
+    assert none.val_batches() is None and none.val_dataset is None
     for bad in ({"train_frac": 0.5}, {"train_frac": 0.0, "val_frac": 0.8}, {"batch_size": 0}):
         with pytest.raises((ValueError, TypeError)):
             T.DataModule(data.recordings, data.frames, data.extractor, **bad)
@@ -175,14 +181,3 @@ def test_best_weights_and_history(spark, tmp_path):
     assert len(history.history["val_f1"]) == 5 and history.frame(spark).filter("metric = 'train_loss'").count() == 6
     with pytest.raises(ValueError):
         C.SaveBestModel(spark, path, mode="best")
-
-
-def test_log_files(tmp_path):
-    from sonora.functions import logs
-
-    handler = logs.add_file_handler(str(tmp_path / "log.txt"), "w", level="INFO")
-    logs.log.setLevel("INFO")
-    C.LoggingCallback().on_epoch_end(1, {"train_loss": 0.5, "val_f1": 0.25}, None)
-    logs.log.removeHandler(handler)
-    handler.close()
-    assert (tmp_path / "log.txt").read_text().rstrip().endswith("Epoch 001 | train_loss=0.5000 | val_f1=0.2500")
