@@ -44,6 +44,8 @@ from .graph import components, key_filter, passes
 NGRAM, PERCENT = 4, 85
 #: Shingles and documents in a chunk, about; its documents have numbers of 16 bits, of which the last means several.
 CHUNK, CHUNK_DOCS, SEVERAL = 1 << 20, 60_000, 65_535
+#: Bytes of text whose shingles a bucket holds, about: some two million of them, at six bytes each.
+BUCKET_BYTES = 12 << 20
 #: Matches a prefix may be lengthened to ask for, and shingles compared in the time that scanning one entry takes.
 MATCHES, COMPARED = (1, 2, 3, 4, 6, 8, 12), 4
 #: Classes and shingles in a block of a group, about.
@@ -356,11 +358,18 @@ def class_links(classes: DataFrame, n: int, percent: int) -> DataFrame:
 _MEMBERS = pa.list_(pa.struct([("cls", pa.int64()), ("least", pa.int32()), ("prefix", pa.list_(pa.int64())), ("text", pa.string())]))
 
 
+def bucket_bits(text_bytes: int) -> int:
+    """Leading bits of a shingle's hash that name its bucket. With 32 more bits a bucket tells its shingles apart."""
+    return min(30, max(6, (text_bytes // BUCKET_BYTES).bit_length()))
+
+
 def grouped(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, key (a hash of id and text), n (shingles), cls and root of every document: the classes of one component have one root."""
     spark = docs.sparkSession
+    # Buckets by what there is, whatever the session's number of partitions: a task's buckets come one by one.
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bucket_bits(whole)
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    bits = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
     survey = materialise(texts.select("doc_id", "key", "text").mapInArrow(_survey(bits, n), _SURVEY))
     named = survey.filter("bucket is null").select("chunk", "at", "doc_id", "key", "n", "cls", "known", "first")
     found = survey.filter("bucket is not null").select("bucket", "chunk", "owners", "tokens").groupBy("bucket").applyInArrow(_elsewhere, "chunk long, owners binary, times binary")

@@ -13,7 +13,7 @@ to many tasks.
 
 Defined cases: a source without a target weight gets its real share to the power ``temperature``, in proportion to
 the others; a null source is a source of its own; a null doc_id hashes as an empty string; repeated rows get equal
-counts each; an empty table gives no rows; columns beside doc_id and source are carried along, whatever
+counts each, and rows of one id, or of none, are dealt out by their texts, too; an empty table gives no rows; columns beside doc_id and source are carried along, whatever
 their names.
 """
 
@@ -94,7 +94,9 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     n = poisson_count(document_draw(seed), F.col(rate))
     copies = with_rate.withColumn(count, n).filter(F.col(count) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(rate, count)
     keyed = copies.withColumn(shuffle_key, uniform(F.lit(seed), F.col("doc_id"), F.col(copy)))
-    return keyed.repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key)
+    # Rows of one id, or of none, have one shuffle key; their texts part them.
+    parting = [F.xxhash64("text")] if "text" in docs.columns else []
+    return keyed.repartition(F.col(shuffle_key), *parting).sortWithinPartitions(shuffle_key)
 
 
 def replication_oracle(temperature: float = TEMPERATURE, seed: int = SEED) -> str:

@@ -544,3 +544,27 @@ def test_discoveries_by_a_plain_step_up(spark):
         want = np.log10(p[fits[-1]] / mean) if len(fits) else -np.inf
         assert abs(secrets.discovery_threshold(scanned, share) - want) <= 2 * secrets.BIN
     assert secrets.discovery_threshold(scanned.limit(0)) == -np.inf
+
+
+def test_jaccard_buckets_grow_with_the_texts(spark, monkeypatch):
+    """Buckets hold about as many shingles at every size, and their number changes no result."""
+    sizes = [jaccard.bucket_bits(x) for x in (0, 100 << 20, 512 << 20, 30 << 30, 100 << 40)]
+    assert sizes[0] == 6 and sizes == sorted(sizes) and all((x >> b) <= jaccard.BUCKET_BYTES for x, b in zip((0, 100 << 20, 512 << 20, 30 << 30, 100 << 40), sizes))
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(20)]
+    rows = [(i, base[i % 20] + (" end" if i >= 40 else "")) for i in range(60)] + [(99, None), (100, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = []
+    for size in (1, 64, 1 << 30):
+        monkeypatch.setattr(jaccard, "BUCKET_BYTES", size)
+        got.append(sorted(map(tuple, jaccard.link(docs).collect())))
+    assert got[0] == got[1] == got[2] and {r[2] for r in got[0] if r[0] < 60} == set(range(20))
+
+
+def test_mixing_spreads_null_and_repeated_ids(spark):
+    """Rows without an id, or with one and the same, draw alike but don't meet in one partition."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i}", "a") for i in range(400)], "doc_id long, text string, source string")
+    out = mixing.replicate(docs, {"a": 1.0}).withColumn("part", F.spark_partition_id())
+    per = {r["part"]: r["count"] for r in out.groupBy("part").count().collect()}
+    assert out.count() and len(per) > 1 and max(per.values()) < 0.6 * sum(per.values())
+    assert out.select("doc_id", "copy", "shuffle_key").distinct().count() == out.select("doc_id", "copy").distinct().count()
