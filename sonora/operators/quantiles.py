@@ -26,11 +26,21 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return out
 
 
+def _within(named: DataFrame, targets: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Each value with the targets of its key whose part holds it. ``few`` targets, ranks of large keys, go to every task;
+    else both sides are dealt by key. Spark's own guess would take the values for the smaller side: stored values that
+    repeat make small files, and a join's result counts as the product of its sides."""
+    side = F.broadcast(targets) if few or not keys else targets.hint("merge")
+    return named.alias("r").join(side.alias("t"), _same("r", "t", keys) & (F.col("r._x") >= F.col("t._lo")) & (F.col("r._x") <= F.col("t._hi"))).select("t.*", "r._x")
+
+
 def by_size(rows: DataFrame, keys: list[str], limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Rows of keys of up to ``limit`` rows, and of the others, if there are any. ``rows`` are read more than once."""
     large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > (limit or LIMIT)).select(*keys, "_n")
     if large.isEmpty():
         return rows, None
+    if not keys:
+        return rows.filter(F.lit(False)), rows
     large = materialise(large)
     part = lambda how: rows.alias("r").join(large.alias("l"), _same("r", "l", keys), how).select("r.*")
     return part("left_anti"), part("left_semi")
@@ -55,9 +65,13 @@ def select_ranks(rows: DataFrame, keys: list[str], ranks: list[Column], value: s
         if left.isEmpty():
             break
         left = materialise(_narrowed(named, left, keys))
-    within = lambda few: named.alias("r").join(few.alias("t"), _same("r", "t", keys) & (F.col("r._x") >= F.col("t._lo")) & (F.col("r._x") <= F.col("t._hi"))).select("t.*", "r._x")
     one = settled.filter("_lo = _hi").select(*keys, "n", "_t", F.col("_lo").alias("_pick"))
-    few = within(settled.filter("not _lo = _hi")).groupBy(*keys, "n", "_t", "_rank", "_below").agg(F.sort_array(F.collect_list("_x")).alias("_v"))
+    apart = settled.filter("not _lo = _hi")
+    held = _within(named, apart.filter(F.col("n") > most), keys, True)
+    small = apart.filter(F.col("n") <= most)
+    if not small.isEmpty():
+        held = held.unionByName(_within(named, small, keys, False))
+    few = held.groupBy(*keys, "n", "_t", "_rank", "_below").agg(F.sort_array(F.collect_list("_x")).alias("_v"))
     picked = one.unionByName(few.select(*keys, "n", "_t", F.get("_v", (F.col("_rank") - F.col("_below")).cast("int")).alias("_pick")))
     return picked.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_t", "_pick"))).alias("_p")).select(*keys, "n", F.transform("_p", lambda p: p["_pick"]).alias("picks"))
 
@@ -66,15 +80,14 @@ def _narrowed(named: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
     """One pass: of each rank's values the part that holds it. A sketch names three points about the rank, and the parts are
     what lies below, between, at and above them. The middle point is a value, and a part of its own, so parts always shrink."""
     of = [*keys, "_t"]
-    within = lambda targets: named.alias("r").join(targets.alias("t"), _same("r", "t", keys) & (F.col("r._x") >= F.col("t._lo")) & (F.col("r._x") <= F.col("t._hi"))).select("t.*", "r._x")
-    points = within(left).groupBy(*of).agg(F.percentile_approx("_x", [i / POINTS for i in range(POINTS + 1)], ACCURACY).alias("_points"))
+    points = _within(named, left, keys, True).groupBy(*of).agg(F.percentile_approx("_x", [i / POINTS for i in range(POINTS + 1)], ACCURACY).alias("_points"))
     place = F.col("_rank") - F.col("_below")
     share = F.floor(place * POINTS / F.col("_in")).cast("int")
     point = lambda i: F.get("_points", F.greatest(F.lit(0), F.least(F.lit(POINTS), i)))
     cut = left.alias("l").join(points.alias("p"), _same("l", "p", of)).select("l.*", point(share - 1).alias("_a"), point(share).alias("_c"), point(share + 2).alias("_b"))
     x, a, b, c = (F.col(n) for n in ("_x", "_a", "_b", "_c"))
     parts = [x < a, (x >= a) & (x < c), x == c, (x > c) & (x <= b), x > b]
-    found = within(cut).groupBy(*left.columns, "_a", "_b", "_c").agg(*(f(F.when(p, x)).alias(f"{name}{i}") for i, p in enumerate(parts) for name, f in (("_n", F.count), ("_min", F.min), ("_max", F.max))))
+    found = _within(named, cut, keys, True).groupBy(*left.columns, "_a", "_b", "_c").agg(*(f(F.when(p, x)).alias(f"{name}{i}") for i, p in enumerate(parts) for name, f in (("_n", F.count), ("_min", F.min), ("_max", F.max))))
     new = dict.fromkeys(("_lo", "_hi", "_below", "_in"), F.lit(None))
     for i in reversed(range(len(parts))):
         less = sum((F.col(f"_n{j}") for j in range(i)), F.lit(0))

@@ -37,6 +37,26 @@ def test_ranks(spark, monkeypatch):
     assert quantiles.select_ranks(odd.limit(0), [], [F.lit(0)], "v").count() == 0
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_values_are_never_broadcast(spark, monkeypatch, keys):
+    """Values that repeat make a small file, so that Spark would send them to all tasks, by way of the driver, as the smaller side."""
+    plans, held = [], quantiles.materialise
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return held(df)
+
+    for name, x in (("LIMIT", 100), ("POINTS", 5), ("ACCURACY", 10)):
+        monkeypatch.setattr(quantiles, name, x)
+    rows = held(spark.range(60_000).selectExpr("'a' AS k", "double(id % 800) AS v"))
+    monkeypatch.setattr(quantiles, "materialise", kept)
+    got = quantiles.select_ranks(rows, keys, [F.lit(0), F.lit(30_000), F.col("n") - 1], "v")
+    assert got.first()["picks"] == [0.0, 400.0, 799.0]
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line and "_lo" in line]
+    assert len(joins) > 3 and all("BuildRight" in j for j in joins)
+
+
 @pytest.mark.parametrize("limit", [1 << 18, 50])
 def test_normalising_keys_of_all_sizes(spark, monkeypatch, limit):
     monkeypatch.setattr(quantiles, "LIMIT", limit)
