@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from .quantiles import around, between, by_size, select_ranks
 from .scan import before, changes, numbered, whole_groups
 
 KEY = "recording_id"
+#: Intervals of a recording, of both sides, whose pairs are taken all at once at most.
+SMALL = 256
 #: Pairs of a segment that one task matches at most, and rounds of its matching.
 DENSE, CHAIN = 1 << 20, 64
 FRAME_COUNTS = ["tp", "fp", "fn", "tn"]
@@ -174,6 +176,93 @@ def match_by_rounds(left: DataFrame) -> DataFrame:
     return matched
 
 
+def aligned(gt: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """Every interval once: (key, gi, g_on, g_off, pi, p_on, p_off, match_rank, iou), matched ones with their partner, the
+    others with nulls. Indices are distinct within a recording, and never null. Matches are those of ``iou_match`` of ``iou_pairs``.
+
+    Recordings of up to ``SMALL`` intervals are dealt out whole, many to an array, which takes all pairs of each and matches
+    them: one shuffle of the intervals, and neither pairs nor matches are stored or joined. The others go by time bins and
+    segments. So what comes of matches, counts, errors or what is missed, is read from the rows without a join.
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError("the threshold must lie in [0, 1]")
+    side = lambda df, index, k: df.select(KEY, F.lit(k).cast("byte").alias("_side"), F.col(index).cast("long").alias("_i"), F.col("onset").cast("double").alias("_on"), F.col("offset").cast("double").alias("_off"))
+    rows = materialise(side(gt, "gi", 0).unionByName(side(pred, "pi", 1)))
+    kind = rows.schema[KEY].dataType.simpleString()
+    known = rows.filter(F.col(KEY).isNotNull())
+    # At 0 disjoint pairs match, too, and so do empty intervals.
+    large = _more_than(known, [KEY], SMALL if threshold > 0 else 0)
+    whole = known if large is None else known.join(large, KEY, "left_anti")
+    out = whole.repartition(KEY).sortWithinPartitions(KEY).mapInArrow(_aligner(threshold), f"{KEY} {kind}, {_ALIGNED}")
+    of = lambda df, k, c: df.filter(F.col("_side") == k).select(KEY, F.col("_i").alias(f"{c}i"), F.col("_on").alias(f"{c}_on"), F.col("_off").alias(f"{c}_off"))
+    unknown = rows.filter(F.col(KEY).isNull())
+    for k, c in enumerate("gp"):
+        out = out.unionByName(of(unknown, k, c), allowMissingColumns=True)
+    if large is None:
+        return out
+    rest = known.join(large, KEY, "left_semi")
+    g, p = of(rest, 0, "g"), of(rest, 1, "p")
+    named = [df.withColumnsRenamed({f"{c}_on": "onset", f"{c}_off": "offset"}) for df, c in ((g, "g"), (p, "p"))]
+    found = materialise(iou_match(iou_pairs(*named, threshold)))
+    both = g.join(found, [KEY, "gi"], "left").join(p, [KEY, "pi"], "left").select(out.columns)
+    return out.unionByName(both).unionByName(unmatched(p, found, "pi"), allowMissingColumns=True)
+
+
+_ALIGNED = "gi long, g_on double, g_off double, pi long, p_on double, p_off double, match_rank int, iou double"
+
+
+def _aligner(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of whole recordings' intervals to rows of ``aligned``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, [KEY]):
+            keys = table[KEY].chunk(0)
+            group = np.cumsum(changes([keys], len(table))) - 1
+            column = lambda c: table[c].chunk(0)  # noqa: E731, B023
+            side, on, off = column("_side").to_numpy(), *(column(c).to_numpy(zero_copy_only=False) for c in ("_on", "_off"))
+            fit = np.isfinite(on) & np.isfinite(off) & (off > on) & column("_i").is_valid().to_numpy(zero_copy_only=False) & keys.is_valid().to_numpy(zero_copy_only=False)
+            a, b = _candidates(group, np.flatnonzero(fit & (side == 0)), np.flatnonzero(fit & (side == 1)))
+            both = np.maximum(0.0, np.minimum(off[a], off[b]) - np.maximum(on[a], on[b]))
+            iou = both / ((off[a] - on[a]) + (off[b] - on[b]) - both)
+            kept = iou >= threshold
+            a, b, iou = a[kept], b[kept], iou[kept]
+            number = column("_i").fill_null(0).to_numpy()
+            at = greedy(group[a], number[a], number[b], -iou)
+            a, b, iou = a[at], b[at], iou[at]
+            single = np.ones(len(table), bool)
+            single[a] = single[b] = False
+            x, y = np.flatnonzero(single & (side == 0)), np.flatnonzero(single & (side == 1))
+            none = np.zeros(len(x) + len(y), bool)
+            g, p = np.concatenate([a, x, np.zeros_like(y)]), np.concatenate([b, np.zeros_like(x), y])
+            no_g, no_p = np.arange(len(g)) >= len(a) + len(x), np.concatenate([np.zeros(len(a), bool), np.ones(len(x), bool), np.zeros(len(y), bool)])
+            take = lambda c, at, no: column(c).take(pa.array(at, mask=no))
+            rank = np.arange(len(a)) - np.searchsorted(group[a], group[a])
+            pad = lambda v, kind: pa.array(np.concatenate([v, none]), kind, mask=no_g | no_p)  # noqa: E731, B023
+            arrays = [keys.take(pa.array(np.where(no_g, p, g))), *(take(c, g, no_g) for c in ("_i", "_on", "_off")), *(take(c, p, no_p) for c in ("_i", "_on", "_off")), pad(rank, pa.int32()), pad(iou, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[KEY, "gi", "g_on", "g_off", "pi", "p_on", "p_off", "match_rank", "iou"])
+
+    return run
+
+
+def _candidates(group: np.ndarray, g: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places of one group; ``g`` and ``p`` are in order of their groups."""
+    first = np.searchsorted(group[p], group[g])
+    n = np.searchsorted(group[p], group[g], "right") - first
+    begins = np.cumsum(n) - n
+    return np.repeat(g, n), p[np.arange(n.sum()) - np.repeat(begins - first, n)]
+
+
+def matched(rows: DataFrame) -> DataFrame:
+    """The matches of ``aligned`` intervals, as ``iou_match`` gives them."""
+    return rows.filter("match_rank is not null").select(KEY, "match_rank", "gi", "pi", "iou")
+
+
+def alone(rows: DataFrame, side: str) -> DataFrame:
+    """Of ``aligned`` intervals those of no match, (key, index, onset, offset): missed events for g, false alarms for p."""
+    index = f"{side}i"
+    return rows.filter(F.col("match_rank").isNull() & F.col(index).isNotNull()).select(KEY, index, F.col(f"{side}_on").alias("onset"), F.col(f"{side}_off").alias("offset"))
+
+
 def unmatched(intervals: DataFrame, matches: DataFrame, index: str) -> DataFrame:
     """Intervals of no match: missed events by ``gi``, false alarms by ``pi``."""
     return intervals.join(matches.select(KEY, index), [KEY, index], "left_anti")
@@ -186,17 +275,28 @@ def event_counts(gt: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFram
     return rows.groupBy(KEY).agg(F.sum("a").alias("n_gt"), F.sum("b").alias("n_pred"), F.sum("c").alias("tp")).withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gt") - F.col("tp"))
 
 
+def aligned_counts(rows: DataFrame) -> DataFrame:
+    """``event_counts`` of ``aligned`` intervals."""
+    counts = rows.groupBy(KEY).agg(F.count("gi").alias("n_gt"), F.count("pi").alias("n_pred"), F.count("match_rank").alias("tp"))
+    return counts.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gt") - F.col("tp"))
+
+
 def event_metrics(counts: DataFrame) -> DataFrame:
     return counts.select("*", *precision_recall_f1("tp", "fp", "fn"))
 
 
 def boundary_errors(gt: DataFrame, pred: DataFrame, matches: DataFrame, tolerance_ms: float | None = None) -> DataFrame:
     """(key, gi, pi, onset_error_ms, offset_error_ms) of matched pairs, both within the tolerance where one is given."""
-    if tolerance_ms is not None and tolerance_ms < 0:
-        raise ValueError("the tolerance must not be negative")
     g = gt.select(KEY, "gi", F.col("onset").alias("g_on"), F.col("offset").alias("g_off"))
     p = pred.select(KEY, "pi", F.col("onset").alias("p_on"), F.col("offset").alias("p_off"))
-    both = matches.select(KEY, "gi", "pi").join(g, [KEY, "gi"]).join(p, [KEY, "pi"])
+    return aligned_errors(matches.select(KEY, "gi", "pi", F.lit(0).alias("match_rank")).join(g, [KEY, "gi"]).join(p, [KEY, "pi"]), tolerance_ms)
+
+
+def aligned_errors(rows: DataFrame, tolerance_ms: float | None = None) -> DataFrame:
+    """``boundary_errors`` of ``aligned`` intervals."""
+    if tolerance_ms is not None and tolerance_ms < 0:
+        raise ValueError("the tolerance must not be negative")
+    both = rows.filter("match_rank is not null")
     errors = both.select(KEY, "gi", "pi", ((F.col("p_on") - F.col("g_on")) * 1000).alias("onset_error_ms"), ((F.col("p_off") - F.col("g_off")) * 1000).alias("offset_error_ms"))
     return errors if tolerance_ms is None else errors.filter((F.abs("onset_error_ms") <= tolerance_ms) & (F.abs("offset_error_ms") <= tolerance_ms))
 

@@ -144,7 +144,7 @@ class GreedyIouMatcher(Matcher):
     iou_threshold: float = 0.2
 
     def match(self, gt: DataFrame, pred: DataFrame) -> DataFrame:
-        return matching.iou_match(matching.iou_pairs(gt, pred, self.iou_threshold))
+        return matching.matched(matching.aligned(gt, pred, self.iou_threshold))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -266,16 +266,16 @@ def _pairs(spark, sf_dir):
     return matching.iou_pairs(T.annotated(spark, sf_dir), T.predicted(spark, sf_dir), 0.2)
 
 
-def _matched(spark, sf_dir):
-    return T.annotated(spark, sf_dir), T.predicted(spark, sf_dir), matching.iou_match(_pairs(spark, sf_dir))
+def _aligned(spark, sf_dir):
+    return matching.aligned(T.annotated(spark, sf_dir), T.predicted(spark, sf_dir), 0.2)
 
 
 def _counts(spark, sf_dir):
-    return matching.event_counts(*_matched(spark, sf_dir))
+    return matching.aligned_counts(_aligned(spark, sf_dir))
 
 
 def _errors(spark, sf_dir, tolerance=None):
-    return matching.boundary_errors(*_matched(spark, sf_dir), tolerance)
+    return matching.aligned_errors(_aligned(spark, sf_dir), tolerance)
 
 
 @query(f"WITH {PAIRS} SELECT recording_id, gi, pi, round(iou, 6) + 0.0 AS iou FROM pairs")
@@ -285,17 +285,17 @@ def iou_pairs(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {MATCHES} SELECT recording_id, match_rank, gi, pi, round(iou, 6) + 0.0 AS iou FROM matches")
 def iou_match(spark, sf_dir):
-    return rounded(matching.iou_match(_pairs(spark, sf_dir)), "iou")
+    return rounded(matching.matched(_aligned(spark, sf_dir)), "iou")
 
 
 @query(f"WITH RECURSIVE {MATCHES} SELECT recording_id, gi, onset, offset_ AS offset FROM gt WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.recording_id = gt.recording_id AND m.gi = gt.gi)")
 def missed_events(spark, sf_dir):
-    return matching.unmatched(T.annotated(spark, sf_dir), matching.iou_match(_pairs(spark, sf_dir)), "gi").select(KEY, "gi", "onset", "offset")
+    return matching.alone(_aligned(spark, sf_dir), "g")
 
 
 @query(f"WITH RECURSIVE {MATCHES} SELECT recording_id, pi, onset, offset_ AS offset FROM pred WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.recording_id = pred.recording_id AND m.pi = pred.pi)")
 def false_alarms(spark, sf_dir):
-    return matching.unmatched(T.predicted(spark, sf_dir), matching.iou_match(_pairs(spark, sf_dir)), "pi").select(KEY, "pi", "onset", "offset")
+    return matching.alone(_aligned(spark, sf_dir), "p")
 
 
 @query(f"WITH RECURSIVE {COUNTS} SELECT recording_id, n_gt, n_pred, tp, fp, fn, {_ratios('tp', 'fp', 'fn')} FROM counts")
@@ -342,10 +342,9 @@ _RATES = ["precision", "recall", "f1", "frame_precision", "frame_recall", "frame
 
 def _evaluated(spark, sf_dir):
     """Rows by recording and pooled errors, of matches that are computed once."""
-    gt, pred, matches = _matched(spark, sf_dir)
-    matches = materialise(matches)
-    errors = matching.boundary_errors(gt, pred, matches)
-    return matching.evaluation_rows(T.recordings(spark, sf_dir), matching.event_counts(gt, pred, matches), errors, T.frames(spark, sf_dir)), errors
+    rows = materialise(_aligned(spark, sf_dir))
+    errors = matching.aligned_errors(rows)
+    return matching.evaluation_rows(T.recordings(spark, sf_dir), matching.aligned_counts(rows), errors, T.frames(spark, sf_dir)), errors
 
 
 @query(f"WITH RECURSIVE {_ROWS} SELECT recording_id, round(duration_s, 6) + 0.0 AS duration_s, n_gt, n_pred, tp, fp, fn, {_ratios('tp', 'fp', 'fn')}, frame_tp, frame_fp, frame_fn, frame_tn, {_FRAME_RATIOS}, n_matches, {', '.join(_STAT_COLS)} FROM rows_")

@@ -1,5 +1,6 @@
 """Operators over recordings that hold most of the rows, against plain Python."""
 
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 from sonora.operators import matching, model, windows
+from sonora.plans import registry
 
 
 def gathers(df):
@@ -72,6 +74,38 @@ def test_binned_pairs_and_segments(spark, monkeypatch, many_ranges, dense, thres
     assert sorted(map(tuple, matching.iou_match(pairs).collect())) == plain(want)
 
 
+@pytest.mark.parametrize("small", [256, 90, 0])
+@pytest.mark.parametrize("threshold", [0.0, 0.1])
+def test_aligned_intervals(spark, monkeypatch, small, threshold):
+    """Every interval once, with the partner that the greedy match of all pairs gives it: recordings as arrays, by bins, and some by either."""
+    monkeypatch.setattr(matching, "SMALL", small)
+    rng = random.Random(9)
+    held = {k: (spans(rng, n, 0.2), spans(rng, m, 0.2)) for k, n, m in [(1, 50, 60), (2, 30, 20), (3, 1, 0), (4, 0, 2), *((k, 3, 4) for k in range(10, 60))]}
+    rows = [[(k, i, a, b) for k, v in held.items() for i, (a, b) in enumerate(v[side])] for side in (0, 1)]
+    odd = [(None, 0, 0.0, 1.0), (None, 1, 0.0, 1.0)] + ([(5, 0, None, 2.0), (5, 1, 3.0, 2.0), (5, 2, float("nan"), 2.0), (5, 3, -float("inf"), float("inf")), (5, 4, 0.0, 1.0)] if threshold else [])
+    gt, pred = (spark.createDataFrame(r + odd, f"recording_id long, {name} long, onset double, offset double").repartition(3) for r, name in zip(rows, ("gi", "pi")))
+    got = matching.aligned(gt, pred, threshold)
+    found = matching.iou_match(matching.iou_pairs(gt, pred, threshold))
+    same = lambda df: sorted(map(repr, df.collect()))
+    assert same(matching.matched(got)) == same(found) and found.count() >= 20
+    for side, all_ in (("g", gt), ("p", pred)):
+        assert same(matching.alone(got, side)) == same(matching.unmatched(all_, found, f"{side}i"))
+        assert got.filter(f"{side}i is not null").count() == all_.count()
+    assert same(matching.aligned_counts(got)) == same(matching.event_counts(gt, pred, found))
+    for tolerance in (None, 2000.0):
+        assert same(matching.aligned_errors(got, tolerance)) == same(matching.boundary_errors(gt, pred, found, tolerance))
+
+
+@pytest.mark.parametrize("name", ["missed_events", "boundary_errors", "event_metrics"])
+def test_matches_of_small_recordings_need_no_joins(spark, name):
+    """Neither pairs nor matches are joined where recordings are small."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "_bin" not in plan
+
+
 @pytest.mark.parametrize("chunk, width, hop", [(12, 10, 4), (1024, 7, 7)])
 def test_sliding_predict_by_runs(spark, monkeypatch, chunk, width, hop):
     monkeypatch.setattr(model, "CHUNK", chunk, raising=False)
