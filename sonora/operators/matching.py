@@ -304,7 +304,8 @@ def aligned_errors(rows: DataFrame, tolerance_ms: float | None = None) -> DataFr
 def error_stats(errors: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: n_matches, and for both errors the median, mean absolute value and its 95th percentile; NaN without rows or for NaN errors.
 
-    Keys of a bounded number of errors are aggregated at once; of larger ones percentiles are selected by ``quantiles``.
+    Keys of a bounded number of errors are sorted as arrays, many at a time; of larger ones percentiles are selected by
+    ``quantiles``.
     """
     sides = ("onset", "offset")
     value = {f"{side}_{name}": F.col(f"{side}_error_ms") if name == "median" else F.abs(f"{side}_error_ms") for side in sides for name in ("median", "p95")}
@@ -320,8 +321,9 @@ def error_stats(errors: DataFrame, keys: list[str]) -> DataFrame:
 
     small, large = by_size(rows, keys)
     names = ["n_matches", *STATS]
+    few = _few_stats(small, keys) if keys else stats(small, True)
     if large is None:
-        return stats(small, True).select(*keys, *names)
+        return few.select(*keys, *names)
     # Each of the four percentiles of a key is a key of its own.
     share = F.when(F.col("_what").endswith("median"), 0.5).otherwise(0.95)
     apart = large.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("_what"), v.alias("_x")) for k, v in value.items()))).alias("_e")).select(*keys, "_e.*")
@@ -333,7 +335,43 @@ def error_stats(errors: DataFrame, keys: list[str]) -> DataFrame:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     nan = lambda side, c: F.when(F.isnan(f"a.{side}_mae_ms"), float("nan")).otherwise(F.col(f"b.{c}"))
     both = whole.alias("a").join(wide.alias("b"), same).select(*(F.col(f"a.{k}") for k in keys), "n_matches", *(F.col(f"a.{c}") if c.endswith("mae_ms") else nan(c.split("_")[0], c).alias(c) for c in STATS))
-    return both.unionByName(stats(small, True)) if keys else both
+    return both.unionByName(few) if keys else both
+
+
+def _few_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``error_stats`` of keys none of which has more errors than one array holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, keys):
+            new = changes([table[k].chunk(0) for k in keys], len(table))
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            out = [np.bincount(group)]
+            for side in ("onset", "offset"):
+                e = table[f"{side}_error_ms"].chunk(0)
+                there = e.is_valid().to_numpy(zero_copy_only=False)
+                x, of = e.to_numpy(zero_copy_only=False)[there], group[there]
+                n = np.bincount(of, minlength=len(first))
+                with np.errstate(invalid="ignore"):
+                    out += [_at_share(x, of, n, 0.5), np.bincount(of, np.abs(x), len(first)) / n, _at_share(np.abs(x), of, n, 0.95)]
+                bad = np.bincount(of[np.isnan(x)], minlength=len(first)) > 0
+                for v in out[-3:]:
+                    v[bad] = np.nan
+            yield pa.RecordBatch.from_arrays([*(table[k].chunk(0).take(pa.array(first)) for k in keys), *map(pa.array, out)], names=[*keys, "n_matches", *STATS])
+
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join([*kinds, "n_matches long", *(f"{c} double" for c in STATS)]))
+
+
+def _at_share(x: np.ndarray, group: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """The value at a share of each group's order, between two values where it falls there; NaN for none. ``n``: sizes."""
+    out = np.full(len(n), np.nan)
+    some = n > 0
+    line = x[np.lexsort((x, group))]
+    at = (n[some] - 1) * share
+    low = (np.cumsum(n) - n)[some] + np.floor(at).astype(np.int64)
+    high = (np.cumsum(n) - n)[some] + np.ceil(at).astype(np.int64)
+    out[some] = line[low] + (line[high] - line[low]) * (at - np.floor(at))
+    return out
 
 
 def frame_metrics(frames: DataFrame, keys: list[str], threshold: float = 0.5, prob: str = "prob", label: str = "label") -> DataFrame:

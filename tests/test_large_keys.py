@@ -96,14 +96,14 @@ def test_aligned_intervals(spark, monkeypatch, small, threshold):
         assert same(matching.aligned_errors(got, tolerance)) == same(matching.boundary_errors(gt, pred, found, tolerance))
 
 
-@pytest.mark.parametrize("name", ["missed_events", "boundary_errors", "event_metrics"])
+@pytest.mark.parametrize("name", ["missed_events", "boundary_errors", "event_metrics", "boundary_accuracy"])
 def test_matches_of_small_recordings_need_no_joins(spark, name):
-    """Neither pairs nor matches are joined where recordings are small."""
+    """Neither pairs nor matches are joined where recordings are small, nor are percentiles aggregated in maps."""
     folder = "/root/testdata/sf0.001"
     if not os.path.isdir(folder):
         pytest.skip("no test tables here")
     plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and "_bin" not in plan
+    assert "Join" not in plan and "percentile" not in plan and "_bin" not in plan
 
 
 @pytest.mark.parametrize("chunk, width, hop", [(12, 10, 4), (1024, 7, 7)])

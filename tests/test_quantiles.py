@@ -89,6 +89,16 @@ def test_error_stats_of_keys_of_all_sizes(spark, monkeypatch, limit, keys):
     assert not nothing if keys else nothing[0]["n_matches"] == 0 and math.isnan(nothing[0]["onset_median_ms"])
 
 
+def test_error_stats_of_few_errors(spark):
+    """Nulls don't count, NaN makes a side NaN, null keys are a key, and a key without numbers has none."""
+    nan = float("nan")
+    rows = [("a", 1.0, None), ("a", -3.0, 4.0), ("a", 10.0, nan), (None, 2.0, 8.0), (None, 5.0, -8.0), ("b", None, 1.0)]
+    got = matching.error_stats(spark.createDataFrame(rows, "recording_id string, onset_error_ms double, offset_error_ms double"), ["recording_id"])
+    want = {"a": [3, 1.0, 14 / 3, 9.3, nan, nan, nan], None: [2, 3.5, 3.5, 4.85, 0.0, 8.0, 8.0], "b": [1, nan, nan, nan, 1.0, 1.0, 1.0]}
+    assert {r[0]: list(r[1:]) for r in got.collect()} == {k: pytest.approx(v, nan_ok=True) for k, v in want.items()}
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("kernel", [1, 3, 9, 251])
 @pytest.mark.parametrize("run", [16, 4096])
 def test_sliding_medians(spark, monkeypatch, many_ranges, kernel, run):
