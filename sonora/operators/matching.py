@@ -390,7 +390,9 @@ def evaluation_rows(recordings: DataFrame, counts: DataFrame, errors: DataFrame,
     begin with frame_), and statistics of boundary errors, NaN without matches. ``frames`` has prob and label."""
     event = ["n_gt", "n_pred", "tp", "fp", "fn"]
     flagged = frame_metrics(frames, [KEY]).select(KEY, *(F.col(c).alias(f"frame_{c}") for c in FRAME_COUNTS))
-    joined = recordings.select(KEY, "duration_s").join(counts.select(KEY, *event), KEY, "left").join(flagged, KEY, "left").join(error_stats(errors, [KEY]), KEY, "left")
+    joined = recordings.select(KEY, "duration_s")
+    for side in (counts.select(KEY, *event), flagged, error_stats(errors, [KEY])):
+        joined = joined.join(side.hint("merge"), KEY, "left")  # a row for each recording: too many for a broadcast
     filled = joined.fillna(0, [*event, *(f"frame_{c}" for c in FRAME_COUNTS), "n_matches"]).fillna(float("nan"), STATS)
     framed = [c.alias(f"frame_{n}") for c, n in zip(precision_recall_f1("frame_tp", "frame_fp", "frame_fn"), ("precision", "recall", "f1"))]
     return filled.select(KEY, "duration_s", *event, *precision_recall_f1("tp", "fp", "fn"), *(f"frame_{c}" for c in FRAME_COUNTS), *framed, "n_matches", *STATS)

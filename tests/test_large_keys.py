@@ -106,6 +106,16 @@ def test_matches_of_small_recordings_need_no_joins(spark, name):
     assert "Join" not in plan and "percentile" not in plan and "_bin" not in plan
 
 
+def test_rows_of_recordings_are_not_broadcast(spark):
+    recs = spark.createDataFrame([(k, 60.0) for k in range(5)], "recording_id long, duration_s double")
+    counts = spark.createDataFrame([(1, 2, 2, 1, 1, 1)], "recording_id long, n_gt long, n_pred long, tp long, fp long, fn long")
+    errors = spark.createDataFrame([(1, 0, 0, 5.0, -5.0)], "recording_id long, gi long, pi long, onset_error_ms double, offset_error_ms double")
+    frames = spark.createDataFrame([(2, 0.9, 1.0)], "recording_id long, prob double, label double")
+    got = matching.evaluation_rows(recs, counts, errors, frames)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["recording_id"], r["tp"], r["frame_tp"], r["n_matches"]) for r in got.orderBy("recording_id").collect()] == [(0, 0, 0, 0), (1, 1, 0, 1), (2, 0, 1, 0), (3, 0, 0, 0), (4, 0, 0, 0)]
+
+
 @pytest.mark.parametrize("chunk, width, hop", [(12, 10, 4), (1024, 7, 7)])
 def test_sliding_predict_by_runs(spark, monkeypatch, chunk, width, hop):
     monkeypatch.setattr(model, "CHUNK", chunk, raising=False)
