@@ -19,9 +19,20 @@ from pyspark.sql import functions as F
 from sonora.sources.storage import materialise
 
 
-def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``df`` dealt by ranges of keys and order, sorted within each."""
-    return df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+#: Rows of a range of a stored table, about.
+ROWS = 1 << 18
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of keys and order, sorted within each; so many ranges, where a number is given."""
+    return df.repartitionByRange(*([ranges] if ranges else []), *keys, *order).sortWithinPartitions(*keys, *order)
+
+
+def ranges_of(stored: DataFrame) -> int | None:
+    """How many ranges a stored table's rows make, so that a task's rows are bounded: left alone, Spark makes ranges of so
+    many compressed bytes, and narrow rows that repeat take many times that in memory. None for a small table."""
+    n = -(-stored.count() // ROWS)
+    return n if n > 8 else None
 
 
 def changes(columns: list[pa.Array], n: int) -> np.ndarray:
@@ -78,7 +89,7 @@ def _join(kind: str, earlier: float | int | None, later: np.ndarray) -> np.ndarr
     return np.where(np.isnan(later), earlier, later) if kind == "last" else np.fmax(later, earlier)
 
 
-def before(df: DataFrame, keys: list[str], order: list[str], name: str, value: Column, kind: str = "sum") -> DataFrame:
+def before(df: DataFrame, keys: list[str], order: list[str], name: str, value: Column, kind: str = "sum", ranges: int | None = None) -> DataFrame:
     """Adds ``name``: the sum (of whole numbers), ``max`` or ``last`` value of ``value`` over the rows before each row within
     its keys; null before the first. Null values are passed over; NaN must not occur.
 
@@ -131,7 +142,7 @@ def before(df: DataFrame, keys: list[str], order: list[str], name: str, value: C
             yield held.set_column(held.schema.get_field_index("_edge"), "_edge", pa.array(edge))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    cut = materialise(ranged(given, keys, order).mapInArrow(run, f"{fields}, _own {sql}, _with {sql}, _lead boolean, _edge byte, _part int"))
+    cut = materialise(ranged(given, keys, order, ranges).mapInArrow(run, f"{fields}, _own {sql}, _with {sql}, _lead boolean, _edge byte, _part int"))
     carried = _carries(kind, cut.filter("_edge > 0").select(*keys, "_with", "_lead", "_edge", "_part").orderBy("_part", "_edge").collect(), keys)
     type_ = df.select(value.alias("v")).schema["v"].dataType
     out = F.col("_own")

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from sonora.operators import matching, model, windows
+from sonora.operators import matching, model, scan, windows
 from sonora.plans import registry
 
 
@@ -116,6 +116,24 @@ def test_rows_of_recordings_are_not_broadcast(spark):
     assert [(r["recording_id"], r["tp"], r["frame_tp"], r["n_matches"]) for r in got.orderBy("recording_id").collect()] == [(0, 0, 0, 0), (1, 1, 0, 1), (2, 0, 1, 0), (3, 0, 0, 0), (4, 0, 0, 0)]
 
 
+def test_labels_by_ranges_of_so_many_rows(spark, monkeypatch):
+    """Ranges are bounded by rows, not by the bytes of what is shuffled; intervals of recordings without frames aren't dealt."""
+    seen, held = [], scan.ranged
+
+    def kept(df, keys, order, ranges=None):
+        seen.append((df.count(), ranges))
+        return held(df, keys, order, ranges)
+
+    monkeypatch.setattr(scan, "ranged", kept)
+    monkeypatch.setattr(scan, "ROWS", 50, raising=False)
+    frames = spark.range(900).selectExpr("id % 3 AS recording_id", "id AS frame_idx", "double(id div 3) AS time_s")
+    marks = spark.range(4000).selectExpr("id AS recording_id", "10.0D AS onset", "19.0D AS offset")
+    got = windows.frame_labels(frames, marks)
+    assert seen == [(906, 19)]
+    assert got.columns == ["recording_id", "frame_idx", "time_s", "label"] and got.count() == 900
+    assert sorted((r["recording_id"], r["time_s"]) for r in got.filter("label = 1").collect()) == [(k, float(t)) for k in range(3) for t in range(10, 20)]
+
+
 @pytest.mark.parametrize("chunk, width, hop", [(12, 10, 4), (1024, 7, 7)])
 def test_sliding_predict_by_runs(spark, monkeypatch, chunk, width, hop):
     monkeypatch.setattr(model, "CHUNK", chunk, raising=False)
