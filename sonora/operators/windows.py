@@ -19,12 +19,11 @@ def frame_labels(frames: DataFrame, intervals: DataFrame, time: str = "time_s")
     """Adds ``label``: 1.0 where any interval of the recording holds the frame's time, both ends included.
 
     Intervals are rounded to the frames' precision. Beginnings, frames and ends of a recording are scanned in the order of
-    time: a frame is inside where more intervals have begun than ended. No task needs a recording, and ranges are of so many
-    rows. Intervals of recordings without frames are left out first.
+    time: a frame is inside where more intervals have begun than ended. There is no join, no task needs a recording, and
+    ranges are of so many rows.
     """
     kind = frames.schema[time].dataType
     i = intervals.select(F.col(KEY).alias("_key"), F.col("onset").cast(kind).alias("_on"), F.col("offset").cast(kind).alias("_off")).filter("_on <= _off and _key is not null")
-    i = i.join(frames.select(F.col(KEY).alias("_key")).distinct().hint("merge"), "_key", "left_semi")
     nothing = F.lit(None).cast(frames.select(F.struct("*").alias("s")).schema["s"].dataType)
     step = lambda df, at, place, change, frame: df.select(F.col("_key" if df is i else KEY).alias("_key"), F.col(at).alias("_at"), F.lit(place).alias("_place"), F.lit(change).alias("_change"), frame.alias("_frame"))
     steps = materialise(step(i, "_on", 0, 1, nothing).unionByName(step(frames, time, 1, 0, F.struct("*"))).unionByName(step(i, "_off", 2, -1, nothing)))
